@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier whose scores may not hang on which group a text mentions.
 
 In labelled texts that mention a group, the term is swapped for the others of its kind and for a neutral word; the
-training adds the squared change of the score to its loss. Weights of identity terms are so drawn together, towards
-that of the neutral words, and neutral mentions stop raising the score.
+training adds the squared change of the score to its loss. A neutral word counts as no evidence, so that weights of
+identity terms are drawn together and towards none, and neutral mentions stop raising the score.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ IDENTITIES = (
     ("frauen", "männer", "muslime", "christen", "juden", "ausländer", "menschen"),
 )
 _KIND = {term: kind for kind in IDENTITIES for term in kind}
+_NEUTRAL = {kind[-1] for kind in IDENTITIES}
 WORDS = re.compile(r"\w+")
 #: Labelled rows that the classifier is fitted on, of each label at most about so many; a word must be in so many of them.
 SAMPLE, LEAST_DOCS = 3000, 3
@@ -48,7 +49,7 @@ FOLDS, HELD_OUT = 5, 0
 def words(text: str | None) -> set[str]:
     """The distinct words of a text, and the beginnings of the longer ones, marked by an asterisk."""
     found = set(WORDS.findall(text.lower())) if text else set()
-    return found | {f"{w[:n]}*" for n in STEMS for w in found if len(w) > n}
+    return found | {f"{w[:n]}*" for n in STEMS for w in found if len(w) > n and w not in _KIND}
 
 
 def counterfactuals(found: set[str]) -> list[tuple[str, str]]:
@@ -89,10 +90,12 @@ def fit(texts: list[set[str]], labels: list[int], strength: float = COUNTERFACTU
             for pair in swaps[k]:
                 both = np.array(pair)
                 v = model.weights(both)
-                change = 2 * strength * float(v[0, 0] - v[1, 0]) / len(swaps[k])
-                model.update(both, np.array([[change], [-change]]), v)
+                neutral = names[pair[1]] in _NEUTRAL
+                change = 2 * strength * float(v[0, 0] - (0.0 if neutral else v[1, 0]))
+                sides = slice(0, 1) if neutral else slice(0, 2)
+                model.update(both[sides], np.array([[change], [-change]])[sides], v[sides])
     w = model.weights()[:, 0]
-    return Model({names[k]: float(w[k]) for k in np.flatnonzero(w) if k}, float(w[0]))
+    return Model({str(names[k]): float(w[k]) for k in np.flatnonzero(w) if k}, float(w[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: float = COUNTERFACTUAL) -> Model:
