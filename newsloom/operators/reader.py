@@ -19,7 +19,7 @@ def topic_feed(matches: DataFrame, items: DataFrame, topic_id: int | None = None
     More rows than the limit are read before ineligible ones go (10, 8 or 4 times as many, with enrichment, curation or
     neither), so a feed may come up short, by design.
     """
-    rows = matches.where("decision = 'include'").join(items.withColumnRenamed("id", "content_item_id"), "content_item_id").where("input_content_hash = content_hash")
+    rows = matches.where("decision = 'include'").select("topic_id", "content_item_id", "input_content_hash", "score").join(items.withColumnRenamed("id", "content_item_id"), "content_item_id").where("input_content_hash = content_hash")
     rows = rows.where(F.col("topic_id") == topic_id) if topic_id is not None else rows
     rows = rows.withColumn("effective_at", effective_time()).withColumn("readable", quality_tier() != "needs_enrichment")
     by_score, by_time = F.desc("score"), F.desc("effective_at")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from newsloom.plans import queries
+from newsloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = queries.v1
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP: Callable[[SparkSession, str], DataFrame] | None = None
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
