@@ -2,7 +2,8 @@
 
 Vectors are dealt to lists by their nearest centroid. Within a probed list, rotated vectors are read in blocks of
 columns; after each block a hypothesis test compares the distance that the columns read so far suggest with the
-distance of the query's k-th best, and gives up the candidates that are surely farther. Survivors are scored in double
+distance of the query's mark, and gives up the candidates that are surely farther. The mark is a score that more than
+k of the probed candidates reach, known from the sample that the lists are fitted on. Survivors are scored in double
 precision on the original vectors.
 """
 
@@ -30,6 +31,8 @@ PROBED, LEAST_PROBED = 0.7, 10
 BLOCK = 4096
 #: Columns read between two tests, and the test's width in standard deviations.
 COLUMNS, WIDTH = 16, 3.0
+#: Sample points beyond k that reach a query's mark.
+SPARE = 12
 #: Pairs of queries and candidates that are tested at a time.
 PAIRS = 1 << 20
 
@@ -66,11 +69,29 @@ def nearest_lists(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray
     return np.argpartition(gap, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(points), 1))
 
 
-def scan(asking: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int, width: float = WIDTH) -> pd.DataFrame:
+def marks(queries: np.ndarray, probed: np.ndarray, points: np.ndarray, homes: np.ndarray, lists: int, k: int) -> np.ndarray:
+    """Scores that more than k candidates of each query reach: taken from the sample points (of lists `homes`) that lie in its probed lists.
+
+    SPARE more points than k reach the mark, so that a test which wrongly gives up a few still leaves k.
+    """
+    rank, out = k + SPARE, []
+    if len(points) < rank:
+        return np.full(len(queries), -np.inf)
+    size = max(1, PAIRS // len(points))
+    for at in range(0, len(queries), size):
+        scores = queries[at : at + size] @ points.T
+        read = np.zeros((len(scores), lists), dtype=bool)
+        np.put_along_axis(read, probed[at : at + size], True, axis=1)
+        scores[~read[:, homes]] = -np.inf
+        out.append(np.partition(scores, -rank, axis=1)[:, -rank])
+    return np.concatenate(out) - 1e-9
+
+
+def scan(asking: np.ndarray, queries: np.ndarray, mark: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int, width: float = WIDTH) -> pd.DataFrame:
     """The k nearest of a block of candidates for each query, nearest first, ties to the smaller id.
 
-    The k-th best of a query's first 4k candidates is its mark. A candidate is abandoned once the columns read so far
-    put its squared distance above the mark's by more than `width` standard deviations of the estimate.
+    A candidate is abandoned once the columns read so far put its squared distance above that of the query's mark by
+    more than `width` standard deviations of the estimate.
     """
     dims = vectors.shape[1]
     turned_queries, turned = queries @ turn, vectors @ turn
@@ -78,10 +99,7 @@ def scan(asking: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.n
     out = []
     for first in range(0, len(asking), size):
         part = slice(first, first + size)
-        known = queries[part] @ vectors[: 4 * k].T
-        known[asking[part, None] == ids[None, : 4 * k]] = -np.inf
-        mark = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(known), -np.inf)
-        reach = np.maximum((queries[part] ** 2).sum(axis=1)[:, None] + norms[None, :] - 2 * mark[:, None], 0.0)
+        reach = np.maximum(((queries[part] ** 2).sum(axis=1) - 2 * mark[part])[:, None] + norms[None, :], 0.0)
         partial = who = what = None
         for at in range(0, dims, COLUMNS):
             columns, read = slice(at, at + COLUMNS), min(at + COLUMNS, dims)
@@ -106,7 +124,7 @@ def scan(asking: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.n
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+    return np.stack(column.to_list()).astype(np.float64)
 
 
 def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, probed: float = PROBED, sample: int = SAMPLE) -> DataFrame:
@@ -127,39 +145,44 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, prob
     rows = rows.where(F.size("embedding") == dims)
     share = min(1 << 30, int((1 << 30) * sample / count))
     fitted = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).orderBy("vec_id").limit(2 * sample).select("embedding").toPandas()
-    points = _matrix(fitted["embedding"]) if len(fitted) else np.eye(dims)
+    points = _matrix(fitted["embedding"]) if len(fitted) else np.eye(dims)[:1]
     lists = int(min(MOST_LISTS, max(LEAST_LISTS, LISTS_PER_ROOT * math.sqrt(count))))
     centres = centroids(points, lists)
     turn = rotation(dims)
     probes = min(len(centres), max(LEAST_PROBED, math.ceil(probed * len(centres))))
 
-    def dealt(n: int):
+    fit = spark.sparkContext.broadcast((centres, points, nearest_lists(points, centres, 1)[:, 0]))  # at most MOST_LISTS centres and 2 * sample points
+
+    def dealt(n: int, marked: bool):
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    found = nearest_lists(_matrix(batch["embedding"]), centres, n)
-                    yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": batch["embedding"], "lists": list(found.astype(np.int32))})
+                    own = _matrix(batch["embedding"])
+                    centres, points, homes = fit.value
+                    found = nearest_lists(own, centres, n)
+                    mark = marks(own, found, points, homes, len(centres), k) if marked else 0.0
+                    yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": batch["embedding"], "lists": list(found.astype(np.int32)), "mark": mark})
 
         return deal
 
-    shape = "vec_id bigint, embedding array<double>, lists array<int>"
-    filed = materialize(rows.mapInPandas(dealt(1), shape).select("vec_id", "embedding", F.col("lists")[0].alias("list")))
-    asked = materialize(rows.where(F.col("vec_id") % step == 0).mapInPandas(dealt(probes), shape).select("vec_id", "embedding", F.explode("lists").alias("list")))
+    shape = "vec_id bigint, embedding array<double>, lists array<int>, mark double"
+    filed = materialize(rows.mapInPandas(dealt(1, False), shape).select("vec_id", "embedding", F.col("lists")[0].alias("list"), "mark"))
+    asked = materialize(rows.where(F.col("vec_id") % step == 0).mapInPandas(dealt(probes, True), shape).select("vec_id", "embedding", F.explode("lists").alias("list"), "mark"))
     # One row per list, of which there are at most MOST_LISTS.
     sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks"))
     asks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
     grid = F.broadcast(sizes.join(asks, "list"))
     spread = lambda blocks: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), blocks).cast("int")
     upto = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    mine = filed.join(grid, "list").select("list", spread(F.col("v_blocks")).alias("v"), upto(F.col("q_blocks")).alias("q"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    theirs = asked.join(grid, "list").select("list", upto(F.col("v_blocks")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")).cast("int").alias("q"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    mine = filed.join(grid, "list").select("list", spread(F.col("v_blocks")).alias("v"), upto(F.col("q_blocks")).alias("q"), F.lit(False).alias("asks"), "vec_id", "embedding", "mark")
+    theirs = asked.join(grid, "list").select("list", upto(F.col("v_blocks")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")).cast("int").alias("q"), F.lit(True).alias("asks"), "vec_id", "embedding", "mark")
 
     def scanned(group: pd.DataFrame) -> pd.DataFrame:
         held, queries = group[~group["asks"]], group[group["asks"]]
         if not len(held) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         held = held.sort_values("vec_id")
-        return scan(queries["vec_id"].to_numpy(), _matrix(queries["embedding"]), held["vec_id"].to_numpy(), _matrix(held["embedding"]), turn, k)
+        return scan(queries["vec_id"].to_numpy(), _matrix(queries["embedding"]), queries["mark"].to_numpy(), held["vec_id"].to_numpy(), _matrix(held["embedding"]), turn, k)
 
     hits = mine.unionByName(theirs).groupBy("list", "v", "q").applyInPandas(scanned, HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
