@@ -8,8 +8,7 @@ identity terms are drawn together and towards none, and neutral mentions stop ra
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,15 +68,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def fit(texts: list[set[str]], labels: list[int], strength: float = COUNTERFACTUAL, rounds: int = ROUNDS, seed: int = 7) -> Model:
-    """Logistic regression on word presence by follow-the-regularised-leader, with the counterfactual penalty."""
-    if not texts:
+def fit(texts: Iterable[Collection[str]], labels: Sequence[int], strength: float = COUNTERFACTUAL, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """Logistic regression on word presence by follow-the-regularised-leader, with the counterfactual penalty.
+
+    `texts` are the distinct words of each text; they are read once and held as numbers.
+    """
+    number: dict[str, int] = {}
+    held, swapped = [], []
+    for found in texts:
+        held.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        swapped.append(counterfactuals(_KIND.keys() & found))
+    if not held:
         return Model()
-    known = Counter(w for t in texts for w in t)
-    names = ["", *sorted(w for w, n in known.items() if n >= LEAST_DOCS or w in _KIND), *sorted(_KIND.keys() - known.keys())]
+    known = np.bincount(np.concatenate(held), minlength=len(number))
+    names = ["", *sorted(w for w, n in number.items() if known[n] >= LEAST_DOCS or w in _KIND), *sorted(_KIND.keys() - number.keys())]
     place = {w: k for k, w in enumerate(names)}
-    rows = [np.array([0, *sorted(place[w] for w in t if w in place)]) for t in texts]
-    swaps = [[(place[a], place[b]) for a, b in counterfactuals(t)] for t in texts]
+    placed = np.array([place.get(w, 0) for w in number], np.int32)
+    rows = [np.unique(np.append(placed[x], 0)) for x in held]
+    swaps = [[(place[a], place[b]) for a, b in pairs] for pairs in swapped]
     share = max(1e-9, sum(labels) / len(labels))
     cost = {1: 0.5 / share, 0: 0.5 / max(1e-9, 1 - share)}
     model, order = Ftrl(len(names), 1, alpha=1.0, l1=5.0, l2=1e-3), np.random.default_rng(seed)
@@ -117,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: fl
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(features, "id bigint, toxic int, words string").collect()
     rows.sort(key=lambda r: (r["id"], r["words"]))
-    return fit([set(r["words"].split()) for r in rows], [r["toxic"] for r in rows], strength)
+    return fit((r["words"].split() for r in rows), [r["toxic"] for r in rows], strength)
 
 
 def score(text: Column, model: Model) -> Column:
