@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, langid, mixing, packing, quality, secret_scan, simhash, tokencount, toxicity, warc
+from newsloom.llm import ann, langid, mixing, oracle, packing, quality, secret_scan, simhash, tokencount, toxicity, warc
 from newsloom.llm.shared import documents, fresh_dir
 
 
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
