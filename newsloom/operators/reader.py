@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import summary
 from newsloom.operators.content import effective_time, eligible, local_day, quality_tier
+from newsloom.operators.topics import search
 
 #: First matching section of a story, else the last.
 SECTIONS = (("融资", r"融资|获投|funding|raises"), ("并购", r"收购|并购|acqui|merger"), ("人事", r"任命|离职|appoint|resign"), ("监管", r"监管|处罚|regulat|recall"), ("产品", r"发布|推出|launch|unveil"))
@@ -45,6 +46,37 @@ def explore(items: DataFrame, limit: int = 50) -> DataFrame:
     return eligible(latest).select("id", "title", "effective_at").orderBy(F.desc("effective_at"), F.desc("id")).limit(limit)
 
 
+def explore_search(items: DataFrame, q: str, limit: int = 50) -> DataFrame:
+    """A search among the latest items only (twelve times the limit, at least 80), so it may come up short, by design."""
+    latest = items.orderBy(F.desc(effective_time()), F.desc("id")).limit(max(limit * 12, 80))
+    return search(eligible(latest), q, limit)
+
+
+def included(matches: DataFrame, items: DataFrame, now: Column | None = None, days: int = 7) -> DataFrame:
+    """Readable items with an included, current match, of the last days if `now` is given: topic_id with the item's columns."""
+    rows = matches.where("decision = 'include'").select("topic_id", F.col("content_item_id").alias("id"), F.col("input_content_hash").alias("content_hash"), "score")
+    rows = rows.join(eligible(items), ["id", "content_hash"])
+    return rows if now is None else rows.where(F.col("published_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def review_articles(matches: DataFrame, items: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest items whose match with a topic is for a person to decide."""
+    rows = matches.where("decision = 'review'").select("topic_id", F.col("content_item_id").alias("id"), F.col("input_content_hash").alias("content_hash"))
+    rows = rows.join(items, ["id", "content_hash"]).select("topic_id", "id", "title", effective_time().alias("effective_at"))
+    return rows.orderBy(F.desc("effective_at"), F.desc("id"), "topic_id").limit(limit)
+
+
+def topic_events(contents: DataFrame, members: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Payloads of the events that any of the contents belongs to."""
+    wanted = members.where("is_active").join(contents.select(F.col("id").alias("content_item_id")), "content_item_id", "left_semi").select("event_id").distinct()
+    return event_payloads(members.join(wanted, "event_id", "left_semi"), items, decisions)
+
+
+def topic_report_dates(contents: DataFrame) -> DataFrame:
+    """topic_id, report_date, item_count: a topic's included items per local day."""
+    return contents.groupBy("topic_id", local_day().alias("report_date")).agg(F.count("*").alias("item_count"))
+
+
 def list_items(items: DataFrame, results: DataFrame | None = None, *, source_id: int | None = None, language: str | None = None, relevant: bool | None = None, domain: DataFrame | None = None, mentions: DataFrame | None = None, before_id: int | None = None, limit: int = 50) -> DataFrame:
     """Content with its current processing result, filtered, newest first; domain and mentions are semi-joins."""
     rows = items

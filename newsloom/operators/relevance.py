@@ -45,7 +45,7 @@ def domain_relevance(items: DataFrame, keywords: list[str], dedicated_tags: list
     text = _words("title", "excerpt", "body")
     text = F.concat_ws(" ", F.nullif(text, F.lit("")), F.nullif(F.array_join(F.col("topics"), " "), F.lit("")))
     wanted = F.array(*[F.lit(t.strip().lower()) for t in dedicated_tags if t.strip()]).cast("array<string>")
-    tags = F.array_sort(F.array_distinct(F.filter(F.transform(source_tags, F.trim), lambda t: (t != "") & F.array_contains(wanted, F.lower(t)))))
+    tags = F.array_sort(F.array_distinct(F.filter(F.transform(source_tags, lambda t: F.trim(t)), lambda t: (t != "") & F.array_contains(wanted, F.lower(t)))))
     hits = F.array_compact(F.array(*[F.when(bounded(text, k), F.lit(k.strip())) for k in sorted(set(keywords))]).cast("array<string>"))
     own, none = F.size(tags) > 0, F.array().cast("array<string>")
     hits = F.when(own, none).otherwise(hits)
