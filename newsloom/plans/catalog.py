@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.plans import queries, reading
+from newsloom.plans import queries, reading, upkeep
 from newsloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = queries.v1
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "reading"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "reading", "upkeep"]

@@ -165,8 +165,9 @@ def discover_articles(pages: DataFrame, pattern: str | None = None, limit: int =
 def parse_date(x: Column, zone: str = "UTC") -> Column:
     """A free-form date as UTC; one without a zone is local to `zone`. Years before 1990 or far ahead are no dates."""
     clean = F.trim(F.regexp_replace(x, r"(20\d{2})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日?", "$1-$2-$3"))
+    clean = F.regexp_replace(clean, r"^[A-Za-z]{3,9},\s+", "")  # parsers take no week days
     zoned = clean.rlike(r"(Z|[+-]\d{2}:?\d{2}|GMT|UTC)$")
-    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][X]", "yyyy-MM-dd HH:mm[:ss]", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss [Z][z]")
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][X]", "yyyy-MM-dd HH:mm[:ss]", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm[:ss][ Z][ z]")
     found = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in forms])
     return F.when(F.year(found).between(1990, 2100), F.when(zoned, found).otherwise(F.to_utc_timestamp(found, zone)))
 
@@ -186,7 +187,10 @@ def extract_articles(pages: DataFrame, zone: str = "UTC", least_chars: int = BOD
     url_text = F.date_format(text.url_date(F.col("url")), "yyyy-MM-dd")
     seen = F.try_element_at(F.filter(f("dated"), lambda x: x.rlike(r"20\d{2}")), F.lit(1))
     signals = [("json_ld", get("datePublished")), ("open_graph", meta("article:published_time")), ("open_graph", meta("og:published_time")), *[("meta", meta(k)) for k in DATE_META], ("time", F.try_element_at(f("times"), F.lit(1))), ("url", url_text), ("visible_text", F.regexp_extract(seen, r"20\d{2}[-/.年]\s*\d{1,2}[-/.月]\s*\d{1,2}|[A-Z][a-z]+ \d{1,2}, 20\d{2}|\d{1,2} [A-Z][a-z]+ 20\d{2}", 0))]
-    dated = F.coalesce(*[F.when(parse_date(v, zone).isNotNull(), F.struct(parse_date(v, zone).alias("at"), F.lit(k).alias("origin"))) for k, v in signals])
+    # One parser over the signals that there are, rather than one parser for each.
+    given = F.filter(F.array(*[F.struct(v.alias("said"), F.lit(k).alias("origin")) for k, v in signals]), lambda x: F.coalesce(x["said"], F.lit("")) != "")
+    read = F.filter(F.transform(given, lambda x: F.struct(parse_date(x["said"], zone).alias("at"), x["origin"].alias("origin"))), lambda x: x["at"].isNotNull())
+    dated = F.try_element_at(read, F.lit(1))
     author = F.coalesce(get("author.name"), get("author[0].name"), meta("author"))
     rows = pages.select(
         "page_id", "url", F.coalesce(F.nullif(f("canonical"), F.lit("")), F.col("url")).alias("canonical"), F.coalesce(get("headline"), meta("og:title"), f("h1"), f("title")).alias("title"),
