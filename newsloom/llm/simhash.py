@@ -24,6 +24,13 @@ SEED = 42
 SMALL_BUCKET = 64
 #: Refinements of a large bucket by masks of its free bits, before its rest is compared in blocks.
 LEVELS = 3
+#: The near-duplicate stage of a pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
+STAGE_WORDS, SIMILAR = 5, 0.8
+#: Its candidates: parts of the 64 bits, the radius that the masks of each cover (11 bits altogether), and the most bits
+#: in which a candidate may differ (masks meet many pairs beyond the 11).
+PARTS, PART_RADIUS, CANDIDATE_BITS = 2, 5, 14
+#: Buckets of more nodes than this meet by way of a pivot.
+PIVOT_BUCKET = 256
 
 
 def simhash64(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -143,11 +150,104 @@ def fingerprint_hex(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(tokens: list[bytes], words: int) -> set[int]:
+    """Hashes of the distinct runs of `words` words; a shorter text is one run, an empty text has none."""
+    runs = [b" ".join(tokens[k : k + words]) for k in range(len(tokens) - words + 1)] or ([b" ".join(tokens)] if tokens else [])
+    return {x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(r, SEED) for r in set(runs))}
+
+
+def _node(tokens: list[bytes]) -> int:
+    """A number for the text without case and spacing: equal texts are one node."""
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) - (1 << 63)
+
+
+def _nodes(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node, fp and n, the number of words."""
+
+    @F.pandas_udf("node bigint, fp bigint, n int")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        rows = [(_node(tokens := _words(x)), simhash64(x, words), len(tokens)) for x in texts]
+        return pd.DataFrame(rows, columns=["node", "fp", "n"]).astype({"node": "int64", "fp": "int64", "n": "int32"})
+
+    return docs.select("doc_id", hashed("text").alias("s")).select("doc_id", "s.*")
+
+
+def part_masks() -> list[tuple[int, int]]:
+    """(first bit of the part, mask) of every table: of PARTS * (PART_RADIUS + 1) - 1 differing bits, some part has PART_RADIUS at most."""
+    width = 64 // PARTS
+    return [(at, m) for at in range(0, 64, width) for m in covering_masks(PART_RADIUS, range(at, at + width))]
+
+
+def _could_be_near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= CANDIDATE_BITS
+
+
+def _bucketed(nodes: DataFrame) -> DataFrame:
+    """node, fp under every mask: key, the bucket's size and its pivot (the least node)."""
+    keys = [F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")), at).bitwiseOR(F.lit(k << 64 // PARTS).cast("bigint")) for k, (at, m) in enumerate(part_masks())]
+    rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
+    over = "OVER (PARTITION BY key)"
+    return rows.selectExpr("*", f"count(*) {over} AS size", f"min(struct(node, fp)) {over} AS pivot").where("size > 1")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+
+    @F.pandas_udf("node bigint, grams array<bigint>")
+    def shingled(texts: pd.Series) -> pd.DataFrame:
+        split = [_words(x) for x in texts]
+        return pd.DataFrame({"node": [_node(x) for x in split], "grams": [sorted(_shingles(x, words)) for x in split]})
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").select(shingled("text").alias("s")).select("s.*")
+    sets = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    met = met.withColumn("both", F.size(F.array_intersect("a", "b"))).withColumn("any", F.size("a") + F.size("b") - F.col("both"))
+    return materialize(met.where(F.col("both") >= SIMILAR * F.col("any") - 1e-9).select("u", "v"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, small: int = PIVOT_BUCKET, words: int = STAGE_WORDS) -> DataFrame:
+    """Links (u, v) whose components are those of all candidate pairs with a shingle Jaccard of SIMILAR or more.
+
+    Candidates share a bucket of some mask and differ in at most CANDIDATE_BITS bits. In a bucket of more than `small`
+    nodes all meet its pivot first; then those that are not yet in the pivot's component meet everyone of another
+    component, so that a large group of near copies makes few pairs and no pair that could join two components is left out.
+    """
+    rows = _bucketed(nodes)
+    few = rows.where(F.col("size") <= small).select("node", "fp", "key")
+    one, two = (few.select("key", F.col("node").alias(n), F.col("fp").alias(f"{n}fp")) for n in "uv")
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("u") < F.col("v")) & _could_be_near("u", "v")).select("u", "v")
+    many = materialize(rows.where(F.col("size") > small))
+    star = many.where((F.col("node") != F.col("pivot.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= CANDIDATE_BITS))
+    pairs = pairs.unionByName(star.select(F.col("pivot.node").alias("u"), F.col("node").alias("v")))
+    found = _verified(materialize(pairs.distinct()), docs, nodes, words)
+    if many.isEmpty():
+        return found
+    named = materialize(connected_components(found))
+    known = many.select("key", "node", "fp", F.col("pivot.node").alias("p")).join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    heads = named.select(F.col("node").alias("p"), F.col("component").alias("head"))
+    known = materialize(known.join(heads, "p", "left").withColumn("head", F.coalesce("head", "p")))
+    left = known.where("c <> head").select("key", F.col("node").alias("u"), F.col("fp").alias("ufp"), F.col("c").alias("uc"))
+    right = known.select(F.col("key").alias("k"), F.col("node").alias("v"), F.col("fp").alias("vfp"), F.col("c").alias("vc"))
+    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("uc") != F.col("vc")) & _could_be_near("u", "v"))
+    rest = materialize(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return found.unionByName(_verified(rest, docs, nodes, words))
+
+
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """Drops every document but the one with the smallest doc_id of each group; all columns stay as they are.
 
-    Of repeated rows of one doc_id one stays. Rows without a doc_id stay.
+    A group is joined by five-word shingle sets with a Jaccard similarity of 0.8 or more; texts that are equal but for
+    case and spacing are one. Of repeated rows of one doc_id one stays. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    prints = _nodes(docs.where("doc_id IS NOT NULL"), STAGE_WORDS)
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.max("n").alias("n")))
+    named = connected_components(similar_links(docs, nodes.where("n >= " + str(STAGE_WORDS))))
+    kept = nodes.join(named, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
