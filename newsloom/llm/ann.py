@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by inner product: inverted lists with an adaptive dimension scan.
 
-Vectors are dealt to lists by their nearest centroid. Within a probed list, rotated vectors are read in blocks of
+Vectors are dealt to lists by their nearest centroid. A query probes the lists with the greatest q.c + REACH |q| r, c
+being the list's centre and r the farthest of all its vectors from c (with REACH = 1 a bound on every inner product in
+the list), so that lists of long vectors are read wherever they lie. Within a probed list, rotated vectors are read in blocks of
 columns; after each block a hypothesis test compares the distance that the columns read so far suggest with the
 distance of the query's mark, and gives up the candidates that are surely farther. The mark is a score that more than
 k of the probed candidates reach, known from the sample that the lists are fitted on. Survivors are scored in double
@@ -27,6 +29,8 @@ SAMPLE = 20_000
 LISTS_PER_ROOT, LEAST_LISTS, MOST_LISTS = 0.5, 4, 1024
 #: Share of the lists that a query probes, and the least number.
 PROBED, LEAST_PROBED = 0.7, 10
+#: Share of a list's radius that counts when lists are chosen.
+REACH = 0.2
 #: Vectors, and queries, of a list that meet in one task.
 BLOCK = 4096
 #: Columns read between two tests, and the test's width in standard deviations.
@@ -36,7 +40,7 @@ SPARE = 12
 #: Pairs of queries and candidates that are tested at a time.
 PAIRS = 1 << 20
 
-HITS = "query_id bigint, vec_id bigint, score double"
+HITS = "query_id bigint, ask bigint, vec_id bigint, score double"
 
 
 def usable(embedding: Column) -> Column:
@@ -69,6 +73,12 @@ def nearest_lists(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray
     return np.argpartition(gap, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(points), 1))
 
 
+def promising_lists(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray, n: int) -> np.ndarray:
+    """The n lists of each query that promise the greatest inner products, in no order."""
+    promise = queries @ centres.T + REACH * np.linalg.norm(queries, axis=1)[:, None] * radii[None, :]
+    return np.argpartition(-promise, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(queries), 1))
+
+
 def marks(queries: np.ndarray, probed: np.ndarray, points: np.ndarray, homes: np.ndarray, lists: int, k: int) -> np.ndarray:
     """Scores that more than k candidates of each query reach: taken from the sample points (of lists `homes`) that lie in its probed lists.
 
@@ -91,7 +101,7 @@ def scan(asking: np.ndarray, queries: np.ndarray, mark: np.ndarray, ids: np.ndar
     """The k nearest of a block of candidates for each query, nearest first, ties to the smaller id.
 
     A candidate is abandoned once the columns read so far put its squared distance above that of the query's mark by
-    more than `width` standard deviations of the estimate.
+    more than `width` standard deviations of the estimate. `query` is the place of the query among `asking`.
     """
     dims = vectors.shape[1]
     turned_queries, turned = queries @ turn, vectors @ turn
@@ -119,7 +129,7 @@ def scan(asking: np.ndarray, queries: np.ndarray, mark: np.ndarray, ids: np.ndar
         who, what, scores = who[order], what[order], scores[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         best = place < k
-        out.append(pd.DataFrame({"query_id": asking[part][who[best]], "vec_id": ids[what[best]], "score": scores[best]}))
+        out.append(pd.DataFrame({"query": first + who[best], "query_id": asking[part][who[best]], "vec_id": ids[what[best]], "score": scores[best]}))
     return pd.concat(out)
 
 
@@ -132,7 +142,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, prob
 
     The candidates of a query are all rows of other ids; score is the inner product in double precision. Vectors that
     are null, empty, zero or hold a null or non-finite component take no part, nor do those without an id or of
-    another width than the commonest. Repeated rows are candidates of their own; an empty table gives an empty result.
+    another width than the commonest. Repeated rows are candidates of their own, but ask once; rows of one id with
+    different vectors ask each for themselves, with ranks of their own. An empty table gives an empty result.
     The rotation and the centroids are fitted on at most `sample` vectors; every vector is dealt to a list, and a list
     of any size is split into blocks, against blocks of the queries that probe it.
     """
@@ -153,37 +164,47 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, prob
 
     fit = spark.sparkContext.broadcast((centres, points, nearest_lists(points, centres, 1)[:, 0]))  # at most MOST_LISTS centres and 2 * sample points
 
-    def dealt(n: int, marked: bool):
-        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    own = _matrix(batch["embedding"])
-                    centres, points, homes = fit.value
-                    found = nearest_lists(own, centres, n)
-                    mark = marks(own, found, points, homes, len(centres), k) if marked else 0.0
-                    yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": batch["embedding"], "lists": list(found.astype(np.int32)), "mark": mark})
-
-        return deal
-
-    shape = "vec_id bigint, embedding array<double>, lists array<int>, mark double"
-    filed = materialize(rows.mapInPandas(dealt(1, False), shape).select("vec_id", "embedding", F.col("lists")[0].alias("list"), "mark"))
-    asked = materialize(rows.where(F.col("vec_id") % step == 0).mapInPandas(dealt(probes, True), shape).select("vec_id", "embedding", F.explode("lists").alias("list"), "mark"))
+    def filing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own, centres = _matrix(batch["embedding"]), fit.value[0]
+                home = nearest_lists(own, centres, 1)[:, 0]
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": batch["embedding"], "list": home.astype(np.int32), "off": np.linalg.norm(own - centres[home], axis=1)})
+
+    filed = materialize(rows.mapInPandas(filing, "vec_id bigint, embedding array<double>, list int, off double"))
+    radii = np.zeros(len(centres))
+    for r in filed.groupBy("list").agg(F.max("off").alias("radius")).collect():  # at most MOST_LISTS rows
+        radii[r["list"]] = r["radius"]
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own = _matrix(batch["embedding"])
+                centres, points, homes = fit.value
+                found = promising_lists(own, centres, radii, probes)
+                mark = marks(own, found, points, homes, len(centres), k)
+                yield batch.assign(lists=list(found.astype(np.int32)), mark=mark)
+
+    once = rows.where(F.col("vec_id") % step == 0).dropDuplicates(["vec_id", "embedding"]).withColumn("ask", F.xxhash64("embedding"))
+    asked = once.mapInPandas(asking, "vec_id bigint, embedding array<double>, ask bigint, lists array<int>, mark double")
+    asked = materialize(asked.select("vec_id", "embedding", "ask", F.explode("lists").alias("list"), "mark"))
     # One row per list, of which there are at most MOST_LISTS.
     sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks"))
     asks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
     grid = F.broadcast(sizes.join(asks, "list"))
     spread = lambda blocks: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), blocks).cast("int")
     upto = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    mine = filed.join(grid, "list").select("list", spread(F.col("v_blocks")).alias("v"), upto(F.col("q_blocks")).alias("q"), F.lit(False).alias("asks"), "vec_id", "embedding", "mark")
-    theirs = asked.join(grid, "list").select("list", upto(F.col("v_blocks")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")).cast("int").alias("q"), F.lit(True).alias("asks"), "vec_id", "embedding", "mark")
+    mine = filed.join(grid, "list").select("list", spread(F.col("v_blocks")).alias("v"), upto(F.col("q_blocks")).alias("q"), F.lit(False).alias("asks"), "vec_id", "embedding", F.lit(0).cast("bigint").alias("ask"), F.lit(0.0).alias("mark"))
+    theirs = asked.join(grid, "list").select("list", upto(F.col("v_blocks")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")).cast("int").alias("q"), F.lit(True).alias("asks"), "vec_id", "embedding", "ask", "mark")
 
     def scanned(group: pd.DataFrame) -> pd.DataFrame:
         held, queries = group[~group["asks"]], group[group["asks"]]
         if not len(held) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": [], "ask": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "ask": "int64", "vec_id": "int64", "score": "float64"})
         held = held.sort_values("vec_id")
-        return scan(queries["vec_id"].to_numpy(), _matrix(queries["embedding"]), queries["mark"].to_numpy(), held["vec_id"].to_numpy(), _matrix(held["embedding"]), turn, k)
+        found = scan(queries["vec_id"].to_numpy(), _matrix(queries["embedding"]), queries["mark"].to_numpy(), held["vec_id"].to_numpy(), _matrix(held["embedding"]), turn, k)
+        return found.assign(ask=queries["ask"].to_numpy()[found["query"]])[["query_id", "ask", "vec_id", "score"]]
 
     hits = mine.unionByName(theirs).groupBy("list", "v", "q").applyInPandas(scanned, HITS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
