@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 Each source's documents are laid end to end in the order of a hash, and the stream is cut into blocks of equally many
-words. Slot i of the mix lies at the fractional part of i times the golden ratio; the source into whose share of the
+words: as long as the corpus size asks for, but shorter in a small source, which has some hundred blocks in any corpus
+(if it has the words); its share of the slots grows as its blocks shrink. Slot i of the mix lies at the fractional part of i times the golden ratio; the source into whose share of the
 cumulative weights it falls gets the slot. The slots of a source are ranked, and rank r takes block r modulo the
 source's number of blocks. Ranks and positions are found in two levels (sums of buckets, then within a bucket), so
 that no source, however large, is sorted in one task.
@@ -20,6 +21,8 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 #: The least number of words of a block, and the number of slots that longer blocks keep to.
 LEAST_BLOCK, SLOTS = 16, 1 << 18
+#: Blocks that each source has at least, unless they'd be shorter than LEAST_BLOCK.
+SOURCE_BLOCKS = 1024
 #: Hex digits of the hash that make a bucket of a source's stream; slots of a bucket of the schedule.
 BUCKET_DIGITS = 3
 SLOT_BUCKET = 1 << 12
@@ -58,19 +61,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def block_words(total: int) -> int:
-    """Words of a block: so many that the schedule keeps to SLOTS slots, however large the corpus is."""
+    """Words of a block: so many that the schedule keeps to SLOTS slots besides those of small sources, however large the corpus is."""
     return max(LEAST_BLOCK, -(-total // SLOTS))
 
 
 def shares(sources: DataFrame, block: int) -> DataFrame:
     """Adds blocks (of the source's stream), parts (of slots it needs) and its interval [low, high) of the 2^32 points."""
-    rows = sources.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("bigint"))
+    finest = F.ceil(F.col("source_size") / LEAST_BLOCK)
+    rows = sources.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / block), F.least(finest, F.lit(SOURCE_BLOCKS))).cast("bigint"))
     need = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") * PARTS + 0.5)).otherwise(0)
     rows = rows.withColumn("parts", need.cast("bigint"))
     order = Window.orderBy("place")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("all_parts", F.sum("parts").over(everything)).withColumn("upto", F.sum("parts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = lambda x: F.expr(f"({x}) * {FULL} div greatest(all_parts, 1)")
+    edge = lambda x: F.expr(f"CAST({x} AS DECIMAL(19, 0)) * {FULL} div greatest(all_parts, 1)")
     return rows.withColumn("low", edge("upto - parts")).withColumn("high", edge("upto"))
 
 
