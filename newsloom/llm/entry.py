@@ -35,7 +35,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(documents(spark, sf_dir))
     rows = quality.apply_policy(quality.apply_policy(rows), quality.BASE_POLICY, "base_kept")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

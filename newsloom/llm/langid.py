@@ -20,8 +20,8 @@ from newsloom.llm.shared import id_bucket
 
 #: n-grams of one to so many characters, and the number of hashed features as a power of two.
 LONGEST, BITS = 3, 15
-#: Training documents that the regression is fitted on: so many in all, at least so many of each language.
-SAMPLE, LEAST_SAMPLE = 3000, 20
+#: Training documents that the regression is fitted on: about so many in all, equally many of each language, and never more than twice as many.
+SAMPLE = 3000
 #: One sampled document in so many calibrates the temperature.
 CALIBRATE = 5
 FOLDS, HELD_OUT = 4, 2
@@ -32,27 +32,30 @@ _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _letters: dict[str, np.ndarray] = {}
 
 
-def _folded() -> np.ndarray:
-    """Code point -> itself if a letter, else a space; made once in each process."""
+def _folded() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> itself if a letter or a mark, else a space; and whether it is a letter. Made once in each process."""
     if "table" not in _letters:
-        table = np.full(0x110000, 32, np.uint32)
-        points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and unicodedata.category(chr(p))[0] in "LM"]
+        table, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
+        kinds = [(p, unicodedata.category(chr(p))[0]) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+        points = [p for p, kind in kinds if kind in "LM"]
         table[points] = points
-        _letters["table"] = table
-    return _letters["table"]
+        letter[[p for p, kind in kinds if kind == "L"]] = True
+        _letters["table"], _letters["letter"] = table, letter
+    return _letters["table"], _letters["letter"]
 
 
 def ngrams(text: str | None) -> np.ndarray | None:
     """Hashed n-grams of the whole text, letters in lower case and all else as single spaces; None without a letter."""
     if not text:
         return None
-    points = _folded()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")]
+    table, letter = _folded()
+    points = table[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")]
+    if not letter[points].any():
+        return None
     blank = points == 32
     keep = np.ones(len(points), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
     points = points[keep]
-    if len(points) < 2:
-        return None
     out, hashed = [], np.zeros(len(points) + 1, np.uint32)
     for n in range(LONGEST):
         if len(points) <= n:
@@ -108,33 +111,35 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits text and lang of training documents; at most about `sample` of them, chosen by a hash, reach the fit.
+    """Fits text and lang of training documents; about `sample` of them, chosen by a hash, reach the fit, and 2 * sample at most.
 
     The choice is made per language, in proportion to nothing but the bound, so that rare languages are learned too.
+    Repeated rows of an id are drawn together, so the bound on rows is a limit in the order of the draw.
     """
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((1 << BITS, 0)), np.ones(1 << BITS))
     langs = sorted(sizes)
-    each = max(LEAST_SAMPLE, sample // len(langs))
+    each = max(1, sample // len(langs))
     frequency, n = _document_frequencies(docs)
     model = Model(langs, np.zeros((1 << BITS, len(langs))), np.log((1 + n) / (1 + frequency)) + 1)
     full = 1 << 30
     limits = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(full, full * each // sizes[lang]))])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(full)) < F.element_at(limits, F.col("lang")))
+    chosen = docs.select("lang", "text", F.xxhash64("doc_id", F.lit("lang")).alias("draw"))
+    chosen = chosen.where(F.pmod(F.col("draw"), F.lit(full)) < F.element_at(limits, F.col("lang")))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"]):
+            for draw, lang, text in zip(batch["draw"], batch["lang"], batch["text"]):
                 grams = ngrams(text)
                 if grams is not None:
                     at, values = model.example(grams)
-                    rows.append((doc_id, lang, at.astype("<i4").tobytes(), values.astype("<f4").tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "lang", "at", "v"])
+                    rows.append((draw, lang, at.astype("<i4").tobytes(), values.astype("<f4").tobytes()))
+            yield pd.DataFrame(rows, columns=["draw", "lang", "at", "v"])
 
-    known = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text").mapInPandas(features, "id string, lang string, at binary, v binary").orderBy("id", "lang").collect()
+    known = chosen.mapInPandas(features, "draw bigint, lang string, at binary, v binary").orderBy("draw", "lang", "at", "v").limit(2 * sample).collect()
     examples = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["v"], "<f4").astype(float)) for r in known]
     labels = np.array([langs.index(r["lang"]) for r in known], dtype=int)
     fit = np.arange(len(known)) % CALIBRATE != 0
@@ -163,7 +168,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """documents -> doc_id, held_out, lang_pred, score; learned from the documents that aren't held out.
 
     Null texts and texts without a letter are `und` with score 0, as is every text if nothing can be learned. A null
-    id counts as the empty text in the split; repeated rows each get their row; an empty table gives an empty result.
+    id counts as the empty text in the split; repeated rows each get their row; an empty table gives an empty result; other
+    columns, also of clashing names, are ignored.
     """
     held_out = id_bucket("doc_id", FOLDS) == HELD_OUT
     model = train(docs.where(~held_out), sample)

@@ -10,7 +10,7 @@ that no source, however large, is sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.shared import WORD, guarded_broadcast, materialize
@@ -32,11 +32,19 @@ CELL_BITS = 20
 GOLDEN, FULL = 2654435769, 4294967296
 #: Parts of a slot in which shares are counted.
 PARTS = 256
+#: Equal rows beyond so many are laid into the stream by several tasks.
+RUN = 1 << 12
+
+
+def text_print(text: Column | str) -> Column:
+    """The digest that stands for a text; null and empty are one."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text (null: 0)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size (the number of words of the whole text; null: 0), print (the text's digest) and m (equal rows), one row for all equal ones."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")
+    return docs.select("doc_id", "source", size, text_print(F.col("text")).alias("print")).groupBy("doc_id", "source", "size", "print").agg(F.count("*").alias("m"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -47,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     share of what the earlier ones left. The table has one row per source, so its windows are over few rows.
     """
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
     per = per.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("place") % len(weights) + 1))
     per = per.withColumn("most", F.col("source_size") * repeats).withColumn("total", F.sum("source_size").over(everything))
@@ -79,17 +87,27 @@ def shares(sources: DataFrame, block: int) -> DataFrame:
 
 
 def stream(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents with words in their source's stream: doc_id, place, size, source_size, target, blocks and `at`, the words before."""
+    """Documents with words in their source's stream: doc_id, place, size, source_size, target, blocks, print and `at`, the words before.
+
+    Buckets come from the id and the text together, so that no id that many rows share fills one; equal rows lie in
+    the stream as one run and are told apart after the sums.
+    """
     known = guarded_broadcast(sources.select(F.col("source").alias("s"), "place", "source_size", "target", "blocks"))
     rows = sizes.where("size > 0").join(known, F.col("source").eqNullSafe(F.col("s")), "left")
-    rows = rows.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("turn", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "print")))
     rows = rows.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS))
-    sums = rows.groupBy("place", "bucket").agg(F.sum("size").alias("held"))
+    sums = rows.groupBy("place", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("held"))
     before = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("place", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("place", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(sums, ["place", "bucket"]).select("doc_id", "place", "size", "source_size", "target", "blocks", (F.col("base") + F.col("inner")).alias("at"))
+    within = Window.partitionBy("place", "bucket").orderBy("turn", "doc_id", "print").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("m")).over(within), F.lit(0)))
+    rows = rows.join(sums, ["place", "bucket"]).withColumn("at", F.col("base") + F.col("inner"))
+    columns = ["doc_id", "place", "size", "source_size", "target", "blocks", "print"]
+    few = rows.where(F.col("m") <= RUN).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    runs = rows.where(F.col("m") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(RUN).cast("bigint"))))
+    many = runs.repartition("run", "turn").withColumn("k", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("m")) - 1)))
+    at = (F.col("at") + F.col("k") * F.col("size")).alias("at")
+    return few.select(*columns, at).unionByName(many.select(*columns, at))
 
 
 def schedule(spans: DataFrame, slots: int, repeats: int = REPEATS) -> DataFrame:
@@ -114,11 +132,12 @@ def schedule(spans: DataFrame, slots: int, repeats: int = REPEATS) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """documents -> doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted).
+    """documents -> doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted), print (digest of the text).
 
     Null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, the last; repeated
-    rows and null ids are documents of their own; an empty table gives an empty result; other columns are ignored.
-    Only the corpus size and the number of slots come to the driver.
+    rows and null ids are documents of their own; an empty table gives an empty result; other columns, also of clashing
+    names, are ignored. Only the corpus size and the number of slots come to the driver. The tables of one row per
+    source pass through one task, in order of their names, which the weights follow.
     """
     sizes = materialize(sized(docs))
     sources = materialize(targets(sizes, weights, repeats))
@@ -135,20 +154,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     high = F.least(F.col("at") + F.col("size"), F.expr("(block + 1) * source_size div blocks"))
     pieces = pieces.withColumn("words", high - low).where("words > 0")
     met = pieces.join(copies, ["place", "block"], "left")
-    taken = met.groupBy("doc_id", "place", "at", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("copies", F.lit(0))).alias("taken"))
+    taken = met.groupBy("doc_id", "place", "at", "size", "source_size", "target", "print").agg(F.sum(F.col("words") * F.coalesce("copies", F.lit(0))).alias("taken"))
     known = guarded_broadcast(spans.select("source", "place"))
-    full = taken.join(known, "place").select("doc_id", "source", "size", "source_size", "target", "taken")
+    full = taken.join(known, "place").select("doc_id", "source", "size", "source_size", "target", "taken", "print")
     about = guarded_broadcast(spans.select(F.col("source").alias("s"), "source_size", "target"))
-    empty = sizes.where("size = 0").join(about, F.col("source").eqNullSafe(F.col("s")), "left")
-    return full.unionByName(empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
+    empty = sizes.where("size = 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), "m"))).join(about, F.col("source").eqNullSafe(F.col("s")), "left")
+    return full.unionByName(empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), "print"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mix as whole documents: each row as many times as the schedule takes it, to the nearest whole number.
 
-    Rows of one doc_id and source share what they take. All columns stay.
+    Equal rows (doc_id, source and text) share what they take; null and empty texts are never taken; null ids and
+    sources count as values of their own; an empty table gives an empty result. All columns stay.
     """
-    rate = mix(docs, weights, repeats).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
-    times = F.floor(F.col("rate") + 0.5).cast("int")
-    met = docs.join(rate.where("rate >= 0.5"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    rate = mix(docs, weights, repeats).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("print").alias("_p"))
+    rate = rate.agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_rate")).where("_rate >= 0.5")
+    same = text_print(docs["text"]) == F.col("_p")
+    met = docs.join(rate, same & docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("_rate") + 0.5).cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -12,21 +12,21 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.
  CASE WHEN payload_bytes >= {warc.LEAST_PAYLOAD} AND page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
 OP4 = rf"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH s AS (SELECT doc_id, source, md5(coalesce(text, '')) AS print, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s GROUP BY source),
 w AS (SELECT *, {list(mixing.WEIGHTS)}[CAST(place % {len(mixing.WEIGHTS)} AS INT) + 1] AS weight, source_size * {mixing.REPEATS} AS most, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM per),
 o AS (SELECT *, CAST(total - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
   / CAST(sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
 l AS (SELECT (SELECT level FROM o WHERE most > level * weight ORDER BY most / weight, place LIMIT 1) AS shared),
 t AS (SELECT source, place, source_size, total, coalesce(least(CAST(most AS DOUBLE), shared * weight), CAST(most AS DOUBLE)) AS target, greatest({mixing.LEAST_BLOCK}, (total + {mixing.SLOTS - 1}) // {mixing.SLOTS}) AS width FROM o, l),
-b AS (SELECT *, (source_size + width - 1) // width AS blocks FROM t),
+b AS (SELECT *, greatest((source_size + width - 1) // width, least((source_size + {mixing.LEAST_BLOCK - 1}) // {mixing.LEAST_BLOCK}, {mixing.SOURCE_BLOCKS})) AS blocks FROM t),
 n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * blocks / source_size * {mixing.PARTS} + 0.5) AS BIGINT) ELSE 0 END AS parts FROM b),
 u AS (SELECT *, CAST(sum(parts) OVER () AS BIGINT) AS all_parts, CAST(sum(parts) OVER (ORDER BY place) AS BIGINT) AS upto FROM n),
 e AS (SELECT *, (upto - parts) * {mixing.FULL} // greatest(all_parts, 1) AS low, upto * {mixing.FULL} // greatest(all_parts, 1) AS high FROM u),
 k AS (SELECT slot, slot * {mixing.GOLDEN} % {mixing.FULL} AS point FROM (SELECT unnest(range((SELECT (max(all_parts) + {mixing.PARTS - 1}) // {mixing.PARTS} FROM e))) AS slot)),
 m AS (SELECT e.place, e.blocks, row_number() OVER (PARTITION BY e.place ORDER BY k.slot) - 1 AS turn FROM k JOIN e ON k.point >= e.low AND k.point < e.high),
 c AS (SELECT place, turn % blocks AS block, count(*) AS copies FROM m WHERE turn < blocks * {mixing.REPEATS} GROUP BY 1, 2),
-d AS (SELECT s.doc_id, s.size, e.source_size, e.target, e.place, e.blocks, CAST(coalesce(sum(s.size) OVER (PARTITION BY e.place ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+d AS (SELECT s.doc_id, s.size, e.source_size, e.target, e.place, e.blocks, CAST(coalesce(sum(s.size) OVER (PARTITION BY e.place ORDER BY md5(concat_ws(':', CAST(s.doc_id AS VARCHAR), s.print)), s.doc_id, s.print ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
   FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source WHERE s.size > 0),
 g AS (SELECT *, unnest(range(greatest((pos * blocks + blocks - 1) // source_size - 1, 0), least(((pos + size - 1) * blocks + blocks - 1) // source_size, blocks - 1) + 1)) AS block FROM d),
 h AS (SELECT *, least(pos + size, (block + 1) * source_size // blocks) - greatest(pos, block * source_size // blocks) AS words FROM g),
@@ -52,6 +52,6 @@ m AS (SELECT t.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(li
   CAST(len(regexp_extract_all(t.body, '[{quality.SYMBOLS}]')) AS BIGINT) AS n_symbols, coalesce(d.n_dup_lines, 0) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words,
   coalesce(d.n_lines, 0) AS n_lines, CAST(len(regexp_extract_all(t.body, '[A-Z]')) AS BIGINT) AS n_upper FROM t JOIN w ON w.r = t.r LEFT JOIN a ON a.r = t.r LEFT JOIN d ON d.r = t.r),
 f AS (SELECT *, CAST({_bits()} AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality.policy_mask(quality.BASE_POLICY)} <> 0 AS base_failed, fail_bits & {quality.policy_mask(quality.POLICY)} = 0 AS kept, fail_bits FROM f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, fail_bits & {quality.policy_mask(quality.BASE_POLICY)} <> 0 AS base_failed, fail_bits & {quality.policy_mask(quality.POLICY)} = 0 AS kept, fail_bits FROM f"""
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_source_mix": OP4, "op6_quality_rules": OP6}

@@ -107,14 +107,19 @@ def _fails(rule: str) -> Column:
     return F.expr(RULES[rule])
 
 
+def _with_bits(rows: DataFrame) -> DataFrame:
+    """Adds fail_bits: every rule's condition on the measurements, evaluated once."""
+    bits = sum((F.when(_fails(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES)), F.lit(0))
+    return rows.withColumn("fail_bits", bits.cast("bigint"))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, the measurements and fail_bits: one scan, no shuffle.
 
-    Null and empty texts measure zero everywhere and fail few_words; repeated rows are kept; other columns are ignored.
+    Null and empty texts measure zero everywhere and fail few_words; very long texts are measured whole; repeated rows
+    and null ids are kept; an empty table gives an empty ledger; other columns, also of clashing names, are ignored.
     """
-    rows = docs.select("doc_id", measurements(F.col("text")).alias("m")).select("doc_id", "m.*")
-    bits = sum((F.when(_fails(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES)), F.lit(0))
-    return rows.withColumn("fail_bits", bits.cast("bigint"))
+    return _with_bits(docs.select("doc_id", measurements(F.col("text")).alias("m")).select("doc_id", "m.*"))
 
 
 def apply_policy(rows: DataFrame, version: int = POLICY, name: str = "kept") -> DataFrame:
@@ -141,9 +146,10 @@ def ablations(rows: DataFrame, version: int = POLICY) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: int = POLICY) -> DataFrame:
-    """Drops the documents that the policy rejects; columns stay, and nothing is shuffled."""
-    held = docs.select(F.struct(*docs.columns).alias("row"), measurements(F.col("text")).alias("m"))
-    bad = F.lit(False)
-    for rule in POLICIES[version]:
-        bad = bad | F.expr(RULES[rule])
-    return held.select("row", "m.*").where(~bad).select("row.*")
+    """Drops the documents that the policy rejects by their ledger bits; columns stay, and nothing is shuffled.
+
+    Null and empty texts go (too few words), repeated rows and null ids stay as often as they are, an empty table
+    stays empty, and columns named like measurements are left alone.
+    """
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), measurements(F.col("text")).alias("m"))
+    return apply_policy(_with_bits(held.select("_row", "m.*")), version, "_kept").where("_kept").select("_row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import connected_components
-from newsloom.llm.shared import materialize
+from newsloom.llm.shared import guarded_broadcast, materialize
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -26,11 +26,13 @@ SMALL_BUCKET = 64
 LEVELS = 3
 #: The near-duplicate stage of a pipeline: words of a shingle, and the least Jaccard similarity of two sets of shingles.
 STAGE_WORDS, SIMILAR = 5, 0.8
-#: Its candidates: parts of the 64 bits, the radius that the masks of each cover (11 bits altogether), and the most bits
-#: in which a candidate may differ (masks meet many pairs beyond the 11).
-PARTS, PART_RADIUS, CANDIDATE_BITS = 2, 5, 14
+#: Its candidates: parts of two fingerprints of 64 bits, the radius that the masks of each part cover (19 bits of the 128
+#: altogether), and the most bits in which a candidate may differ (masks meet many pairs beyond the 19).
+PARTS, PART_RADIUS, PAIR_BITS = 4, 4, 34
 #: Buckets of more nodes than this meet by way of a pivot.
-PIVOT_BUCKET = 256
+PIVOT_BUCKET = 32
+#: Rows of a task that are hashed under all masks.
+TASK_ROWS = 20_000
 
 
 def simhash64(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -47,10 +49,7 @@ def simhash64(text: str | None, words: int = SHINGLE_WORDS) -> int:
         ends = np.cumsum(lengths + 1) - 1
         first, last = (ends - lengths)[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist()
         hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+    return _majority(hashes)
 
 
 def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -64,9 +63,13 @@ def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def covering_masks(radius: int = RADIUS, bits: range | list[int] = range(64), turn: int = 0) -> list[int]:
-    """2^(radius+1) - 1 masks over `bits`, of which one at least misses any `radius` given bits."""
-    size = 2 ** (radius + 1) - 1
-    vector = {bit: (k + turn) % size + 1 for k, bit in enumerate(bits)}
+    """2^(radius+1) - 1 masks over `bits`, of which one at least misses any `radius` given bits.
+
+    Up to 2^radius bits get vectors with the highest coordinate set, so that every mask keeps half of 2^radius bits, or
+    all of them; more bits get all vectors in turn.
+    """
+    size, half = 2 ** (radius + 1) - 1, 2**radius
+    vector = {bit: half + (k + turn) % half if len(bits) <= half else (k + turn) % size + 1 for k, bit in enumerate(bits)}
     return [sum(1 << b for b, x in vector.items() if (x & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
@@ -79,46 +82,49 @@ def _keyed(rows: DataFrame, radius: int, level: int) -> DataFrame:
     masks = F.array(*[F.lit(_signed(m)).cast("bigint") for m in covering_masks(radius, turn=5 * level)])
     kept = F.col("kept") if level else F.lit(0).cast("bigint")
     table = F.col("table") * len(covering_masks(radius)) if level else F.lit(0)
-    rows = rows.select("id", "fp", kept.alias("was"), table.alias("base"), F.posexplode(masks).alias("t", "mask"))
+    rows = rows.select("fp", kept.alias("was"), table.alias("base"), F.posexplode(masks).alias("t", "mask"))
     mask = F.col("was").bitwiseOR(F.col("mask"))
-    return rows.select("id", "fp", (F.col("base") + F.col("t")).cast("bigint").alias("table"), mask.alias("kept"), F.col("fp").bitwiseAND(mask).alias("key"))
+    return rows.select("fp", (F.col("base") + F.col("t")).cast("bigint").alias("table"), mask.alias("kept"), F.col("fp").bitwiseAND(mask).alias("key"))
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
-    """Rows whose bucket holds another fingerprint, with the bucket's size and the number of bits in which it varies."""
-    over = "OVER (PARTITION BY table, kept, key)"
-    rows = rows.selectExpr("*", f"count(*) {over} AS n", f"bit_or(fp) {over} AS any_bit", f"bit_and(fp) {over} AS all_bits", f"min(struct(id, fp)) {over} AS low")
-    return rows.where("n > 1").selectExpr("*", "bit_count(any_bit ^ all_bits) AS varying")
+    """Rows whose bucket holds another fingerprint, with the bucket's size, its least fingerprint and the number of bits in which it varies.
+
+    Buckets are counted by an aggregate that combines before the shuffle; only the shared ones meet their rows again.
+    """
+    held = rows.groupBy("table", "kept", "key").agg(F.count("*").alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("every"), F.min("fp").alias("low"))
+    held = held.where("n > 1").selectExpr("table", "key", "n", "low", "bit_count(some ^ every) AS varying")
+    return rows.join(held, ["table", "key"])
 
 
 def _pairs_in_rows(rows: DataFrame, radius: int) -> DataFrame:
     """Links within small buckets: each bucket is one row, and only links leave it."""
-    bucket = rows.groupBy("table", "kept", "key").agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("all"))
-    near = F.transform(F.filter("all", lambda x: (x["id"] > F.col("one.id")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= radius)), lambda x: x["id"])
-    return bucket.select("all", F.explode("all").alias("one")).select(F.col("one.id").alias("u"), F.explode(near).alias("v"))
+    bucket = rows.groupBy("table", "kept", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
+    near = F.filter("all", lambda x: (x > F.col("one")) & (F.bit_count(x.bitwiseXOR(F.col("one"))) <= radius))
+    return bucket.select("all", F.explode("all").alias("one")).select(F.col("one").alias("u"), F.explode(near).alias("v"))
 
 
 def _pairs_in_blocks(rows: DataFrame, radius: int, block: int) -> DataFrame:
     """Links of buckets that no mask can split further: blocks of a bounded size meet pair by pair."""
     dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    one = dealt.select("table", "kept", "key", F.col("id").alias("u"), F.col("fp").alias("left_fp"), "b", F.explode(F.expr("sequence(b, blocks - 1)")).alias("c"))
-    two = dealt.select("table", "kept", "key", F.col("id").alias("v"), F.col("fp").alias("right_fp"), F.explode(F.expr("sequence(0, b)")).alias("b"), F.col("b").alias("c"))
-    met = one.join(two, ["table", "kept", "key", "b", "c"])
-    return met.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("left_fp").bitwiseXOR(F.col("right_fp"))) <= radius)).select("u", "v")
+    one = dealt.select("table", "key", F.col("fp").alias("u"), "b", F.explode(F.expr("sequence(b, blocks - 1)")).alias("c"))
+    two = dealt.select("table", "key", F.col("fp").alias("v"), F.explode(F.expr("sequence(0, b)")).alias("b"), F.col("b").alias("c"))
+    met = one.join(two, ["table", "key", "b", "c"])
+    return met.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v")
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCKET, levels: int = LEVELS) -> DataFrame:
-    """(id, fp) with distinct fp -> links (u, v) whose components are those of all pairs within `radius` bits.
+    """Distinct fingerprints (fp) -> links (u, v) between them, whose components are those of all pairs within `radius` bits.
 
     A bucket that varies in at most `radius` bits is linked as a star; a small one pair by pair; a larger one is
     hashed again by masks of the bits it doesn't share, which again lose no pair, and after `levels` rounds what is
     left is compared in blocks. No bucket is capped.
     """
-    found, rows = [], fingerprints.select("id", "fp")
+    found, rows = [], fingerprints.select("fp")
     for level in range(levels):
         met = materialize(_shared_buckets(_keyed(rows, radius, level)))
         star, few = F.col("varying") <= radius, F.col("n") <= small
-        found.append(met.where(star).select(F.col("low.id").alias("u"), F.col("id").alias("v")).where("u <> v"))
+        found.append(met.where(star).select(F.col("low").alias("u"), F.col("fp").alias("v")).where("u <> v"))
         found.append(_pairs_in_rows(met.where(~star & few), radius))
         rows = met.where(~star & ~few)
         if rows.isEmpty():
@@ -134,15 +140,18 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCK
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """documents -> doc_id, fp (bigint), component_id: the smallest doc_id reachable through links of `radius` bits.
 
-    Null and empty texts have the fingerprint zero and link like any other. Equal fingerprints meet in a map-side
-    combined aggregate first, so a group of copies counts once however large it is. A null doc_id takes part as a
-    member but names no component; where a whole group has none, component_id is null. Repeated rows each get their
-    row; an empty table gives an empty result; other columns are ignored.
+    Fingerprints are the nodes, so rows without a doc_id link and bridge like any other; they name no component, and
+    where a whole group has no doc_id, component_id is null. Null and empty texts have the fingerprint zero and link
+    like any other. Equal fingerprints meet in a map-side combined aggregate first, so a group of copies counts once
+    however large it is. Repeated rows each get their row; an empty table gives an empty result; other columns are
+    ignored.
     """
     prints = materialize(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    named = connected_components(links(distinct.where("id IS NOT NULL"), radius)).withColumnRenamed("node", "id")
-    labels = distinct.join(named, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    named = connected_components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    placed = materialize(distinct.join(named, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component")))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    labels = placed.join(least, "component").select("fp", "component_id")
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -150,63 +159,96 @@ def fingerprint_hex(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def stage_line(text: Column) -> Column:
+    """The text's words in lower case (A-Z), joined by single spaces."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), r"[\x20\x09-\x0D]+", " "))
 
 
-def _shingles(tokens: list[bytes], words: int) -> set[int]:
+def _shingles(line: str, words: int) -> set[int]:
     """Hashes of the distinct runs of `words` words; a shorter text is one run, an empty text has none."""
+    tokens = line.encode("utf-8", "surrogatepass").split()
     runs = [b" ".join(tokens[k : k + words]) for k in range(len(tokens) - words + 1)] or ([b" ".join(tokens)] if tokens else [])
     return {x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(r, SEED) for r in set(runs))}
 
 
-def _node(tokens: list[bytes]) -> int:
-    """A number for the text without case and spacing: equal texts are one node."""
-    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) - (1 << 63)
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _two_fingerprints(line: str, words: int) -> tuple[int, int, int]:
+    """Fingerprints of the distinct shingles by two hashes (the second stirs the first), and the number of shingles."""
+    hashes = np.fromiter(_shingles(line, words), dtype="<i8").view("<u8")
+    if not len(hashes):
+        return 0, 0, 0
+    stirred = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    stirred = (stirred ^ (stirred >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(hashes), _majority(stirred ^ (stirred >> np.uint64(32))), len(hashes)
 
 
-def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, fp and n, the number of words."""
+def stage_nodes(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """One row per distinct text (but for case and spacing): node, who (its least doc_id, null last, and a hash of that row), fp, fp2, n (shingles)."""
 
-    @F.pandas_udf("node bigint, fp bigint, n int")
-    def hashed(texts: pd.Series) -> pd.DataFrame:
-        rows = [(_node(tokens := _words(x)), simhash64(x, words), len(tokens)) for x in texts]
-        return pd.DataFrame(rows, columns=["node", "fp", "n"]).astype({"node": "int64", "fp": "int64", "n": "int32"})
+    @F.pandas_udf("fp bigint, fp2 bigint, n int")
+    def hashed(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_two_fingerprints(x, words) for x in lines], columns=["fp", "fp2", "n"]).astype({"fp": "int64", "fp2": "int64", "n": "int32"})
 
-    return docs.select("doc_id", hashed("text").alias("s")).select("doc_id", "s.*")
+    who = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), row_hash(docs).alias("row"))
+    rows = docs.select(who.alias("who"), stage_line(F.col("text")).alias("line"))
+    rows = rows.select("who", F.xxhash64("line").alias("node"), hashed("line").alias("s")).select("who", "node", "s.*")
+    return rows.groupBy("node").agg(F.min("who").alias("who"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"))
 
 
-def part_masks() -> list[tuple[int, int]]:
-    """(first bit of the part, mask) of every table: of PARTS * (PART_RADIUS + 1) - 1 differing bits, some part has PART_RADIUS at most."""
-    width = 64 // PARTS
-    return [(at, m) for at in range(0, 64, width) for m in covering_masks(PART_RADIUS, range(at, at + width))]
+def row_hash(docs: DataFrame) -> Column:
+    """A number for a whole row, nulls told from empty values."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
+
+
+def part_masks() -> list[tuple[str, int, int]]:
+    """(fingerprint, first bit of the part, mask) of every table: of PARTS * (PART_RADIUS + 1) - 1 differing bits, some part has PART_RADIUS at most."""
+    width = 128 // PARTS
+    return [(name, at, m) for name in ("fp", "fp2") for at in range(0, 64, width) for m in covering_masks(PART_RADIUS, range(at, at + width))]
 
 
 def _could_be_near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= CANDIDATE_BITS
+    one = F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp")))
+    return one + F.bit_count(F.col(f"{a}fp2").bitwiseXOR(F.col(f"{b}fp2"))) <= PAIR_BITS
 
 
 def _bucketed(nodes: DataFrame) -> DataFrame:
-    """node, fp under every mask: key, the bucket's size and its pivot (the least node)."""
-    keys = [F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")), at).bitwiseOR(F.lit(k << 64 // PARTS).cast("bigint")) for k, (at, m) in enumerate(part_masks())]
-    rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    over = "OVER (PARTITION BY key)"
-    return rows.selectExpr("*", f"count(*) {over} AS size", f"min(struct(node, fp)) {over} AS pivot").where("size > 1")
+    """node and its fingerprints under every mask's key."""
+    width = 128 // PARTS
+    keys = [F.shiftrightunsigned(F.col(name).bitwiseAND(F.lit(_signed(m)).cast("bigint")), at).bitwiseOR(F.lit(k << width).cast("bigint")) for k, (name, at, m) in enumerate(part_masks())]
+    return nodes.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key"))
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """Per bucket (key) the node nearest to the majority of its fingerprints' bits: p, pfp, pfp2. The original of a group of copies lies there."""
+    one = F.lit(1).cast("bigint")
+    ones = [F.sum(F.shiftrightunsigned("nodefp", k).bitwiseAND(one)).alias(f"b{k}") for k in range(64)]
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), *ones)
+    major = sum((F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(_signed(1 << k)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k in range(64)), F.lit(0).cast("bigint"))
+    sums = guarded_broadcast(materialize(sums.select("key", major.alias("major"))))
+    gap = F.bit_count(F.col("nodefp").bitwiseXOR(F.col("major"))).alias("gap")
+    best = rows.join(sums, "key").groupBy("key").agg(F.min(F.struct(gap, "node", "nodefp", "nodefp2")).alias("best"))
+    return best.select("key", F.col("best.node").alias("p"), F.col("best.nodefp").alias("pfp"), F.col("best.nodefp2").alias("pfp2"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of SIMILAR or more."""
 
-    @F.pandas_udf("node bigint, grams array<bigint>")
-    def shingled(texts: pd.Series) -> pd.DataFrame:
-        split = [_words(x) for x in texts]
-        return pd.DataFrame({"node": [_node(x) for x in split], "grams": [sorted(_shingles(x, words)) for x in split]})
+    @F.pandas_udf("array<bigint>")
+    def shingled(lines: pd.Series) -> pd.Series:
+        return pd.Series([list(_shingles(x, words)) for x in lines])
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select(shingled("text").alias("s")).select("s.*")
-    sets = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    pairs = materialize(pairs)
+    wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", F.col("who.row").alias("row"))
+    rows = docs.select(row_hash(docs).alias("row"), stage_line(F.col("text")).alias("line")).join(guarded_broadcast(materialize(wanted)), "row")
+    sets = materialize(rows.select("node", shingled("line").alias("grams")).groupBy("node").agg(F.first("grams").alias("grams")))
+    met = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     met = met.withColumn("both", F.size(F.array_intersect("a", "b"))).withColumn("any", F.size("a") + F.size("b") - F.col("both"))
     return materialize(met.where(F.col("both") >= SIMILAR * F.col("any") - 1e-9).select("u", "v"))
 
@@ -214,40 +256,57 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -
 def similar_links(docs: DataFrame, nodes: DataFrame, small: int = PIVOT_BUCKET, words: int = STAGE_WORDS) -> DataFrame:
     """Links (u, v) whose components are those of all candidate pairs with a shingle Jaccard of SIMILAR or more.
 
-    Candidates share a bucket of some mask and differ in at most CANDIDATE_BITS bits. In a bucket of more than `small`
-    nodes all meet its pivot first; then those that are not yet in the pivot's component meet everyone of another
-    component, so that a large group of near copies makes few pairs and no pair that could join two components is left out.
+    Candidates share a bucket of some mask and differ in at most PAIR_BITS bits of both fingerprints. The nodes of a bucket of more
+    than `small` meet its pivot first, each the pivot it is nearest to; then those that aren't in their pivot's
+    component meet the other pivots; then those of another component than the pivot's meet everyone of another
+    component. So a large group of near copies makes few pairs, and no pair that could join two components is left out.
     """
-    rows = _bucketed(nodes)
-    few = rows.where(F.col("size") <= small).select("node", "fp", "key")
-    one, two = (few.select("key", F.col("node").alias(n), F.col("fp").alias(f"{n}fp")) for n in "uv")
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("u") < F.col("v")) & _could_be_near("u", "v")).select("u", "v")
-    many = materialize(rows.where(F.col("size") > small))
-    star = many.where((F.col("node") != F.col("pivot.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= CANDIDATE_BITS))
-    pairs = pairs.unionByName(star.select(F.col("pivot.node").alias("u"), F.col("node").alias("v")))
-    found = _verified(materialize(pairs.distinct()), docs, nodes, words)
-    if many.isEmpty():
-        return found
-    named = materialize(connected_components(found))
-    known = many.select("key", "node", "fp", F.col("pivot.node").alias("p")).join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    heads = named.select(F.col("node").alias("p"), F.col("component").alias("head"))
-    known = materialize(known.join(heads, "p", "left").withColumn("head", F.coalesce("head", "p")))
-    left = known.where("c <> head").select("key", F.col("node").alias("u"), F.col("fp").alias("ufp"), F.col("c").alias("uc"))
-    right = known.select(F.col("key").alias("k"), F.col("node").alias("v"), F.col("fp").alias("vfp"), F.col("c").alias("vc"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, nodes.count() // TASK_ROWS)
+    rows = _bucketed(nodes.select("node", "fp", "fp2").repartition(tasks))
+    crowded = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > small).select("key"))
+    few = rows.join(guarded_broadcast(crowded), "key", "left_anti")
+    one, two = (few.select("key", F.col("node").alias(n), F.col("fp").alias(f"{n}fp"), F.col("fp2").alias(f"{n}fp2")) for n in "uv")
+    pairs = one.join(two, "key").where((F.col("u") < F.col("v")) & _could_be_near("u", "v")).select("u", "v")
+    if crowded.isEmpty():
+        return _verified(pairs.distinct(), docs, nodes, words)
+    many = materialize(rows.join(guarded_broadcast(crowded), "key").withColumnsRenamed({"fp": "nodefp", "fp2": "nodefp2"}))
+    many = many.join(guarded_broadcast(materialize(_pivots(many))), "key")
+    star = many.where((F.col("node") != F.col("p")) & _could_be_near("p", "node"))
+    nearest = F.min(F.struct(F.bit_count(F.col("pfp").bitwiseXOR(F.col("nodefp"))).alias("bits"), "p"))
+    pairs = pairs.unionByName(star.groupBy("node").agg(nearest.alias("to")).select(F.col("to.p").alias("u"), F.col("node").alias("v")))
+    found = _verified(pairs.distinct(), docs, nodes, words)
+
+    def placed(links: DataFrame) -> DataFrame:
+        """Rows of crowded buckets with their component and their pivot's."""
+        named = materialize(connected_components(links))
+        known = many.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        heads = named.select(F.col("node").alias("p"), F.col("component").alias("head"))
+        return known.join(heads, "p", "left").withColumn("head", F.coalesce("head", "p"))
+
+    again = placed(found).where("c <> head").where(_could_be_near("p", "node")).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()
+    found = found.unionByName(_verified(again, docs, nodes, words))
+    known = materialize(placed(found))
+    left = known.where("c <> head").select("key", F.col("node").alias("u"), F.col("nodefp").alias("ufp"), F.col("nodefp2").alias("ufp2"), F.col("c").alias("uc"))
+    right = known.select(F.col("key").alias("k"), F.col("node").alias("v"), F.col("nodefp").alias("vfp"), F.col("nodefp2").alias("vfp2"), F.col("c").alias("vc"))
     rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("uc") != F.col("vc")) & _could_be_near("u", "v"))
-    rest = materialize(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return found.unionByName(_verified(rest, docs, nodes, words))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """Drops every document but the one with the smallest doc_id of each group; all columns stay as they are.
+    """Drops every document but one of each group: that with the smallest doc_id (null last). Columns stay as they are.
 
     A group is joined by five-word shingle sets with a Jaccard similarity of 0.8 or more; texts that are equal but for
-    case and spacing are one. Of repeated rows of one doc_id one stays. Rows without a doc_id stay.
+    case and spacing are one, null and empty texts among them. Rows of one doc_id with different texts are documents
+    of their own; of rows that share doc_id and text the one with the least hash of all its columns stays, so that
+    reruns agree. An empty table gives an empty result; other columns, whatever their names, take no part.
     """
-    prints = _nodes(docs.where("doc_id IS NOT NULL"), STAGE_WORDS)
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.max("n").alias("n")))
-    named = connected_components(similar_links(docs, nodes.where("n >= " + str(STAGE_WORDS))))
-    kept = nodes.join(named, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    nodes = materialize(stage_nodes(docs))
+    named = connected_components(similar_links(docs, nodes.where(F.col("n") > 0)))
+    kept = nodes.join(named, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("who").alias("who"))
+    kept = materialize(kept.select(F.col("who.row").alias("_row")).distinct())
+    rows = docs.withColumn("_row", row_hash(docs)).join(guarded_broadcast(kept), "_row", "left_semi")
+    # Equal rows have equal hashes: they are few or many, but one short key, combined before the shuffle.
+    repeated = rows.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
+    repeated = guarded_broadcast(materialize(repeated))
+    return rows.join(repeated, "_row", "left_anti").drop("_row").unionByName(rows.join(repeated, "_row", "left_semi").drop("_row").distinct())

@@ -1,13 +1,18 @@
 """Toxicity: a linear classifier whose scores may not hang on which group a text mentions.
 
-In labelled texts that mention a group, the term is swapped for the others of its kind and for a neutral word; the
-training adds the squared change of the score to its loss. A neutral word counts as no evidence, so that weights of
-identity terms are drawn together and towards none, and neutral mentions stop raising the score.
+Each identity term in a labelled sentence is swapped for another of its kind, and the training adds the squared change
+of the sentence's score to its loss. Since a corpus may hold no such terms, one sentence of each labelled text gets a
+term besides, so that mentions without insults are always among the training. Terms of one kind are so drawn to one
+weight, and towards none, since the neutral word of a kind counts as no evidence; neutral mentions stop raising the
+score. Where no labelled
+text mentions a group, no term gains a weight, and the result is that of the plain regression.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -33,15 +38,15 @@ IDENTITIES = (
     ("frauen", "männer", "muslime", "christen", "juden", "ausländer", "menschen"),
 )
 _KIND = {term: kind for kind in IDENTITIES for term in kind}
-_NEUTRAL = {kind[-1] for kind in IDENTITIES}
 WORDS = re.compile(r"\w+")
+SENTENCE = re.compile(r"[^.!?\n]+")
 #: Labelled rows that the classifier is fitted on, of each label at most about so many; a word must be in so many of them.
 SAMPLE, LEAST_DOCS = 3000, 3
 ROUNDS = 20
 #: Lengths of the beginnings of words that are features besides the words.
 STEMS = (4, 5)
 #: Weight of the squared score changes against the log loss.
-COUNTERFACTUAL = 1.0
+COUNTERFACTUAL = 8.0
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -51,9 +56,21 @@ def words(text: str | None) -> set[str]:
     return found | {f"{w[:n]}*" for n in STEMS for w in found if len(w) > n and w not in _KIND}
 
 
-def counterfactuals(found: set[str]) -> list[tuple[str, str]]:
-    """(term, its replacement) for every identity term of a text and every other term of its kind."""
-    return [(term, other) for term in sorted(found & _KIND.keys()) for other in _KIND[term] if other != term and other not in found]
+def mentions(text: str | None) -> list[tuple[str, list[str]]]:
+    """(identity term, the features of its sentence without it) for every mention, and for one term that is placed into a sentence.
+
+    The sentence and the term that is placed follow from a checksum of the text.
+    """
+    sentences = [found for x in SENTENCE.findall(text or "") if (found := set(WORDS.findall(x.lower())))]
+    if not sentences:
+        return []
+    draw, terms = zlib.crc32(text.encode("utf-8", "replace")), sorted(_KIND)
+    placed = sentences[draw % len(sentences)], {terms[draw // len(sentences) % len(terms)]}
+    out = []
+    for found, named in [*((x, x & _KIND.keys()) for x in sentences), placed]:
+        rest = words(" ".join(found - named)) if named else ()
+        out += [(term, sorted(rest | (named - {term}))) for term in sorted(named)]
+    return out
 
 
 @dataclass
@@ -64,20 +81,26 @@ class Model:
     bias: float = 0.0
 
     def score(self, text: str | None) -> float:
-        total = self.bias + sum(self.weights[w] for w in self.weights.keys() & words(text))
-        return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
+        return _chance(self.bias + sum(self.weights[w] for w in self.weights.keys() & words(text)))
+
 
+def _chance(total: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
-def fit(texts: Iterable[Collection[str]], labels: Sequence[int], strength: float = COUNTERFACTUAL, rounds: int = ROUNDS, seed: int = 7) -> Model:
+
+def fit(texts: Iterable[tuple[Collection[str], Sequence[tuple[str, Collection[str]]]]], labels: Sequence[int], strength: float = COUNTERFACTUAL, rounds: int = ROUNDS, seed: int = 7) -> Model:
     """Logistic regression on word presence by follow-the-regularised-leader, with the counterfactual penalty.
 
-    `texts` are the distinct words of each text; they are read once and held as numbers.
+    `texts` are the distinct words of each text with its mentions; they are read once and held as numbers. In every
+    round each mention is swapped for the neutral word of its kind and for another term of it, drawn anew, and the
+    squared change of the sentence's score is penalised.
     """
     number: dict[str, int] = {}
-    held, swapped = [], []
-    for found in texts:
-        held.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
-        swapped.append(counterfactuals(_KIND.keys() & found))
+    coded = lambda found: np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
+    held, spoken = [], []
+    for found, named in texts:
+        held.append(coded(found))
+        spoken.append([(term, coded(rest)) for term, rest in named])
     if not held:
         return Model()
     known = np.bincount(np.concatenate(held), minlength=len(number))
@@ -85,7 +108,7 @@ def fit(texts: Iterable[Collection[str]], labels: Sequence[int], strength: float
     place = {w: k for k, w in enumerate(names)}
     placed = np.array([place.get(w, 0) for w in number], np.int32)
     rows = [np.unique(np.append(placed[x], 0)) for x in held]
-    swaps = [[(place[a], place[b]) for a, b in pairs] for pairs in swapped]
+    swaps = [[(term, np.unique(np.append(placed[x], 0))) for term, x in named] for named in spoken]
     share = max(1e-9, sum(labels) / len(labels))
     cost = {1: 0.5 / share, 0: 0.5 / max(1e-9, 1 - share)}
     model, order = Ftrl(len(names), 1, alpha=1.0, l1=5.0, l2=1e-3), np.random.default_rng(seed)
@@ -93,21 +116,31 @@ def fit(texts: Iterable[Collection[str]], labels: Sequence[int], strength: float
         for k in order.permutation(len(rows)):
             at, y = rows[k], labels[k]
             w = model.weights(at)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -40, 40)))
-            model.update(at, np.full((len(at), 1), (p - y) * cost[y]), w)
-            for pair in swaps[k]:
-                both = np.array(pair)
-                v = model.weights(both)
-                neutral = names[pair[1]] in _NEUTRAL
-                change = 2 * strength * float(v[0, 0] - (0.0 if neutral else v[1, 0]))
-                sides = slice(0, 1) if neutral else slice(0, 2)
-                model.update(both[sides], np.array([[change], [-change]])[sides], v[sides])
+            model.update(at, np.full((len(at), 1), (_chance(w.sum()) - y) * cost[y]), w)
+            for term, rest in swaps[k] if strength else ():
+                own, other = place[term], place[_KIND[term][order.integers(len(_KIND[term]))]]
+                if not model.weights(np.array([own, other])).any():
+                    continue
+                base = model.weights(rest[rest != own]).sum()
+                # The neutral word of the kind is no evidence: only the term's weight gives way.
+                w = model.weights(np.array([own]))
+                p, q = _chance(base + w[0, 0]), _chance(base)
+                if p != q:
+                    model.update(np.array([own]), np.full((1, 1), 2 * strength * (p - q) * p * (1 - p)), w)
+                w = model.weights(np.array([own, other]))
+                if w[0, 0] == w[1, 0] or other in rest:
+                    continue
+                p, q = _chance(base + w[0, 0]), _chance(base + w[1, 0])
+                change = 2 * strength * (p - q)
+                model.update(np.array([own, other]), np.array([[change * p * (1 - p)], [-change * q * (1 - q)]]), w)
+                shared = rest[rest != own]
+                model.update(shared, np.full((len(shared), 1), change * (p * (1 - p) - q * (1 - q))), model.weights(shared))
     w = model.weights()[:, 0]
     return Model({str(names[k]): float(w[k]) for k in np.flatnonzero(w) if k}, float(w[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: float = COUNTERFACTUAL) -> Model:
-    """Fits documents to labels.toxic; about `sample` rows of each label at most, chosen by a hash, reach the fit.
+    """Fits documents to labels.toxic; about `sample` rows of each label, chosen by a hash, reach the fit, and 3 * sample at most.
 
     The chosen ids, at most about twice `sample`, are broadcast to the scan of the texts.
     """
@@ -116,16 +149,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: fl
     if len(sizes) < 2:
         return Model()
     full = 1 << 30
-    limit = F.when(F.col("toxic") == 1, F.lit(min(full, full * sample // sizes[1]))).otherwise(F.lit(min(full, full * sample // sizes[0])))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(full)) < limit)
+    limit = F.when(F.col("_label") == 1, F.lit(min(full, full * sample // sizes[1]))).otherwise(F.lit(min(full, full * sample // sizes[0])))
+    chosen = known.select("doc_id", F.col("toxic").cast("int").alias("_label"), F.xxhash64("doc_id", F.lit("toxic")).alias("_draw"))
+    chosen = chosen.where(F.pmod(F.col("_draw"), F.lit(full)) < limit)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "toxic": batch["toxic"], "words": [" ".join(sorted(words(x))) for x in batch["text"]]})
+            spoken = [json.dumps(mentions(x)) for x in batch["text"]]
+            yield pd.DataFrame({"draw": batch["_draw"], "toxic": batch["_label"], "words": [" ".join(sorted(words(x))) for x in batch["text"]], "mentions": spoken})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_draw", "_label", "text").mapInPandas(features, "draw bigint, toxic int, words string, mentions string")
+    # Repeated rows of an id are drawn together, so the bound on rows is set here.
+    rows = rows.orderBy("draw", "words", "mentions").limit(3 * sample).collect()
+    return fit(((r["words"].split(), json.loads(r["mentions"])) for r in rows), [r["toxic"] for r in rows], strength)
+
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(features, "id bigint, toxic int, words string").collect()
-    rows.sort(key=lambda r: (r["id"], r["words"]))
-    return fit((r["words"].split() for r in rows), [r["toxic"] for r in rows], strength)
+def neutral_false_positives(model: Model, sentences: Iterable[str]) -> float:
+    """The share of sentences that score 0.5 or more once an identity term is named in them, over all terms; for sentences that aren't toxic."""
+    named = [f"{x} {term}" for x in sentences for term in sorted(_KIND)]
+    return sum(model.score(x) >= 0.5 for x in named) / max(1, len(named))
 
 
 def score(text: Column, model: Model) -> Column:
@@ -144,7 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     Null and empty texts get the score of a text without words; so does every text if one of the labels is missing
     (0.5). A null id counts as the empty text in the split; where an id has several labels the largest holds; repeated
-    rows each get their row; an empty table gives an empty result; other columns are ignored.
+    rows each get their row; an empty table gives an empty result; other columns, also of clashing names, are ignored.
     """
     model = train(docs, labels.where(id_bucket("doc_id", FOLDS) != HELD_OUT), sample)
     rows = docs.select("doc_id", (id_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), score(F.col("text"), model).alias("score"))

@@ -1,8 +1,10 @@
 """WARC archives: a writer with revisit records, and a salvage reader that recovers what follows damage.
 
-Archives are gzip members, one a record. The reader checks each record (member checksum, version line, header lines,
-length, end mark, block digest); after a failed check it searches for the next member or version line that begins a
-valid record, goes on from there, and logs the bytes between as a quarantined gap.
+Archives are gzip members, one a record; the reader also takes members of many records and uncompressed archives. It
+checks each record (member checksum, version line, header lines, length, end mark, block digest). After a failed check
+it searches for the next member or version line that begins a valid record, within a member's inflated bytes as well
+as in the archive, goes on from there, and logs the bytes between as a quarantined gap. Of a member that breaks off or
+fails its checksum, the records that are whole and match their own digests are kept.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark import TaskContext
@@ -32,18 +34,26 @@ VERSION_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
+#: Bytes of a member that are inflated at a time, and bytes that a record's header may take.
+SLICE, HEAD = 1 << 16, 1 << 20
+
 RECORDS = (
-    "path string, begin bigint, finish bigint, gap string, record_type string, record_id string, refers_to_id string, "
+    "path string, begin bigint, finish bigint, inner_begin bigint, inner_finish bigint, gap string, record_type string, record_id string, refers_to_id string, "
     "target_uri string, payload_bytes bigint, payload_digest string, payload binary"
 )
 
 
 @dataclass
 class Record:
+    """begin and finish are bytes of the archive; inner ones those of a compressed member's inflated bytes."""
+
     begin: int
     finish: int
     fields: dict[str, str]
     block: bytes
+    verified: bool = False
+    inner_begin: int | None = None
+    inner_finish: int | None = None
 
     @property
     def payload(self) -> bytes:
@@ -56,6 +66,8 @@ class Gap:
     begin: int
     finish: int
     reason: str
+    inner_begin: int | None = None
+    inner_finish: int | None = None
 
 
 class Damaged(ValueError):
@@ -84,7 +96,7 @@ def parse_record(data: bytes, at: int = 0) -> Record:
     """The record that begins at `at`; raises Damaged at the first failed check."""
     if not VERSION_LINE.match(data[at : at + 10]):
         raise Damaged("version line")
-    head = data.find(END, at)
+    head = data.find(END, at, at + HEAD)
     if head < 0:
         raise Damaged("header end")
     fields = {}
@@ -103,46 +115,118 @@ def parse_record(data: bytes, at: int = 0) -> Record:
     kind, _, digest = fields.get("warc-block-digest", "").partition(":")
     if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
         raise Damaged("block digest")
-    return Record(at, finish + 4, fields, block)
-
-
-def _parse_member(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at `at`, and where it ends."""
-    opener = zlib.decompressobj(31)
-    try:
-        plain = opener.decompress(memoryview(data)[at:])
-    except zlib.error as error:
-        raise Damaged("member checksum" if "check" in str(error) else "member") from None
-    if not opener.eof:
-        raise Damaged("member end")
-    finish = len(data) - len(opener.unused_data)
-    records, inner = [], 0
-    while inner < len(plain):
-        record = parse_record(plain, inner)
-        inner = record.finish
-        records.append(Record(at, finish, record.fields, record.block))
-    if not records:
-        raise Damaged("empty member")
-    return records, finish
+    return Record(at, finish + 4, fields, block, kind == "sha256")
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive, compressed or not, and the gaps between them, in order of their bytes."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The inflated bytes of the member at `at`, as far as they go; where it ends or breaks off; the failed check, if any.
+
+    The input is fed in slices, so that a member costs no more than its own bytes, and what came before a break is kept.
+    """
+    opener, view, plain = zlib.decompressobj(31), memoryview(data), []
+    while at < len(data) and not opener.eof:
+        piece, before = view[at : at + SLICE], opener.copy()
+        try:
+            plain.append(opener.decompress(piece))
+        except zlib.error as error:
+            return b"".join([*plain, _upto_break(before, piece)]), at, "member checksum" if "check" in str(error) else "member"
+        at += len(piece) - len(opener.unused_data)
+    return b"".join(plain), at, "" if opener.eof else "member end"
+
+
+def _upto_break(opener, piece: memoryview) -> bytes:
+    """What a slice yields before the byte at which it breaks: halves are tried, so that few bytes are inflated twice."""
+    out, at, size = [], 0, len(piece)
+    while at < len(piece) and size:
+        kept = opener.copy()
+        try:
+            out.append(opener.decompress(piece[at : at + size]))
+            at += size
+        except zlib.error:
+            opener, size = kept, size // 2
+    return b"".join(out)
+
+
+def _next(pattern: re.Pattern, data: bytes, at: int) -> int:
+    found = pattern.search(data, at)
+    return found.start() if found else len(data)
+
+
+def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
+    """Records of inflated bytes and the gaps between them: after a failed check, the next version line that begins a valid record."""
     at, lost, reason = 0, None, ""
     while at < len(data):
         try:
-            records, finish = _parse_member(data, at) if data.startswith(MEMBER, at) else ([one := parse_record(data, at)], one.finish)
+            record = parse_record(data, at)
         except Damaged as error:
             if lost is None:
                 lost, reason = at, str(error)
-            line = VERSION_LINE.search(data, at + 1)
-            at = min(x if x > 0 else len(data) for x in (data.find(MEMBER, at + 1), line.start() if line else -1))
+            at = _next(VERSION_LINE, data, at + 1)
             continue
         if lost is not None:
             yield Gap(lost, at, reason)
             lost = None
+        yield record
+        at = record.finish
+    if lost is not None:
+        yield Gap(lost, len(data), reason)
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What the member at `at` holds, where it ends (or breaks off), and the failed check of the member itself, if any.
+
+    Of a broken member only records that match their own digests count; whatever it lacks belongs to the gap of the
+    member. A member without any record is damaged.
+    """
+    plain, finish, failed = inflate(data, at)
+    found: list[Record | Gap] = []
+    for x in salvage_plain(plain):
+        if failed and (isinstance(x, Gap) or not x.verified):
+            continue
+        inner = x.begin, x.finish
+        found.append(replace(x, begin=at, finish=finish, inner_begin=inner[0], inner_finish=inner[1]))
+    if not failed and not any(isinstance(x, Record) for x in found):
+        return [], finish, "record in member" if plain else "empty member"
+    return found, finish, failed
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All valid records of an archive, compressed or not, and the gaps between them, in order of their bytes.
+
+    A broken member's records come before its gap. The next member is sought from its second byte on, since a member
+    that breaks off may run on into the next; the next version line from where its bytes were last read, so that no
+    record is found twice. Both searches only go forward, so the time is in proportion to the archive.
+    """
+    at, lost, reason = 0, None, ""
+    member, line, least_line = -1, -1, 0
+    while at < len(data):
+        records: list[Record | Gap] = []
+        if data.startswith(MEMBER, at):
+            records, finish, failed = _member(data, at)
+        else:
+            failed = ""
+            try:
+                records = [parse_record(data, at)]
+                finish = records[0].finish
+            except Damaged as error:
+                failed = str(error)
+        if records and lost is not None:
+            yield Gap(lost, at, reason)
+            lost = None
         yield from records
-        at = finish
+        if not failed:
+            at = finish
+            continue
+        if lost is None:
+            lost, reason = at, failed
+        if records:
+            least_line = max(least_line, finish)
+        if member <= at:
+            member = data.find(MEMBER, at + 1)
+            member = len(data) if member < 0 else member
+        if line <= at or line < least_line:
+            line = _next(VERSION_LINE, data, max(at + 1, least_line))
+        at = min(member, line)
     if lost is not None:
         yield Gap(lost, len(data), reason)
 
@@ -214,8 +298,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """Every archive of a folder through the salvage reader: a row per record, and a row per quarantined gap.
 
-    Records: gap is null; begin and finish are the bytes in the archive. Gaps: `gap` names the first failed check and
-    only path, begin and finish are set. payload=False leaves the payload bytes out.
+    Records: gap is null; begin and finish are the bytes in the archive, inner_begin and inner_finish those in the
+    inflated member (null where the archive isn't compressed). Gaps: `gap` names the first failed check and only these
+    places are set; a gap within a member has inner places. payload=False leaves the payload bytes out.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,15 +309,15 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> Dat
                 rows = []
                 for x in salvage(bytes(content)):
                     if isinstance(x, Gap):
-                        rows.append((path, x.begin, x.finish, x.reason, *[None] * 7))
+                        rows.append((path, x.begin, x.finish, x.inner_begin, x.inner_finish, x.reason, *[None] * 7))
                         continue
                     f, body = x.fields, x.payload
                     kind, revisit = f["warc-type"], f["warc-type"] == "revisit"
                     size = int(f.get("x-payload-length", 0)) if revisit else len(body)
                     digest = f.get("warc-payload-digest", "").partition(":")[2] if revisit else hashlib.sha256(body).hexdigest()
                     ids = [f[k].strip("<>") if k in f else None for k in ("warc-record-id", "warc-refers-to")]
-                    rows.append((path, x.begin, x.finish, None, kind, *ids, f.get("warc-target-uri"), size, digest, body if payload else None))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")]).astype({"payload_bytes": "Int64"})
+                    rows.append((path, x.begin, x.finish, x.inner_begin, x.inner_finish, None, kind, *ids, f.get("warc-target-uri"), size, digest, body if payload else None))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")]).astype({"payload_bytes": "Int64", "inner_begin": "Int64", "inner_finish": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
     return files.select("path", "content").mapInPandas(read, RECORDS)

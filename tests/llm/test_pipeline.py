@@ -10,7 +10,6 @@ import pytest
 import corpus_pipeline
 from newsloom.llm import bpe, mixing, secret_scan
 from newsloom.llm.shared import documents
-from newsloom.llm.simhash import simhash64
 from tests.conftest import SMALL
 
 
@@ -45,17 +44,24 @@ def test_quality_stage(stages):
     assert list(after.columns) == list(before.columns)
 
 
+def _grams(text: str) -> set[tuple[str, ...]]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
 def test_near_duplicate_stage(stages):
+    """All pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more; of each group the smallest doc_id stays."""
     before, after = stages[1].toPandas(), stages[2].toPandas()
-    ids, prints = before["doc_id"].tolist(), [simhash64(x) for x in before["text"]]
+    ids, grams = before["doc_id"].tolist(), [_grams(x) for x in before["text"]]
     label = dict(zip(ids, ids))
+    near = [(a, b) for a, p in zip(ids, grams) for b, q in zip(ids, grams) if a < b and len(p & q) >= 0.8 * len(p | q)]
     changed = True
     while changed:
         changed = False
-        for a, p in zip(ids, prints):
-            low = min(label[b] for b, q in zip(ids, prints) if ((p ^ q) & (2**64 - 1)).bit_count() <= 3)
-            changed |= low < label[a]
-            label[a] = min(low, label[a])
+        for a, b in near:
+            low = min(label[a], label[b])
+            changed |= label[a] != label[b]
+            label[a] = label[b] = low
     assert sorted(after["doc_id"]) == sorted(set(label.values()))
     assert len(after) < len(before)
 
@@ -94,6 +100,17 @@ def test_packing_stage(stages):
     assert (pieces.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_nulls_and_empty_tables(spark, k):
+    text = " ".join(f"word{n}" for n in range(80))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (None, text + " more", None, None, None), (2, None, "en", "a", 0), (3, "", None, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stage = corpus_pipeline.STAGES[k][1]
+    found, none = stage(spark, docs, SMALL), stage(spark, docs.where("1 = 0"), SMALL)
+    assert none.count() == 0 and found.count() >= 1
+    assert k == 4 or (found.columns == docs.columns == none.columns)
+
+
 def test_run_applies_the_stages(spark, stages):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns == stages[5].columns
