@@ -36,20 +36,9 @@ TASK_ROWS = 20_000
 
 
 def simhash64(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint as a signed 64-bit number; bit k is set if more than half of the shingle hashes have it."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not tokens:
-        return 0
-    line = b" ".join(tokens)
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) < words:
-        hashes = np.array([digest(line, SEED)], dtype="<u8")
-    else:
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(lengths + 1) - 1
-        first, last = (ends - lengths)[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist()
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype="<u8")
-    return _majority(hashes)
+    """The fingerprint as a signed 64-bit number; bit k is set if more than half of the shingle hashes have it, repeats counted."""
+    hashes = _shingle_hashes(_tokens(text), words)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -159,17 +148,27 @@ def fingerprint_hex(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def stage_line(text: Column) -> Column:
-    """The text's words in lower case (A-Z), joined by single spaces."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), r"[\x20\x09-\x0D]+", " "))
+def _tokens(text: str | None) -> list[bytes]:
+    """The text's words in lower case (A-Z)."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """Hashes of all runs of `words` words; a shorter text is one run, an empty text has none."""
+    if not tokens:
+        return np.zeros(0, "<u8")
+    line, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) < words:
+        return np.array([digest(line, SEED)], dtype="<u8")
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    first, last = (ends - lengths)[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist()
+    return np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype="<u8")
 
 
-def _shingles(line: str, words: int) -> set[int]:
-    """Hashes of the distinct runs of `words` words; a shorter text is one run, an empty text has none."""
-    tokens = line.encode("utf-8", "surrogatepass").split()
-    runs = [b" ".join(tokens[k : k + words]) for k in range(len(tokens) - words + 1)] or ([b" ".join(tokens)] if tokens else [])
-    return {x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(r, SEED) for r in set(runs))}
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text, as signed numbers."""
+    return np.unique(_shingle_hashes(_tokens(text), words)).view("<i8")
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -179,26 +178,28 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _two_fingerprints(line: str, words: int) -> tuple[int, int, int]:
-    """Fingerprints of the distinct shingles by two hashes (the second stirs the first), and the number of shingles."""
-    hashes = np.fromiter(_shingles(line, words), dtype="<i8").view("<u8")
+def _stage_node(text: str | None, words: int) -> tuple[int, int, int, int]:
+    """A number for the text but for case and spacing, its fingerprints by two hashes (the second stirs the first), and its shingles' number."""
+    tokens = _tokens(text)
+    node = xxhash.xxh3_64_intdigest(b" ".join(tokens)) - (1 << 63)
+    hashes = np.unique(_shingle_hashes(tokens, words))
     if not len(hashes):
-        return 0, 0, 0
+        return node, 0, 0, 0
     stirred = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     stirred = (stirred ^ (stirred >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return _majority(hashes), _majority(stirred ^ (stirred >> np.uint64(32))), len(hashes)
+    return node, _majority(hashes), _majority(stirred ^ (stirred >> np.uint64(32))), len(hashes)
 
 
 def stage_nodes(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """One row per distinct text (but for case and spacing): node, who (its least doc_id, null last, and a hash of that row), fp, fp2, n (shingles)."""
 
-    @F.pandas_udf("fp bigint, fp2 bigint, n int")
-    def hashed(lines: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_two_fingerprints(x, words) for x in lines], columns=["fp", "fp2", "n"]).astype({"fp": "int64", "fp2": "int64", "n": "int32"})
+    @F.pandas_udf("node bigint, fp bigint, fp2 bigint, n int")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        rows = [_stage_node(x, words) for x in texts]
+        return pd.DataFrame(rows, columns=["node", "fp", "fp2", "n"]).astype({"node": "int64", "fp": "int64", "fp2": "int64", "n": "int32"})
 
     who = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), row_hash(docs).alias("row"))
-    rows = docs.select(who.alias("who"), stage_line(F.col("text")).alias("line"))
-    rows = rows.select("who", F.xxhash64("line").alias("node"), hashed("line").alias("s")).select("who", "node", "s.*")
+    rows = docs.select(who.alias("who"), hashed("text").alias("s")).select("who", "s.*")
     return rows.groupBy("node").agg(F.min("who").alias("who"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"))
 
 
@@ -241,13 +242,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -
     """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of SIMILAR or more."""
 
     @F.pandas_udf("array<bigint>")
-    def shingled(lines: pd.Series) -> pd.Series:
-        return pd.Series([list(_shingles(x, words)) for x in lines])
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(x, words) for x in texts])
 
     pairs = materialize(pairs)
     wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", F.col("who.row").alias("row"))
-    rows = docs.select(row_hash(docs).alias("row"), stage_line(F.col("text")).alias("line")).join(guarded_broadcast(materialize(wanted)), "row")
-    sets = materialize(rows.select("node", shingled("line").alias("grams")).groupBy("node").agg(F.first("grams").alias("grams")))
+    rows = docs.select(row_hash(docs).alias("row"), "text").join(guarded_broadcast(materialize(wanted)), "row")
+    sets = materialize(rows.select("node", shingled("text").alias("grams")).groupBy("node").agg(F.first("grams").alias("grams")))
     met = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     met = met.withColumn("both", F.size(F.array_intersect("a", "b"))).withColumn("any", F.size("a") + F.size("b") - F.col("both"))
     return materialize(met.where(F.col("both") >= SIMILAR * F.col("any") - 1e-9).select("u", "v"))

@@ -13,7 +13,7 @@ WORDS = [f"w{k}" for k in range(3000)]
 
 
 def jaccard(a: str, b: str) -> float:
-    one, two = (simhash._shingles(x, 5) for x in (a, b))
+    one, two = (set(simhash._shingles(x, 5).tolist()) for x in (a, b))
     return len(one & two) / len(one | two)
 
 
