@@ -112,12 +112,13 @@ def fit(texts: Iterable[tuple[Collection[str], Sequence[tuple[str, Collection[st
     share = max(1e-9, sum(labels) / len(labels))
     cost = {1: 0.5 / share, 0: 0.5 / max(1e-9, 1 - share)}
     model, order = Ftrl(len(names), 1, alpha=1.0, l1=5.0, l2=1e-3), np.random.default_rng(seed)
+    terms = np.array([place[x] for x in _KIND])
     for _ in range(rounds):
         for k in order.permutation(len(rows)):
             at, y = rows[k], labels[k]
             w = model.weights(at)
             model.update(at, np.full((len(at), 1), (_chance(w.sum()) - y) * cost[y]), w)
-            for term, rest in swaps[k] if strength else ():
+            for term, rest in swaps[k] if strength and model.z[terms].any() else ():
                 own, other = place[term], place[_KIND[term][order.integers(len(_KIND[term]))]]
                 if not model.weights(np.array([own, other])).any():
                     continue
