@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.relevance import latest_per_item
 
 CONTEXT, EVIDENCE, CANDIDATE_SCORE = 60, 10, 0.5
+#: Parts of a name's mentions that are ranked apart.
+SALT = 64
 FIELDS = ("title", "excerpt", "body")
 MENTIONS = "content_item_id bigint, field string, start_offset int, end_offset int, surface string, entity_id bigint, evidence_text string"
 
@@ -89,20 +91,49 @@ def alias_candidates(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return wanted.join(aliases.select("entity_id", "entity_type", "normalized_alias"), ["entity_type", "normalized_alias"]).select("mention_id", "entity_id").distinct()
 
 
-def review_queue(unresolved: DataFrame, decided: DataFrame | None = None) -> DataFrame:
-    """Unresolved mentions by type and normalized surface: key, count, ids and the first evidence; decisions stay."""
+def _named(unresolved: DataFrame) -> DataFrame:
     rows = unresolved.withColumn("normalized_name", normalized_name(F.col("surface"))).where("normalized_name <> ''")
-    ids = F.array_sort(F.collect_set("mention_id"))
-    groups = rows.groupBy("entity_type", "normalized_name").agg(
-        F.min_by("surface", "mention_id").alias("proposed_name"), F.count("*").alias("mention_count"), ids.alias("mention_ids"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("mention_id", "evidence_text"))), 1, EVIDENCE), lambda x: x["evidence_text"]).alias("evidence"),
+    return rows.withColumn("candidate_key", F.sha2(F.concat_ws(":", "entity_type", "normalized_name"), 256))
+
+
+def review_mentions(unresolved: DataFrame) -> DataFrame:
+    """candidate_key, mention_id: which mentions a review decides, one row each, however many share a name."""
+    return _named(unresolved).select("candidate_key", "mention_id").distinct()
+
+
+def review_queue(unresolved: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """Unresolved mentions by type and normalized surface: key, count, first mention and the first evidence; decisions stay.
+
+    The first evidence is ranked within salted parts of a name and then among their few, so that no task holds a name.
+    """
+    rows = _named(unresolved)
+    part = Window.partitionBy("candidate_key", F.pmod(F.xxhash64("mention_id"), F.lit(SALT))).orderBy("mention_id", "evidence_text")
+    among = Window.partitionBy("candidate_key").orderBy("mention_id", "evidence_text")
+    few = rows.select("candidate_key", "mention_id", "evidence_text", F.row_number().over(part).alias("place")).where(F.col("place") <= EVIDENCE)
+    first = few.withColumn("place", F.row_number().over(among)).where(F.col("place") <= EVIDENCE)
+    first = first.groupBy("candidate_key").agg(F.array_sort(F.collect_list(F.struct("place", "evidence_text"))).alias("e"))
+    groups = rows.groupBy("candidate_key", "entity_type", "normalized_name").agg(
+        F.min_by("surface", "mention_id").alias("proposed_name"), F.count("*").alias("mention_count"), F.min("mention_id").alias("first_mention")
     )
-    groups = groups.withColumn("candidate_key", F.sha2(F.concat_ws(":", "entity_type", "normalized_name"), 256))
+    groups = groups.join(first.select("candidate_key", F.transform("e", lambda x: x["evidence_text"]).alias("evidence")), "candidate_key")
     if decided is None:
         return groups.withColumn("status", F.lit("pending"))
     return groups.join(decided.select("candidate_key", F.col("status").alias("old")), "candidate_key", "left").withColumn("status", F.coalesce("old", F.lit("pending"))).drop("old")
 
 
+def apply_reviews(mentions: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decided reviews (candidate_key, status, entity_id) applied: mentions with resolution and entity, and new aliases.
+
+    A confirmed review resolves every mention of its name to its entity, a rejected one marks them rejected; pending
+    ones change nothing. The distinct surfaces of confirmed mentions become aliases of the entity.
+    """
+    rows = _named(mentions).join(reviews.where("status <> 'pending'").select("candidate_key", "status", "entity_id"), "candidate_key", "left")
+    state = F.when(F.col("status") == "confirmed", "confirmed").when(F.col("status") == "rejected", "rejected").otherwise("unresolved")
+    rows = rows.withColumn("resolution", state).withColumn("entity_id", F.when(F.col("status") == "confirmed", F.col("entity_id")))
+    aliases = rows.where("resolution = 'confirmed'").select("entity_id", "entity_type", F.col("surface").alias("alias"), F.col("normalized_name").alias("normalized_alias")).distinct()
+    return rows.select("mention_id", "candidate_key", "entity_id", "resolution"), aliases
+
+
 def decide(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """Applies create, link and reject decisions; the same decision again changes nothing, another one is a conflict."""
     latest = latest_per_item(decisions, ["candidate_key"], "decided_at").select("candidate_key", "action", "entity_id")

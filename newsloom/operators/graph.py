@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _hang_higher(links: DataFrame) -> DataFrame:
+    """Links (u > v): every neighbour above a node is hung on the least of the node and its neighbours."""
+    ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = ends.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("least"))
+    return ends.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+
+
+def _hang_lower(links: DataFrame) -> DataFrame:
+    """Links (u > v): a node and its neighbours below it are hung on the least of these."""
+    least = links.groupBy("u").agg(F.min("v").alias("least"))
+    moved = links.join(least, "u").where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id) and (u, v) -> id, component: the smallest id that links reach.
 
-    Labels spread along links and each label also follows its own label, so that long chains halve; the loop ends when
-    no label changes. Each round is checkpointed; only a count comes to the driver.
+    Links are hung on smaller nodes until every component is a star on its least node. A hub's links leave it in the
+    first round, least nodes are found by aggregates that combine before the shuffle, and the rounds grow with the
+    logarithm of the longest path. Each round is checkpointed; only a count and a checksum come to the driver.
     """
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct().checkpoint()
-    labels = both.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
-    while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("low"))
-        spread = labels.join(near, "id").select("id", F.least("component", "low").alias("next"), F.col("component").alias("old"))
-        jump = spread.join(spread.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
-        new = jump.select("id", F.least("next", F.coalesce("far", "next")).alias("component"), "old").checkpoint()
-        labels = new.select("id", "component")
-        if new.where("component <> old").isEmpty():
-            break
-    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    known = None
+    while known != (known := links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()):
+        links = _hang_lower(_hang_higher(links)).checkpoint()
+    least = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    return nodes.select("id").join(least, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -164,3 +164,31 @@ def cached_requests(requests: DataFrame, cache: DataFrame, now: Column, miss_cos
     live = cache.where(F.col("expires_at") > now).select("request_hash", "response")
     met = requests.withColumn("request_hash", digest).join(live, "request_hash", "left")
     return met.withColumn("credits", F.when(F.col("response").isNull(), miss_cost).otherwise(0))
+
+
+def coverage_dates(runs: DataFrame, zone_hours: int = 8) -> DataFrame:
+    """run_id, coverage_date, is_valid: the day that a run covers, in local time.
+
+    runs: run_id, mode, reference_time, requested_date. Sources of mode `date` cover the requested day, or the day
+    before the run; a requested day that isn't before the run's is not valid. Other sources cover no day.
+    """
+    today = F.to_date(F.col("reference_time") + F.expr(f"INTERVAL {zone_hours} HOURS"))
+    dated = F.col("mode") == "date"
+    day = F.when(dated, F.coalesce("requested_date", F.date_sub(today, 1)))
+    return runs.select("run_id", day.alias("coverage_date"), F.when(dated, day < today).otherwise(F.col("requested_date").isNull()).alias("is_valid"))
+
+
+def exact_candidates(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """name, identity, how: the one identity whose name is the same, literally or else normalized; null where none or several are.
+
+    names: name; candidates: name, identity. Normalized names have no case, spaces or signs.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+
+    def unique(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min("identity").alias(f"{key}_identity"), F.max("identity").alias("_last")).where(F.col(f"{key}_identity") == F.col("_last")).drop("_last")
+
+    named = candidates.select(F.col("name"), plain("name").alias("plain"), "identity")
+    rows = names.select("name").distinct().withColumn("plain", plain("name")).join(unique(named, "name"), "name", "left").join(unique(named, "plain"), "plain", "left")
+    how = F.when(F.col("name_identity").isNotNull(), "literal").when(F.col("plain_identity").isNotNull(), "normalized")
+    return rows.select("name", F.coalesce("name_identity", "plain_identity").alias("identity"), how.alias("how"))

@@ -118,3 +118,13 @@ def curated(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """Items but those expressly left to the full pool; unscored ones stay."""
     dropped = decisions.where("decision = 'full_pool'").select(F.col("content_item_id").alias("id"))
     return items.join(dropped, "id", "left_anti")
+
+
+def apply_runs(planned: DataFrame, existing: DataFrame) -> DataFrame:
+    """What applying score runs does: by input hash a new run is created, a succeeded one reused, any other a conflict.
+
+    planned: input_hash; existing: input_hash, status. Of several runs of one hash a succeeded one holds.
+    """
+    old = existing.groupBy("input_hash").agg(F.max((F.col("status") == "succeeded").cast("int")).alias("done"))
+    action = F.when(F.col("done").isNull(), "created").when(F.col("done") == 1, "reused").otherwise("conflict")
+    return planned.select("input_hash").distinct().join(old, "input_hash", "left").select("input_hash", action.alias("action"))

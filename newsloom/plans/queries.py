@@ -357,7 +357,7 @@ def x9(spark: SparkSession, d: str) -> DataFrame:
     from newsloom.operators.entities import review_queue
 
     rows = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("mention_id"), F.col("o_orderpriority").alias("entity_type"), F.concat("o_orderstatus", F.lit(" Corp")).alias("surface"), F.lit("e").alias("evidence_text"))
-    return review_queue(rows).select("entity_type", "normalized_name", "mention_count", F.col("mention_ids")[0].alias("first_mention"), "candidate_key")
+    return review_queue(rows).select("entity_type", "normalized_name", "mention_count", "first_mention", "candidate_key")
 
 
 # Events -------------------------------------------------------------------------------------------------------------
