@@ -121,17 +121,26 @@ def parse_record(data: bytes, at: int = 0) -> Record:
 def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     """The inflated bytes of the member at `at`, as far as they go; where it ends or breaks off; the failed check, if any.
 
-    The input is fed in slices, so that a member costs no more than its own bytes, and what came before a break is kept.
+    The input is fed in slices, so that a member costs no more than its own bytes. A member that breaks is read again
+    with a copy of the state at every slice, so that what came before the break is kept.
     """
-    opener, view, plain = zlib.decompressobj(31), memoryview(data), []
-    while at < len(data) and not opener.eof:
+    opener, view, plain, begin = zlib.decompressobj(31), memoryview(data), [], at
+    try:
+        while at < len(data) and not opener.eof:
+            piece = view[at : at + SLICE]
+            plain.append(opener.decompress(piece))
+            at += len(piece) - len(opener.unused_data)
+        return b"".join(plain), at, "" if opener.eof else "member end"
+    except zlib.error as error:
+        failed = "member checksum" if "check" in str(error) else "member"
+    opener, plain, at = zlib.decompressobj(31), [], begin
+    while True:
         piece, before = view[at : at + SLICE], opener.copy()
         try:
             plain.append(opener.decompress(piece))
-        except zlib.error as error:
-            return b"".join([*plain, _upto_break(before, piece)]), at, "member checksum" if "check" in str(error) else "member"
-        at += len(piece) - len(opener.unused_data)
-    return b"".join(plain), at, "" if opener.eof else "member end"
+        except zlib.error:
+            return b"".join([*plain, _upto_break(before, piece)]), at, failed
+        at += len(piece)
 
 
 def _upto_break(opener, piece: memoryview) -> bytes:
