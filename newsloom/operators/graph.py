@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import materialize
+
 
 def _hang_higher(links: DataFrame) -> DataFrame:
     """Links (u > v): every neighbour above a node is hung on the least of the node and its neighbours."""
@@ -20,16 +22,23 @@ def _hang_lower(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id) and (u, v) -> id, component: the smallest id that links reach.
+def linked(links: DataFrame) -> DataFrame:
+    """(u, v) -> id, component for every id with a link to another: the smallest id that links reach.
 
     Links are hung on smaller nodes until every component is a star on its least node. A hub's links leave it in the
     first round, least nodes are found by aggregates that combine before the shuffle, and the rounds grow with the
-    logarithm of the longest path. Each round is checkpointed; only a count and a checksum come to the driver.
+    logarithm of the longest path. Each round is checkpointed; only a count and a checksum come to the driver. Links of
+    an id to itself and null ends are ignored.
     """
-    links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     known = None
     while known != (known := links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()):
-        links = _hang_lower(_hang_higher(links)).checkpoint()
-    least = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return nodes.select("id").join(least, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        if not known[0]:
+            break
+        links = materialize(_hang_lower(_hang_higher(links)))
+    return links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id) and (u, v) -> id, component; an id without a link is its own component."""
+    return nodes.select("id").join(linked(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import logging
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +28,40 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, an own one if all runs in one process."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    held = spark.sparkContext.getCheckpointDir()
+    if held is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="newsloom-")
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is unset: a local session writes its checkpoints to %s", own)
+        spark.sparkContext.setCheckpointDir(own)
+        held = spark.sparkContext.getCheckpointDir()
+    return held.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, what: str) -> str:
+    """A path below the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder, so that lost executors cost no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+#: Rows up to which a table of short rows may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def guarded_broadcast(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a materialized table of short rows, if its count allows one."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
