@@ -12,11 +12,13 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from newsloom.llm.bpe import default_path, encode
 
@@ -176,7 +178,7 @@ class Packer:
     def taken(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return out.astype({"doc_id": "Int64", "tier": "Int32", "step_group": "Int64"})
+        return out.assign(doc_id=pd.array(list(map(itemgetter(0), rows)), "Int64")).assign(step_group=pd.array(list(map(itemgetter(8), rows)), "Int64")).astype({"tier": "Int32"})
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -195,11 +197,12 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                packer.add(None if pd.isna(doc_id) else int(doc_id), encode(path, text or ""))
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                packer.add(None if doc_id is None else int(doc_id), encode(path, text or ""))
                 if len(packer.rows) >= 50_000:
                     yield packer.taken()
         packer.finish()
         yield packer.taken()
 
-    return docs.select("doc_id", "text").mapInPandas(packed, SCHEMA)
+    # As text, ids pass through pandas unchanged also where some are null.
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(packed, SCHEMA)

@@ -47,7 +47,7 @@ COST = 10.0
 #: Marks of a string's begin and end in the background, and the number of classes by which rare ones are smoothed.
 BEGIN, CLOSE, CLASSES = "^", "$", 16
 
-SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_format bigint"
+FOUND = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_format bigint"
 
 
 def _holds_a_name(text: str) -> bool:
@@ -306,19 +306,17 @@ def scan(docs: DataFrame, model: Automaton | None = None, sample: int = SAMPLE)
     """
     model = model or learn(docs, sample)
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                spans = scan_text(text, model)
-                n = Counter(k for _, k, _ in spans)
-                base = _listed([x for x in spans if x[1] < 3])
-                rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), _listed(spans), n[3]))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")][1:])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(scanned, SCHEMA)
+    @F.pandas_udf(FOUND)
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            spans = scan_text(text, model)
+            n = Counter(k for _, k, _ in spans)
+            base = _listed([x for x in spans if x[1] < 3])
+            rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), _listed(spans), n[3]))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return docs.select("doc_id", scanned("text").alias("s")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "s.*")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE) -> DataFrame:

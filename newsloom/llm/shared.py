@@ -1,40 +1,16 @@
-"""The shared folder and the few expressions that several training-data operators use."""
+"""The few expressions that several training-data operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but a space or the ASCII control white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset and all runs on this machine."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+from newsloom.session import BROADCAST_ROWS, fresh_dir, guarded_broadcast, materialize, shared_dir
 
+__all__ = ["BROADCAST_ROWS", "WORD", "documents", "fresh_dir", "guarded_broadcast", "id_bucket", "materialize", "shared_dir"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: A word: a run of anything but a space or the ASCII control white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def id_bucket(column: str, modulus: int) -> Column:
@@ -44,12 +20,3 @@ def id_bucket(column: str, modulus: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-#: Rows up to which a table of short rows may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def guarded_broadcast(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a materialized table of short rows, if its count allows one."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

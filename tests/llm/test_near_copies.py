@@ -7,7 +7,6 @@ import random
 import pytest
 
 from newsloom.llm import simhash
-from newsloom.llm.shared import materialize
 
 WORDS = [f"w{k}" for k in range(3000)]
 
@@ -37,7 +36,7 @@ def test_planted_copies(spark):
     gone = [2 * k + 1 not in kept for k in range(len(near))]
     print([sum(gone[a : a + 60]) for a in (0, 60, 120)])
     assert {x for x, _ in rows[2 * len(near) :]} <= kept and all(2 * k in kept for k in range(len(near)))
-    assert sum(gone[:60]) >= 52 and sum(gone[60:120]) >= 58 and all(gone[120:])
+    assert sum(gone[:60]) >= 58 and all(gone[60:])
 
 
 @pytest.mark.parametrize("small", [256, 4])
@@ -51,7 +50,7 @@ def test_large_groups_join_as_all_pairs_do(spark, small):
             copy[at] = r.choice(WORDS)
         texts.append(" ".join(copy))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    nodes = materialize(simhash.stage_nodes(docs))
+    nodes = simhash.numbered(simhash.stage_nodes(docs))
     ids = {x.node: x.who.id for x in nodes.collect()}
     links = {(ids[x.u], ids[x.v]) for x in simhash.similar_links(docs, nodes, small).collect()}
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)

@@ -11,8 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newsloom.llm import simhash
-from newsloom.llm.components import connected_components
 from newsloom.llm.shared import documents
+from newsloom.operators.graph import linked
 from tests.conftest import SMALL
 
 
@@ -87,7 +87,7 @@ def test_rows_without_an_id_link_and_bridge(spark, monkeypatch):
 
 def test_components_of_a_long_path(spark):
     path = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    assert {r.component for r in connected_components(path).collect()} == {0}
+    assert {r.component for r in linked(path).collect()} == {0}
 
 
 def test_documents_against_all_pairs(spark):

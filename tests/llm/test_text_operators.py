@@ -219,3 +219,17 @@ def test_scan_edge_cases_and_redaction(spark):
     assert clean[102].text == "plain text" and clean[100].text is None and clean[None].text == "[secret]"
     assert all(not plain_spans(r.text or "") and r.n_chars == (None if r.text is None else len(r.text)) for r in clean.values())
     assert secret_scan.scan(docs.where("1 = 0")).count() == 0
+
+
+BIG = (1 << 60) + 1
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    rows = [(BIG, "password = hunter2hunter2"), (None, "plain words"), (BIG + 2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    key = lambda x: (x is None, x or 0)
+    ids = sorted((r[0] for r in rows), key=key)
+    assert sorted((r.doc_id for r in secret_scan.scan(docs).collect()), key=key) == ids
+    pieces = packing.pack(docs).collect()
+    assert sorted((r.doc_id for r in pieces), key=key) == ids
+    assert all(r.step_group is None or r.step_group >= 0 for r in pieces)
