@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import mixing, quality, warc
+from newsloom.llm import fim, mixing, quality, warc
 
 OP1 = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -54,4 +54,16 @@ m AS (SELECT t.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(li
 f AS (SELECT *, CAST({_bits()} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, fail_bits & {quality.policy_mask(quality.BASE_POLICY)} <> 0 AS base_failed, fail_bits & {quality.policy_mask(quality.POLICY)} = 0 AS kept, fail_bits FROM f"""
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_source_mix": OP4, "op6_quality_rules": OP6}
+OP12 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units FROM t),
+h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(digest, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(digest, 25, 8) AS BIGINT) AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+ sha256(prefix || middle || suffix) AS restored_sha256 FROM p"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_source_mix": OP4, "op6_quality_rules": OP6, "op12_fill_in_middle": OP12}
