@@ -32,6 +32,8 @@ PARTS, SYMBOLS, SYMBOL_BITS, PART_RADIUS = 2, 8, 8, 3
 PAIR_BITS = 26
 #: Buckets of more nodes than this meet by way of a pivot.
 PIVOT_BUCKET = 32
+#: Sets of a block that are compared with those of another at a time.
+BLOCK = 2048
 #: Rows of a task that are hashed under all masks.
 TASK_ROWS = 20_000
 #: Odd multipliers of the sketch's hash functions: a golden-ratio sequence.
@@ -261,30 +263,94 @@ def _pivots(rows: DataFrame) -> DataFrame:
     return best.select("key", F.col("best.node").alias("p"), F.col("best.nodefp").alias("pfp"), F.col("best.noden").alias("pn"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, grams: the shingle sets of the wanted nodes (node)."""
 
     @F.pandas_udf("array<bigint>")
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([_shingles(x, words) for x in texts])
 
-    pairs = materialize(pairs)
-    wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", F.col("who.row").alias("row"))
+    wanted = nodes.join(wanted.select("node").distinct(), "node").select("node", F.col("who.row").alias("row"))
     rows = docs.select(row_hash(docs).alias("row"), "text").join(guarded_broadcast(materialize(wanted)), "row")
-    sets = materialize(rows.select("node", shingled("text").alias("grams")).groupBy("node").agg(F.first("grams").alias("grams")))
+    return materialize(rows.select("node", shingled("text").alias("grams")).groupBy("node").agg(F.first("grams").alias("grams")))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+    pairs = materialize(pairs)
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")), docs, nodes, words)
     met = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     met = met.withColumn("both", F.size(F.array_intersect("a", "b"))).withColumn("any", F.size("a") + F.size("b") - F.col("both"))
     return materialize(met.where(F.col("both") >= SIMILAR * F.col("any") - 1e-9).select("u", "v"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, small: int = PIVOT_BUCKET, words: int = STAGE_WORDS) -> DataFrame:
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of `one` with every set of `two`, by products of 0/1 matrices of at most `width` columns."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    common = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    cells = []
+    for sets in (one, two):
+        row, value = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        column = np.searchsorted(common, value)
+        known = column < len(common)
+        known[known] = common[column[known]] == value[known]
+        order = np.argsort(column[known], kind="stable")
+        cells.append((row[known][order], column[known][order]))
+    for at in range(0, len(common), width):
+        parts = []
+        for (row, column), sets in zip(cells, (one, two)):
+            a, b = np.searchsorted(column, [at, at + width])
+            part = np.zeros((len(sets), min(width, len(common) - at)), np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _linked_in_block(group: pd.DataFrame) -> pd.DataFrame:
+    """One link from each lone node of a block to each other component that it is similar to."""
+    one, two = group[group["lone"]], group[~group["lone"]]
+    if not len(one) or not len(two):
+        return pd.DataFrame({"u": [], "v": []})
+    both = shared_counts(list(one["grams"]), list(two["grams"]))
+    sizes = [x["grams"].map(len).to_numpy() for x in (one, two)]
+    near = both >= SIMILAR * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
+    near &= one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :]
+    i, j = np.nonzero(near)
+    found = pd.DataFrame({"u": one["node"].to_numpy()[i], "v": two["node"].to_numpy()[j], "c": two["c"].to_numpy()[j]})
+    return found.drop_duplicates(["u", "c"])[["u", "v"]]
+
+
+def _lone_links(known: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, block: int) -> DataFrame:
+    """Links of the nodes of crowded buckets that are in another component than a pivot of theirs.
+
+    Buckets that share nodes make up a group. The lone nodes of a group meet all its nodes in blocks of bounded size,
+    where similarities come from matrix products: a set is sent once for every block that it meets, no pair is a row.
+    """
+    lone = known.where("c <> head")
+    touched = materialize(known.join(lone.select("key").distinct(), "key", "left_semi").select("key", "node", "c"))
+    heads = touched.groupBy("key").agg(F.min("node").alias("v"))
+    groups = linked(touched.join(heads, "key").select(F.col("node").alias("u"), "v")).withColumnRenamed("id", "node")
+    rows = touched.select("node", "c").distinct().join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
+    rows = materialize(rows.join(lone.select("node").distinct().withColumn("l", F.lit(True)), "node", "left").select("g", "node", "c", F.col("l").isNotNull().alias("is_lone")))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n_all"), F.ceil(F.sum(F.col("is_lone").cast("int")) / block).cast("int").alias("n_lone"))
+    rows = rows.join(_sets(rows, docs, nodes, words), "node").join(sizes, "g")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("is_lone").select("g", "node", "c", "grams", F.lit(True).alias("lone"), own("n_lone").alias("a"), each("n_all").alias("b"))
+    two = rows.select("g", "node", "c", "grams", F.lit(False).alias("lone"), own("n_all").alias("b"), each("n_lone").alias("a"))
+    met = one.unionByName(two).groupBy("g", "a", "b").applyInPandas(_linked_in_block, "u bigint, v bigint")
+    return materialize(met)
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, small: int = PIVOT_BUCKET, words: int = STAGE_WORDS, block: int = BLOCK) -> DataFrame:
     """Links (u, v) whose components are those of all candidate pairs with a shingle Jaccard of SIMILAR or more.
 
     Candidates share a bucket of some mask; their sizes allow the similarity and their fingerprints differ in at most
     PAIR_BITS bits. A key has SYMBOLS / 2 * SYMBOL_BITS bits, so buckets stay small up to some 2^32 texts. The nodes of
-    a bucket of more than `small` meet its pivot first, each the pivot it is nearest to; then those that aren't in their pivot's
-    component meet the other pivots; then those of another component than the pivot's meet everyone of another
-    component. So a large group of near copies makes few pairs, and no pair that could join two components is left out.
+    a bucket of more than `small` meet its pivot first, each the pivot it is nearest to; those that are still in
+    another component than a pivot of theirs then meet all nodes of their buckets, in blocks. So a large group of near
+    copies makes few pairs, and no pair that could join two components is left out.
     """
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, nodes.count() // TASK_ROWS)
     rows = _bucketed(nodes.select("node", "fp", "sketch", "n").repartition(tasks))
@@ -300,22 +366,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, small: int = PIVOT_BUCKET,
     nearest = F.min(F.struct(F.bit_count(F.col("pfp").bitwiseXOR(F.col("nodefp"))).alias("bits"), "p"))
     pairs = pairs.unionByName(star.groupBy("node").agg(nearest.alias("to")).select(F.col("to.p").alias("u"), F.col("node").alias("v")))
     found = _verified(pairs.distinct(), docs, nodes, words)
-
-    def placed(links: DataFrame) -> DataFrame:
-        """Rows of crowded buckets with their component and their pivot's."""
-        named = materialize(linked(links).withColumnRenamed("id", "node"))
-        known = many.join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        heads = named.select(F.col("node").alias("p"), F.col("component").alias("head"))
-        return known.join(heads, "p", "left").withColumn("head", F.coalesce("head", "p"))
-
-    again = placed(found).where("c <> head").where(_could_be_near("p", "node")).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()
-    found = found.unionByName(_verified(again, docs, nodes, words))
-    known = materialize(placed(found))
-    left = known.where("c <> head").select("key", F.col("node").alias("u"), F.col("nodefp").alias("ufp"), F.col("noden").alias("un"), F.col("c").alias("uc"))
-    right = known.select(F.col("key").alias("k"), F.col("node").alias("v"), F.col("nodefp").alias("vfp"), F.col("noden").alias("vn"), F.col("c").alias("vc"))
-    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("uc") != F.col("vc")) & _could_be_near("u", "v"))
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return found.unionByName(_verified(rest, docs, nodes, words))
+    named = materialize(linked(found).withColumnRenamed("id", "node"))
+    known = many.select("key", "node", "p").join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    heads = named.select(F.col("node").alias("p"), F.col("component").alias("head"))
+    known = materialize(known.join(heads, "p", "left").select("key", "node", "c", F.coalesce("head", "p").alias("head")))
+    return found.unionByName(_lone_links(known, docs, nodes, words, block))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from newsloom.llm import simhash
@@ -52,7 +53,7 @@ def test_large_groups_join_as_all_pairs_do(spark, small):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     nodes = simhash.numbered(simhash.stage_nodes(docs))
     ids = {x.node: x.who.id for x in nodes.collect()}
-    links = {(ids[x.u], ids[x.v]) for x in simhash.similar_links(docs, nodes, small).collect()}
+    links = {(ids[x.u], ids[x.v]) for x in simhash.similar_links(docs, nodes, small, block=50).collect()}
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
     found, true = list(range(120)), list(range(120))
     for label, pairs in ((found, links), (true, [(a, b) for a in range(120) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])):
@@ -60,3 +61,10 @@ def test_large_groups_join_as_all_pairs_do(spark, small):
             low, high = sorted((label[a], label[b]))
             label[:] = [low if x == high else x for x in label]
     assert found == true
+
+
+def test_shared_counts():
+    r = np.random.default_rng(2)
+    one, two = ([np.unique(r.integers(-40, 40, r.integers(0, 30))) for _ in range(n)] for n in (7, 9))
+    expected = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    assert simhash.shared_counts(one, two, 8).tolist() == expected == simhash.shared_counts(one, two).tolist()
