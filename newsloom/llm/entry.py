@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, fim, langid, lm, mixing, oracle, packing, quality, secret_scan, simhash, tokencount, toxicity, warc
+from newsloom.llm import ann, collocations, fim, langid, lm, mixing, oracle, packing, quality, secret_scan, simhash, tokencount, toxicity, warc
 from newsloom.llm.shared import documents, fresh_dir
 
 
@@ -55,6 +55,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_collocations": op11_collocations,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_lm_scores": op13_lm_scores,
 }

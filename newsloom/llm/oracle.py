@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import fim, mixing, quality, warc
+from newsloom.llm import collocations, fim, mixing, quality, warc
 
 OP1 = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -54,6 +54,25 @@ m AS (SELECT t.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(li
 f AS (SELECT *, CAST({_bits()} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, fail_bits & {quality.policy_mask(quality.BASE_POLICY)} <> 0 AS base_failed, fail_bits & {quality.policy_mask(quality.POLICY)} = 0 AS kept, fail_bits FROM f"""
 
+OP11 = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+words AS (SELECT lang, word AS phrase, count(*) AS a FROM (SELECT lang, unnest(w) AS word FROM q) GROUP BY 1, 2),
+g AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM q, (SELECT unnest(range(2, {collocations.LONGEST + 1})) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, size, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+known AS (SELECT lang, phrase, a FROM f UNION ALL SELECT lang, phrase, a FROM words),
+c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, CAST(CAST({collocations.SCALE} AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score FROM c
+  JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s) WHERE place = 1),
+z AS (SELECT lang, a, w, n, unnest(range(1, size - n + 2)) AS i FROM (SELECT lang, a, size, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS n FROM f WHERE size > 2)),
+around AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS longer FROM z GROUP BY 1, 2),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM words GROUP BY lang),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY m.score DESC, m.a DESC, m.phrase) AS rank FROM m LEFT JOIN around USING (lang, phrase)
+  WHERE around.longer IS NULL OR 100 * CAST(around.longer AS HUGEINT) < {collocations.COVER} * CAST(m.a AS HUGEINT))
+SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, total.n, o.score FROM o JOIN total ON total.lang = o.lang WHERE o.rank <= {collocations.TOP}"""
+
 OP12 = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
 u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units FROM t),
@@ -66,4 +85,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
  sha256(prefix || middle || suffix) AS restored_sha256 FROM p"""
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_source_mix": OP4, "op6_quality_rules": OP6, "op12_fill_in_middle": OP12}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_source_mix": OP4, "op6_quality_rules": OP6, "op11_collocations": OP11, "op12_fill_in_middle": OP12}
