@@ -85,17 +85,24 @@ class EliasFano:
         """The values at these places."""
         return (self._place_of_one(at) - at) << self.low | self._low_bits(at)
 
-    def find(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The least place in [first, last) that holds the value, or -1: a successor search among the equal high parts."""
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The first place that holds each value, or -1: a successor search among the equal high parts. Values in order are found fastest."""
         out = np.full(len(values), -1, np.int64)
-        high = values >> self.low
-        able = np.flatnonzero((first < last) & (high <= self.top >> self.low) & (values >= 0))
+        able = np.flatnonzero((values >= 0) & (values <= self.top)) if self.n else np.zeros(0, np.int64)
         if not len(able):
             return out
-        high, rest = high[able], values[able] & ((1 << self.low) - 1)
-        begin = np.where(high > 0, self._place_of_zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        at, end = np.maximum(begin, first[able]), np.minimum(self._place_of_zero(high) - high, last[able])
-        left, right = at, end.copy()
+        high, rest = values[able] >> self.low, values[able] & ((1 << self.low) - 1)
+        begin = np.where(high > 0, self._place_of_zero(np.maximum(high - 1, 0)) + 1, 0)
+        # Ones from `begin` on up to the next zero: within one word as a rule.
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        free = ~self.high[word] >> shift
+        run = np.bitwise_count((free & (~free + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        over = np.flatnonzero((free == 0) | (run + shift.astype(np.int64) >= 64))
+        if len(over):
+            run[over] = self._place_of_zero(high[over]) - begin[over]
+        left = begin - high
+        end = left + run
+        right = end.copy()
         open_ = np.flatnonzero(left < right)
         while len(open_):
             middle = (left[open_] + right[open_]) >> 1

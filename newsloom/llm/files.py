@@ -67,24 +67,35 @@ def mapped(path: str) -> dict[str, np.ndarray]:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, byte by byte of equal weight, compressed; the first is sorted and kept as differences."""
+    """Arrays of whole numbers from 0 on, byte by byte of equal weight as far as any is used, compressed; the first is sorted and kept as differences."""
     first, *more = (np.asarray(x, np.int64) for x in arrays)
-    planes = [x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(first, prepend=0), *more)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    head, planes = [len(first)], []
+    for x in (np.diff(first, prepend=0), *more):
+        used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head.append(used)
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + b"".join(planes))
 
 
 def unpack(blob: bytes, count: int) -> list[np.ndarray]:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(count, 8, -1)
-    first, *more = (np.ascontiguousarray(x.T).reshape(-1).view(np.int64) for x in flat)
-    return [np.cumsum(first), *more]
-
-
-def combined(keys: list[np.ndarray], counts: np.ndarray, also: tuple[np.ndarray, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Rows in order of the keys (the first counts most), equal ones as one with their counts summed; `also` depends on the keys."""
-    order = np.lexsort(keys[::-1])
-    keys, counts, also = [k[order] for k in keys], counts[order], [x[order] for x in also]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        counts = np.add.reduceat(counts, np.flatnonzero(new))
-    return [k[new] for k in keys], counts, [x[new] for x in also]
+    flat = zstandard.ZstdDecompressor().decompress(blob)
+    n, *used = np.frombuffer(flat, np.int64, count + 1).tolist()
+    out, at = [], 8 * (count + 1)
+    for k in used:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :k] = np.frombuffer(flat, np.uint8, n * k, at).reshape(k, n).T
+        at += n * k
+        out.append(x.reshape(-1).view(np.int64))
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def combined(key: np.ndarray, counts: np.ndarray | None, also: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys in order, equal ones as one with their counts (1 each if None) summed; `also` depends on the key."""
+    order = np.argsort(key)
+    key, also = key[order], [x[order] for x in also]
+    new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+    if counts is None:
+        counts = np.diff(new, append=len(key))
+    elif len(key):
+        counts = np.add.reduceat(counts[order], new)
+    return key[new], counts, [x[new] for x in also]

@@ -2,7 +2,7 @@
 
 The model is a trigram model with interpolated absolute discounting. Its trie has three levels in files of the shared
 folder: words by hash with their number and count, the successors of each word, and the successors of each pair. The
-children of a node are a run of one monotone list (the last value of the run before is added to each), a second list
+children of a node are a run of one increasing list (each is one more than its number and the last value of the run before), a second list
 points to where runs begin, and probabilities and back-off weights are 16-bit codes of their logarithms. On the third
 level a word stands as its place among the successors of the word before it, so a question is asked relative to its
 context. Tasks map the files and answer whole arrays of questions.
@@ -78,6 +78,18 @@ def _digests(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
+class Slots(dict):
+    """Numbers of words in order of their first sight; `new` gathers those that haven't been looked up."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Level:
     """Runs of children by head: the mapped shards of one level."""
 
@@ -91,34 +103,47 @@ class Level:
             self.open[k] = EliasFano(x, "begin"), EliasFano(x, "child"), x["code"], x["weight"]
         return self.open[k]
 
-    def find(self, head: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For heads (-1: none) and children (-1: none): the child's place in its shard or -1, its place in its run, its code, and the head's weight code (0 if it has no run)."""
-        place, among, codes, weights = (np.full(len(head), x, np.int64) for x in (-1, -1, 0, 0))
-        shard = np.where(head >= 0, head % self.model.shards, self.model.shards)
-        order = np.argsort(shard, kind="stable")
+    def _by_shard(self, shard: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, rows) with the rows in order of their values, so that a shard's lists are read from front to end."""
+        order = np.argsort(shard << 44 | value)
         ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for k in np.flatnonzero(np.diff(ends)).tolist():
-            rows = order[ends[k] : ends[k + 1]]
-            begin, children, code_of, weight_of = self._shard(k)
-            at = head[rows] // self.model.shards
-            known = at < begin.n - 1
-            rows, at = rows[known], at[known]
-            heads, back = np.unique(at, return_inverse=True)
-            first, last = begin.get(heads), begin.get(heads + 1)
-            base = np.zeros(len(heads), np.int64)
-            later = np.flatnonzero((first > 0) & (first < last))
-            base[later] = children.get(first[later] - 1)
-            weights[rows] = np.where(first < last, weight_of[heads], 0)[back]
-            first, last = first[back], last[back]
-            wanted = child[rows]
-            found = children.find(np.where(wanted >= 0, base[back] + wanted, -1), first, last)
-            hit = np.flatnonzero(found >= 0)
-            place[rows[hit]], among[rows[hit]], codes[rows[hit]] = found[hit], (found - first)[hit], code_of[found[hit]]
-        return place, among, codes, weights
+            yield k, order[ends[k] : ends[k + 1]]
+
+    def runs(self, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For heads (-1: none): where the run begins and ends in its shard, the value before it, and the weight's code (0 if there is no run)."""
+        first, last, base, weight = (np.zeros(len(head), np.int64) for _ in range(4))
+        known = np.flatnonzero(head >= 0)
+        shard, at = head[known] % self.model.shards, head[known] // self.model.shards
+        for k, rows in self._by_shard(shard, at):
+            begin, children, _, weights = self._shard(k)
+            rows = rows[at[rows] < begin.n - 1]
+            heads = at[rows]
+            a, b = begin.get(heads), begin.get(heads + 1)
+            full = np.flatnonzero(a < b)
+            rows, a, b = known[rows[full]], a[full], b[full]
+            first[rows], last[rows], weight[rows] = a, b, weights[heads[full]]
+            later = np.flatnonzero(a > 0)
+            base[rows[later]] = children.get(a[later] - 1)
+        return first, last, base, weight
+
+    def find(self, head: np.ndarray, child: np.ndarray, runs: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """For heads with their runs and children (-1: none): the child's place in its shard or -1, and its code."""
+        first, last, base, _ = runs
+        place, codes = np.full(len(head), -1, np.int64), np.zeros(len(head), np.int64)
+        asked = np.flatnonzero((first < last) & (child >= 0))
+        shard, value = head[asked] % self.model.shards, base[asked] + child[asked] + 1
+        for k, rows in self._by_shard(shard, value):
+            _, children, code_of, _ = self._shard(k)
+            found = children.find(value[rows])
+            rows = asked[rows]
+            inside = np.flatnonzero((found >= first[rows]) & (found < last[rows]))
+            place[rows[inside]], codes[rows[inside]] = found[inside], code_of[found[inside]]
+        return place, codes
 
 
 class Reader:
-    """A worker's view of the trie."""
+    """A worker's view of the trie: what it knows of a word is held by slot."""
 
     def __init__(self, model: Model):
         self.model, self.pairs, self.triples = model, Level(model, 2), Level(model, 3)
@@ -126,10 +151,12 @@ class Reader:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.slots = Slots()
+        self.known: list[np.ndarray] = []
+        self._learn([])
 
     def _learn(self, new: list[bytes]) -> None:
+        """Number (-1: unknown), count, unigram code, base logarithm, and run of successors of new words; the first slot is the begin mark."""
         keys = _digests(new)
         ids, counts = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
         shard = (keys[:, 0] % np.uint64(self.model.shards)).astype(np.int64)
@@ -141,38 +168,48 @@ class Reader:
                 inside = np.flatnonzero(at < len(x["high"]))
                 same = inside[(x["high"][at[inside]] == keys[rows[inside], 0]) & (x["low"][at[inside]] == keys[rows[inside], 1])]
                 ids[rows[same]], counts[rows[same]] = x["id"][at[same]], x["count"][at[same]]
-        self.slots.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: unknown) and counts of words."""
+        if not self.known:
+            self.slots[b""] = 0
+            ids, counts = np.array([self.model.words]), np.zeros(1, np.int64)
+        runs = self.pairs.runs(ids) if self.model.first_node else (ids,) * 4
+        more = [ids, counts, code(self.model.unigram(counts)), self.model.base(counts), *runs]
+        self.known = [np.concatenate(x) for x in zip(self.known, more)] if self.known else more
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Slots of words."""
         if len(self.slots) > CACHE:
             self._forget()
-        new = list(set(words) - self.slots.keys())
-        if new:
-            self._learn(new)
         at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        return self.ids[at], self.counts[at]
-
-    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The word before each token, with the begin mark V before the first of a text."""
-        before = np.concatenate([[-1], ids[:-1]])
-        before[starts] = self.model.words
+        if self.slots.new:
+            self._learn(self.slots.new)
+            self.slots.new = []
+        return at
+
+    @staticmethod
+    def contexts(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The slot before each token, the begin mark's before the first of a text."""
+        before = np.concatenate([[0], at[:-1]])
+        before[starts] = 0
         return before
 
-    def nodes(self, before: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Numbers of the pairs' nodes, -1 where there is none."""
-        return np.where(place >= 0, self.first_node[np.maximum(before, 0) % self.model.shards] + place, -1)
+    def pair(self, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: the pair's code and the weight of the word before; the node of the pair before (-1: none), and the token's place among the successors (-1: not there)."""
+        before, ids = self.contexts(at, starts), self.known[0]
+        first, last, base, weight = (x[before] for x in self.known[4:])
+        head = ids[before]
+        place, codes = self.pairs.find(head, ids[at], (first, last, base, weight))
+        node = np.where(place >= 0, self.first_node[np.maximum(head, 0) % self.model.shards] + place, -1)
+        node = np.concatenate([[-1], node[:-1]])
+        node[starts] = -1
+        return codes, weight, node, np.where(place >= 0, place - first, -1)
 
-    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Decimal logarithm of each token's probability after the two tokens before it."""
-        before = self.contexts(ids, starts)
-        place, among, pair_code, pair_weight = self.pairs.find(before, ids)
-        low = np.where(place >= 0, pair_code, pair_weight + code(self.model.unigram(counts)))
-        node = np.concatenate([[-1], self.nodes(before, place)[:-1]])
-        node[starts] = -1
-        deep, _, triple_code, triple_weight = self.triples.find(node, among)
-        return np.where(deep >= 0, triple_code, triple_weight + low) / -STEPS
+        codes, weight, node, among = self.pair(at, starts)
+        low = np.where(among >= 0, codes, weight + self.known[2][at])
+        runs = self.triples.runs(node)
+        deep, deep_code = self.triples.find(node, among, runs)
+        return np.where(deep >= 0, deep_code, runs[3] + low) / -STEPS
 
 
 def chunks(texts: pd.Series) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
@@ -246,8 +283,14 @@ def _blocks(docs: DataFrame, model: Model, level: int) -> DataFrame:
 
     def emitted(held: list[list[np.ndarray]]) -> pd.DataFrame:
         head, child, low = (np.concatenate(x) for x in zip(*held))
-        shard = head % model.shards
-        (shard, head, child), n, (low,) = combined([shard, head, child], np.ones(len(head), np.int64), (low,))
+        # One number for shard, head and child: heads of a shard follow one another.
+        each = int(head.max()) // model.shards + 1 if len(head) else 1
+        wide = int(child.max()).bit_length() if len(child) else 1
+        if (each * model.shards).bit_length() + wide > 62:
+            raise ValueError("too many n-grams for one number each")
+        key, n, (low,) = combined((head % model.shards * each + head // model.shards) << wide | child, None, (low,))
+        child, at = key & ((1 << wide) - 1), key >> wide
+        shard, head = at // each, at % each
         ends = np.searchsorted(shard, np.arange(model.shards + 1))
         found = np.flatnonzero(np.diff(ends)).tolist()
         blobs = [pack(head[a:b], child[a:b], n[a:b], low[a:b]) for a, b in ((ends[k], ends[k + 1]) for k in found)]
@@ -257,15 +300,13 @@ def _blocks(docs: DataFrame, model: Model, level: int) -> DataFrame:
         reader, held, n = Reader(model), [], 0
         for batch in batches:
             for _, tokens, starts in chunks(batch["text"]):
-                ids, counts = reader.look_up(tokens)
-                before = reader.contexts(ids, starts)
+                at = reader.look_up(tokens)
                 if level == 2:
-                    rows = [before, ids, code(model.unigram(counts))]
+                    ids = reader.known[0]
+                    rows = [ids[reader.contexts(at, starts)], ids[at], reader.known[2][at]]
                 else:
-                    place, among, codes, _ = reader.pairs.find(before, ids)
-                    node = np.concatenate([[-1], reader.nodes(before, place)[:-1]])
-                    node[starts] = -1
-                    inner = node >= 0
+                    codes, _, node, among = reader.pair(at, starts)
+                    inner = np.flatnonzero(node >= 0)
                     rows = [node[inner], among[inner], codes[inner]]
                 held.append(rows)
                 n += len(rows[0])
@@ -284,19 +325,21 @@ def level_arrays(head: np.ndarray, child: np.ndarray, n: np.ndarray, low: np.nda
     kids = np.bincount(head, minlength=size)
     total = np.bincount(head, weights=n, minlength=size)
     begin = np.concatenate([[0], np.cumsum(kids)])
-    last = np.where(kids > 0, child[np.maximum(begin[1:] - 1, 0)] if len(child) else 0, 0)
+    last = np.where(kids > 0, child[np.maximum(begin[1:] - 1, 0)] + 1 if len(child) else 0, 0)
     base = np.cumsum(last) - last
     spare = np.divide(DISCOUNT * kids, total, out=np.ones(size), where=total > 0)
     p = np.maximum(n - DISCOUNT, 0) / total[head] + spare[head] * 10.0 ** (low / -STEPS)
-    return {**EliasFano.arrays(begin, "begin"), **EliasFano.arrays(base[head] + child, "child"), "code": code(p).astype(np.uint16), "weight": code(spare).astype(np.uint16)}
+    return {**EliasFano.arrays(begin, "begin"), **EliasFano.arrays(base[head] + child + 1, "child"), "code": code(p).astype(np.uint16), "weight": code(spare).astype(np.uint16)}
 
 
 def _level(docs: DataFrame, model: Model, level: int) -> list[int]:
     def built(group: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(bytes(x), 4) for x in group["grams"]]
         head, child, n, low = (np.concatenate(x) for x in zip(*parts))
-        (head, child), n, (low,) = combined([head, child], n, (low,))
-        save_arrays(model.file(level, int(group["shard"].iloc[0])), level_arrays(head // model.shards, child, n, low))
+        wide = int(child.max()).bit_length()
+        key, n, (low,) = combined(head << wide | child, n, (low,))
+        head, child = key >> wide, key & ((1 << wide) - 1)
+        save_arrays(model.file(level, int(group["shard"].iloc[0])), level_arrays(head, child, n, low))
         return pd.DataFrame({"shard": group["shard"].iloc[:1], "n": [len(head)]})
 
     none = np.zeros(0, np.int64)
@@ -324,8 +367,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             out = np.zeros((len(texts), 4))
             for first, tokens, starts in chunks(texts):
-                ids, counts = reader.look_up(tokens)
-                sums = (np.ones(len(ids)), counts > 0, model.base(counts), reader.log_probabilities(ids, counts, starts))
+                at = reader.look_up(tokens)
+                sums = (np.ones(len(at)), reader.known[1][at] > 0, reader.known[3][at], reader.log_probabilities(at, starts))
                 out[first : first + len(starts)] = np.stack([np.add.reduceat(x.astype(np.float64), starts) for x in sums], axis=1)
             found = pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
             yield found.astype({"n_tokens": "int64", "n_known": "int64"})

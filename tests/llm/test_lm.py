@@ -18,21 +18,17 @@ from newsloom.llm.shared import documents
 from tests.conftest import SMALL
 
 
-@given(st.lists(st.integers(0, 1 << 40) | st.integers(0, 300), max_size=200), st.data())
-def test_elias_fano_gets_and_finds(values, data):
+@given(st.lists(st.integers(0, 1 << 40) | st.integers(0, 300), max_size=200))
+def test_elias_fano_gets_and_finds(values):
     values = np.array(sorted(values), np.int64)
     found = EliasFano(EliasFano.arrays(values, "x"), "x")
     assert found.get(np.arange(len(values))).tolist() == values.tolist()
-    a = data.draw(st.integers(0, len(values)))
-    b = data.draw(st.integers(a, len(values)))
     asked = np.array([*values.tolist(), *(values + 1).tolist(), 0, -1, 1 << 41], np.int64)
-    places = found.find(asked, np.full(len(asked), a), np.full(len(asked), b))
-    for x, at in zip(asked.tolist(), places.tolist()):
-        inside = values[a:b].tolist()
-        assert at == (a + inside.index(x) if x in inside else -1)
+    for x, at in zip(asked.tolist(), found.find(asked).tolist()):
+        assert at == (values.tolist().index(x) if x in values else -1)
 
 
-@given(st.lists(st.tuples(st.integers(0, 50), st.integers(-(1 << 40), 1 << 40)), max_size=60))
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 1 << 40)), max_size=60))
 def test_packed_arrays_come_back(rows):
     rows.sort()
     first, second = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
