@@ -2,33 +2,36 @@
 
 A first pass adds all phrases of 2 to 4 words to a count-min sketch, one row of counters that is wider than there are
 phrases; tasks send packed blocks of counters by range, which are summed into a bitmap of the counters that reach the
-least count. An upper bound can't lose a phrase. A second pass collects the phrases that the bitmap admits; they are
-compiled into Aho-Corasick automata, bounded in size, by language. A third pass scans the documents of a language with
-its automata and counts overlapping matches: words stand between delimiters in pattern and text, so a match covers
-whole words, and pieces are parted by another sign, so none crosses. Exact counts then go through the thresholds.
+least count. An upper bound can't lose a phrase. A second pass collects the phrases that the bitmap admits, and their
+words; they are compiled into Aho-Corasick automata, bounded in size, by language. A third pass scans the documents of
+a language with its automata and counts overlapping matches: words stand between delimiters in pattern and text, so a
+match covers whole words, and pieces are parted by another sign, so none crosses. Exact counts then go through the
+thresholds. Between the passes go packed blocks, not a row for every phrase and task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.files import combined, mapped, mounted, pack, replaced, save_arrays, unpack
-from newsloom.llm.shared import fresh_dir, guarded_broadcast, materialize
+from newsloom.llm.shared import fresh_dir, materialize
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A score is SCALE times the share; a phrase goes if a longer one around it has COVER percent of its occurrences.
 SCALE, COVER = 2_000_000, 80
 #: Counters of one range of the sketch, phrases that a task gathers, patterns of an automaton, characters that are scanned at a time.
-RANGE, GATHER, PATTERNS, CHUNK = 1 << 24, 1 << 21, 100_000, 1 << 24
+RANGE, GATHER, PATTERNS, CHUNK = 1 << 24, 1 << 21, 400_000, 1 << 24
 #: Distinct words that a task remembers.
 CACHE = 500_000
 #: Parts of a language that are ranked apart.
@@ -40,7 +43,7 @@ _SIGNS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n"
 def pieces(text: str | None) -> Iterator[list[bytes]]:
     """The words of each piece of a text, in lower case (A-Z)."""
     for piece in (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS).split(b"\n"):
-        words = [w for w in piece.split(b" ") if w]
+        words = piece.split()
         if words:
             yield words
 
@@ -66,8 +69,8 @@ class Windows:
         """For each length: (length, first words, hashes) of the phrases within pieces."""
         if len(self.known) > CACHE:
             self.known.clear()
-        for w in set(self.words) - self.known.keys():
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        new = set(self.words) - self.known.keys()
+        self.known.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
         word = np.fromiter(map(self.known.__getitem__, self.words), np.uint64, len(self.words))
         sizes = np.diff(self.ends, prepend=0)
         left = np.repeat(np.array(self.ends, np.int64), sizes) - np.arange(len(word))
@@ -80,60 +83,45 @@ class Windows:
             yield n, first, mixed ^ (mixed >> np.uint64(32))
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Windows, Counter]]:
-    """Pieces of the batches in portions of about GATHER phrases, and the words counted by language."""
-    windows, counts = Windows(), Counter()
+def _mark(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[Windows]:
+    """Pieces of the batches in portions of about GATHER phrases."""
+    windows = Windows()
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
-            mark = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+            mark = _mark(lang)
             for words in pieces(text):
                 windows.add(words, mark)
-            counts[lang] += 0
             if (LONGEST - 1) * len(windows.words) >= GATHER:
-                yield windows, counts
+                yield windows
                 windows.clear()
     if windows.words:
-        yield windows, counts
+        yield windows
 
 
 def _by_lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def sketch_width(docs: DataFrame, size: int = RANGE) -> int:
-    """Counters of the sketch: at least one for every two characters, and so about one a phrase or more, in whole ranges."""
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    return max(1, -(-chars // (2 * size))) * size
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, phrase (one word), a: occurrences; tasks count before the shuffle."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
+def sizes_by_lang(docs: DataFrame) -> dict[str, int]:
+    """Characters of each language; a row a language comes to the driver."""
+    return {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(lang, w.decode("utf-8", "replace"), n) for lang, c in held.items() for w, n in c.items()], columns=["lang", "phrase", "a"])
 
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                counter = held.setdefault(lang, Counter())
-                for words in pieces(text):
-                    counter.update(words)
-            if sum(map(len, held.values())) > CACHE:
-                yield rows()
-                held.clear()
-        yield rows()
-
-    return docs.mapInPandas(counted, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+def sketch_width(chars: int, size: int = RANGE) -> int:
+    """Counters of the sketch: at least one for every two characters, and so about one a phrase or more, in whole ranges."""
+    return max(1, -(-chars // (2 * size))) * size
 
 
-def sketch(docs: DataFrame, width: int, folder: str, least: int = LEAST, size: int = RANGE) -> None:
-    """Writes the bitmap of the counters that reach `least`, a file for every range of `size`."""
+def sketch(docs: DataFrame, width: int, folder: str, least: int = LEAST, size: int = RANGE) -> int:
+    """Writes the bitmap of the counters that reach `least`, a file for every range of `size`; returns how many do."""
 
     def blocks(windows: Windows) -> pd.DataFrame:
         at = np.concatenate([h % np.uint64(width) for _, _, h in windows.hashes()]).astype(np.int64)
-        (at,), n, _ = combined([at], np.ones(len(at), np.int64))
+        at, n, _ = combined(at, None)
         part = at // size
         ends = np.searchsorted(part, np.arange(width // size + 1))
         found = np.flatnonzero(np.diff(ends)).tolist()
@@ -141,7 +129,7 @@ def sketch(docs: DataFrame, width: int, folder: str, least: int = LEAST, size: i
         return pd.DataFrame({"part": found, "counters": blobs})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for windows, _ in _gathered(batches):
+        for windows in _gathered(batches):
             yield blocks(windows)
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
@@ -151,13 +139,14 @@ def sketch(docs: DataFrame, width: int, folder: str, least: int = LEAST, size: i
             # Beyond `least` a counter needs no exact value.
             total[at] = np.minimum(total[at] + n, least)
         save_arrays(f"{folder}/part-{int(group['part'].iloc[0])}", {"hot": np.packbits(total >= least, bitorder="little")})
-        return group[["part"]].iloc[:1]
+        return pd.DataFrame({"part": group["part"].iloc[:1], "n": [int((total >= least).sum())]})
 
-    made = materialize(docs.mapInPandas(counted, "part bigint, counters binary").groupBy("part").applyInPandas(summed, "part bigint"))
-    known = {r["part"] for r in made.collect()}  # a row a range
+    made = materialize(docs.mapInPandas(counted, "part bigint, counters binary").groupBy("part").applyInPandas(summed, "part bigint, n bigint"))
+    hot = {r["part"]: r["n"] for r in made.collect()}  # a row a range
     for k in range(width // size):
-        if k not in known:
+        if k not in hot:
             save_arrays(f"{folder}/part-{k}", {"hot": np.zeros(size // 8, np.uint8)})
+    return sum(hot.values())
 
 
 def _hot(folder: str, at: np.ndarray, size: int) -> np.ndarray:
@@ -168,59 +157,66 @@ def _hot(folder: str, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, width: int, folder: str, size: int = RANGE) -> DataFrame:
-    """The distinct phrases (lang, phrase) whose counter reaches the least count."""
+def compile_automata(docs: DataFrame, width: int, folder: str, shards: dict[str, int], size: int = RANGE) -> None:
+    """Collects the phrases whose counter reaches the least count, and their words; writes an automaton and a list for every language and shard."""
+
+    def blocks(held: dict[tuple[str, int], list[bytes]]) -> pd.DataFrame:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pd.DataFrame([(lang, shard, squeeze(b"\n".join(sorted(x)))) for (lang, shard), x in held.items()], columns=["lang", "shard", "phrases"])
 
     def collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        names: dict[int, str] = {}
-        held: list[tuple[str, str]] = []
-
+        held: dict[tuple[str, int], list[bytes]] = {}
+        count = 0
         for batch in batches:
-            for lang in batch["lang"].unique():
-                names[xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))] = lang
-            for windows, _ in _gathered(iter([batch])):
+            names = {_mark(lang): lang for lang in batch["lang"].unique()}
+            for windows in _gathered(iter([batch])):
                 ends = np.array(windows.ends)
+                words: set[tuple[str, bytes]] = set()
                 for n, first, hashes in windows.hashes():
                     rows = np.flatnonzero(_hot(folder, (hashes % np.uint64(width)).astype(np.int64), size))
-                    _, new = np.unique(hashes[rows], return_index=True)
-                    for row in rows[new].tolist():
-                        h = int(hashes[row])
-                        if h not in seen:
-                            seen.add(h)
-                            at = int(first[row])
-                            lang = names[windows.langs[int(np.searchsorted(ends, at, "right"))]]
-                            held.append((lang, b" ".join(windows.words[at : at + n]).decode("utf-8", "replace")))
-                if len(held) >= PATTERNS:
-                    yield pd.DataFrame(held, columns=["lang", "phrase"])
-                    held = []
+                    hashes, new = np.unique(hashes[rows], return_index=True)
+                    fresh = [(h, k) for h, k in zip(hashes.tolist(), new.tolist()) if h not in seen]
+                    seen.update(h for h, _ in fresh)
+                    starts = first[rows[[k for _, k in fresh]]]
+                    for at, piece in zip(starts.tolist(), np.searchsorted(ends, starts, "right").tolist()):
+                        lang, phrase = names[windows.langs[piece]], windows.words[at : at + n]
+                        line = b" ".join(phrase)
+                        held.setdefault((lang, xxhash.xxh3_64_intdigest(line) % shards[lang]), []).append(line)
+                        count += 1
+                        if n == 2:
+                            words.update((lang, w) for w in phrase)
+                for lang, word in words:
+                    held.setdefault((lang, xxhash.xxh3_64_intdigest(word) % shards[lang]), []).append(word)
+                if count >= CACHE:
+                    yield blocks(held)
+                    held, count = {}, 0
                 if len(seen) > 4 * CACHE:
                     seen.clear()
-        yield pd.DataFrame(held, columns=["lang", "phrase"])
-
-    return docs.mapInPandas(collected, "lang string, phrase string").distinct()
-
-
-def compile_automata(phrases: DataFrame, folder: str, patterns: int = PATTERNS) -> tuple[DataFrame, dict[str, int]]:
-    """Candidates with automaton and place, one file an automaton, and the number of automata of each language.
-
-    The languages' numbers come to the driver: a row a language.
-    """
-    sizes = {r["lang"]: r["n"] for r in phrases.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    shards = {lang: -(-n // patterns) for lang, n in sizes.items()}
-    counts = phrases.sparkSession.createDataFrame(list(shards.items()), "lang string, shards int")
-    rows = phrases.join(guarded_broadcast(counts), "lang").withColumn("shard", F.pmod(F.xxhash64("phrase"), F.col("shards")).cast("int")).drop("shards")
+        yield blocks(held)
 
     def compiled(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("phrase").reset_index(drop=True)
+        lines = sorted({x for blob in group["phrases"] for x in zstandard.ZstdDecompressor().decompress(bytes(blob)).split(b"\n")})
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, phrase in enumerate(group["phrase"]):
-            machine.add_word(f" {phrase} ", k)
+        for k, line in enumerate(lines):
+            machine.add_word(f" {line.decode('utf-8', 'replace')} ", k)
         machine.make_automaton()
-        replaced(_automaton_file(folder, group["lang"].iloc[0], int(group["shard"].iloc[0])), machine.save)
-        return group.assign(place=group.index)[["lang", "shard", "place", "phrase"]]
+        path = _automaton_file(folder, group["lang"].iloc[0], int(group["shard"].iloc[0]))
+
+        def listed(to: str) -> None:
+            with open(to, "wb") as f:
+                f.write(b"\n".join(lines))
 
-    return materialize(rows.groupBy("lang", "shard").applyInPandas(compiled, "lang string, shard int, place int, phrase string")), shards
+        replaced(f"{path}.list", listed)
+        replaced(path, machine.save)
+        return group[["lang", "shard"]].iloc[:1]
+
+    found = docs.mapInPandas(collected, "lang string, shard int, phrases binary").groupBy("lang", "shard").applyInPandas(compiled, "lang string, shard int")
+    known = {(r["lang"], r["shard"]) for r in materialize(found).collect()}  # a row an automaton
+    for lang, n in shards.items():
+        for shard in range(n):
+            if (lang, shard) not in known:
+                replaced(f"{_automaton_file(folder, lang, shard)}.list", lambda to: open(to, "wb").close())
 
 
 def _automaton_file(folder: str, lang: str, shard: int) -> str:
@@ -232,47 +228,79 @@ def _automaton(path: str) -> ahocorasick.Automaton:
     return ahocorasick.load(path, int)
 
 
-def count_matches(docs: DataFrame, folder: str, shards: dict[str, int]) -> DataFrame:
-    """lang, shard, place, a: overlapping matches of every candidate in the documents of its language."""
+def _list(path: str) -> list[str]:
+    with open(f"{path}.list", "rb") as f:
+        whole = f.read()
+    return whole.decode("utf-8", "replace").split("\n") if whole else []
+
+
+def count_matches(docs: DataFrame, folder: str, shards: dict[str, int], least: int = LEAST) -> DataFrame:
+    """lang, phrase, a, n: overlapping matches of every pattern that occurs `least` times in the documents of its language; n is null.
+
+    A row without a phrase has the language's number of words n. Tasks add up their matches, by automaton.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple[str, int], np.ndarray] = {}
-        held: dict[str, list[str]] = {}
+        words: dict[str, int] = {}
+        held: dict[str, list[bytes]] = {}
         size = 0
 
         def scan() -> None:
             for lang, lines in held.items():
-                line = "\n".join(lines)
-                for shard in range(shards.get(lang, 0)):
-                    machine = _automaton(_automaton_file(folder, lang, shard))
-                    found = np.fromiter((place for _, place in machine.iter(line)), np.int64)
-                    counts = np.bincount(found, minlength=len(machine))
-                    totals[lang, shard] = totals.get((lang, shard), 0) + counts
+                line = b"\n".join(lines).decode("utf-8", "replace")
+                for shard in range(shards[lang]):
+                    path = _automaton_file(folder, lang, shard)
+                    if not os.path.getsize(f"{path}.list"):
+                        continue
+                    machine = _automaton(path)
+                    found = np.fromiter(map(itemgetter(1), machine.iter(line)), np.int64)
+                    totals[lang, shard] = totals.get((lang, shard), 0) + np.bincount(found, minlength=len(machine))
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                lines = [f" {b' '.join(words).decode('utf-8', 'replace')} " for words in pieces(text) if len(words) > 1]
-                held.setdefault(lang, []).extend(lines)
+                lines = held.setdefault(lang, [])
+                for found in pieces(text):
+                    words[lang] = words.get(lang, 0) + len(found)
+                    lines.append(b" %b " % b" ".join(found))
                 size += len(text)
                 if size >= CHUNK:
                     scan()
                     held, size = {}, 0
         scan()
-        for (lang, shard), counts in totals.items():
-            places = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": lang, "shard": np.int32(shard), "place": places.astype(np.int32), "a": counts[places]})
+        rows = [(lang, shard, pack(places := np.flatnonzero(x), x[places]), 0) for (lang, shard), x in totals.items()]
+        rows += [(lang, -1, None, n) for lang, n in words.items()]
+        yield pd.DataFrame(rows, columns=["lang", "shard", "counts", "n"])
 
-    return docs.mapInPandas(counted, "lang string, shard int, place int, a bigint").groupBy("lang", "shard", "place").agg(F.sum("a").alias("a"))
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        lang, shard = group["lang"].iloc[0], int(group["shard"].iloc[0])
+        if shard < 0:
+            return pd.DataFrame({"lang": [lang], "phrase": [None], "a": pd.array([None], "Int64"), "n": pd.array([int(group["n"].sum())], "Int64")})
+        phrases = np.array(_list(_automaton_file(folder, lang, shard)), object)
+        total = np.zeros(len(phrases), np.int64)
+        for blob in group["counts"]:
+            places, counts = unpack(bytes(blob), 2)
+            total[places] += counts
+        kept = np.flatnonzero(total >= least)
+        return pd.DataFrame({"lang": lang, "phrase": phrases[kept], "a": pd.array(total[kept], "Int64"), "n": pd.array([None] * len(kept), "Int64")})
+
+    found = docs.mapInPandas(counted, "lang string, shard int, counts binary, n bigint")
+    return found.groupBy("lang", "shard").applyInPandas(summed, "lang string, phrase string, a bigint, n bigint")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = RANGE, patterns: int = PATTERNS) -> DataFrame:
-    """lang, phrase, a for all phrases of 2 to LONGEST words that occur `least` times or more in a language."""
+    """lang, phrase, a for all phrases of 2 to LONGEST words that occur `least` times or more in a language, and for their words; rows with n, its number of words, have no phrase.
+
+    The number of automata of a language follows from the phrases that the sketch admits and its share of the characters.
+    """
     docs, folder = _by_lang(docs), mounted(fresh_dir(docs.sparkSession, "phrases"))
-    width = sketch_width(docs, size)
-    sketch(docs, width, folder, least, size)
-    placed, shards = compile_automata(materialize(candidates(docs, width, folder, size)), folder, patterns)
-    counts = guarded_broadcast(materialize(count_matches(docs, folder, shards).where(F.col("a") >= least)))
-    return materialize(placed.join(counts, ["lang", "shard", "place"]).select("lang", "phrase", "a"))
+    chars = sizes_by_lang(docs)
+    total = sum(chars.values())
+    width = sketch_width(total, size)
+    hot = sketch(docs, width, folder, least, size)
+    shards = {lang: max(1, -(-hot * n // (max(total, 1) * patterns))) for lang, n in chars.items()}
+    compile_automata(docs, width, folder, shards, size)
+    return materialize(count_matches(docs, folder, shards, least))
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
@@ -309,12 +337,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, **sizes: i
     be null; other columns are ignored; an empty table gives an empty result, as does a language without a frequent
     phrase. Ranks first go through salted parts of a language, so that no task ranks all its phrases.
     """
-    words = materialize(word_counts(_by_lang(docs)))
-    phrases = phrase_counts(docs, least, **sizes)
+    counts = phrase_counts(docs, least, **sizes)
+    alone = ~F.contains("phrase", F.lit(" "))
+    words, phrases = counts.where(alone), counts.where(~alone)
     rows = scored(phrases, words).join(uncovered(phrases).select("lang", "phrase"), ["lang", "phrase"])
     order = [F.desc("score"), F.desc("a"), "phrase"]
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALT))).orderBy(*order)
     rows = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    total = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    return rows.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return rows.join(counts.where("phrase IS NULL").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
