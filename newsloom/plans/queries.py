@@ -366,7 +366,16 @@ def x9(spark: SparkSession, d: str) -> DataFrame:
 @query("e6_event_clusters")
 def e6(spark: SparkSession, d: str) -> DataFrame:
     items = tables.content_items(spark, d)
-    return events.cluster(items, content.strict_duplicates(items).select("id", "duplicate_of_id"))
+    return events.Plan(items, content.strict_duplicates(items).select("id", "duplicate_of_id")).members()
+
+
+@query("e6_review_pairs")
+def e6_review(spark: SparkSession, d: str) -> DataFrame:
+    """With every ninety-seventh item in an event that a person fixed, and links between neighbours."""
+    items = tables.content_items(spark, d)
+    locked = items.where("id % 97 = 0").select(F.floor(F.col("id") / 970).cast("bigint").alias("event_key"), F.col("id").alias("content_item_id"))
+    links = items.where("id % 50 = 3").select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"), F.when(F.col("id") % 100 == 3, "must_link").otherwise("cannot_link").alias("relation"))
+    return events.Plan(items, content.strict_duplicates(items).select("id", "duplicate_of_id"), links, locked).review()
 
 
 @query("e12_components", """WITH RECURSIVE e AS (SELECT o_custkey AS u, o_custkey - (o_custkey % 7) AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS id, u AS c FROM b UNION SELECT b.u, r.c FROM r JOIN b ON b.v = r.id)

@@ -58,6 +58,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Like materialize, by a Parquet table of the shared folder: loops keep plans short, since nothing known of the rows is carried along."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows up to which a table of short rows may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 100_000
 
