@@ -85,8 +85,19 @@ class EliasFano:
         """The values at these places."""
         return (self._place_of_one(at) - at) << self.low | self._low_bits(at)
 
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at these places and at the next ones: the next one bit lies in the same word as a rule."""
+        place = self._place_of_one(at)
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        above = (self.high[word] >> shift) >> np.uint64(1)
+        after = place + 1 + np.bitwise_count((above & (~above + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        over = np.flatnonzero(above == 0)
+        if len(over):
+            after[over] = self._place_of_one(at[over] + 1)
+        return (place - at) << self.low | self._low_bits(at), (after - at - 1) << self.low | self._low_bits(at + 1)
+
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The first place that holds each value, or -1: a successor search among the equal high parts. Values in order are found fastest."""
+        """The first place that holds each value, or -1: a successor search among the equal high parts."""
         out = np.full(len(values), -1, np.int64)
         able = np.flatnonzero((values >= 0) & (values <= self.top)) if self.n else np.zeros(0, np.int64)
         if not len(able):

@@ -35,9 +35,9 @@ STEPS = 4096
 #: The end of a text as a word: no word has a line break.
 END = b"\n"
 #: Tokens whose n-grams one shard holds, tokens that a task looks up at a time, and n-grams that it gathers before it emits blocks.
-SHARD_TOKENS, CHUNK, GATHER = 1 << 22, 1 << 18, 1 << 21
+SHARD_TOKENS, CHUNK, GATHER = 1 << 20, 1 << 18, 1 << 21
 #: Words that a worker remembers.
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def code(p: np.ndarray) -> np.ndarray:
@@ -103,10 +103,11 @@ class Level:
             self.open[k] = EliasFano(x, "begin"), EliasFano(x, "child"), x["code"], x["weight"]
         return self.open[k]
 
-    def _by_shard(self, shard: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, rows) with the rows in order of their values, so that a shard's lists are read from front to end."""
-        order = np.argsort(shard << 44 | value)
-        ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, rows) of the shards that occur."""
+        short = shard.astype(np.uint16) if self.model.shards <= 1 << 16 else shard
+        order = np.argsort(short, kind="stable")
+        ends = np.searchsorted(short[order], np.arange(self.model.shards + 1).astype(np.int64))
         for k in np.flatnonzero(np.diff(ends)).tolist():
             yield k, order[ends[k] : ends[k + 1]]
 
@@ -115,11 +116,11 @@ class Level:
         first, last, base, weight = (np.zeros(len(head), np.int64) for _ in range(4))
         known = np.flatnonzero(head >= 0)
         shard, at = head[known] % self.model.shards, head[known] // self.model.shards
-        for k, rows in self._by_shard(shard, at):
+        for k, rows in self._by_shard(shard):
             begin, children, _, weights = self._shard(k)
             rows = rows[at[rows] < begin.n - 1]
             heads = at[rows]
-            a, b = begin.get(heads), begin.get(heads + 1)
+            a, b = begin.spans(heads)
             full = np.flatnonzero(a < b)
             rows, a, b = known[rows[full]], a[full], b[full]
             first[rows], last[rows], weight[rows] = a, b, weights[heads[full]]
@@ -133,7 +134,7 @@ class Level:
         place, codes = np.full(len(head), -1, np.int64), np.zeros(len(head), np.int64)
         asked = np.flatnonzero((first < last) & (child >= 0))
         shard, value = head[asked] % self.model.shards, base[asked] + child[asked] + 1
-        for k, rows in self._by_shard(shard, value):
+        for k, rows in self._by_shard(shard):
             _, children, code_of, _ = self._shard(k)
             found = children.find(value[rows])
             rows = asked[rows]

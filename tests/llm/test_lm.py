@@ -23,6 +23,9 @@ def test_elias_fano_gets_and_finds(values):
     values = np.array(sorted(values), np.int64)
     found = EliasFano(EliasFano.arrays(values, "x"), "x")
     assert found.get(np.arange(len(values))).tolist() == values.tolist()
+    if len(values) > 1:
+        both = found.spans(np.arange(len(values) - 1))
+        assert [x.tolist() for x in both] == [values[:-1].tolist(), values[1:].tolist()]
     asked = np.array([*values.tolist(), *(values + 1).tolist(), 0, -1, 1 << 41], np.int64)
     for x, at in zip(asked.tolist(), found.find(asked).tolist()):
         assert at == (values.tolist().index(x) if x in values else -1)
@@ -100,7 +103,7 @@ def compare(spark, docs) -> None:
         assert any(abs(r.score - plain.score(t)) <= 3 * len(t) / lm.STEPS for t in matches)
 
 
-@pytest.mark.parametrize("shard", [1 << 22, 500])
+@pytest.mark.parametrize("shard", [1 << 20, 500])
 def test_scores_are_the_plain_models(spark, monkeypatch, shard):
     monkeypatch.setattr(lm, "SHARD_TOKENS", shard)
     compare(spark, documents(spark, SMALL).repartition(3))
