@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +24,56 @@ class Alias:
     entity_id: int
     alias: str
 
-    def pattern(self) -> re.Pattern:
-        """Whole words at ends that are Latin letters or digits."""
-        edge = lambda c: r"\b" if c.isascii() and c.isalnum() else ""
-        return re.compile(f"{edge(self.alias[0])}{re.escape(self.alias)}{edge(self.alias[-1])}", re.I)
+
+#: Letters that count as another one where case is ignored, beside plain lower case.
+SAME_LETTER = {"ſ": "s", "ı": "i", "İ": "i", "µ": "μ"}
+
+
+def folded(text: str) -> str:
+    """Lower case, character by character, so that offsets stay."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in (SAME_LETTER.get(c, c) for c in text))
+    return low.translate(_SAME)
+
+
+_SAME = str.maketrans(SAME_LETTER)
+
+
+class Matcher:
+    """All aliases as one Aho-Corasick automaton: a text is read once, however many there are.
+
+    A match must begin and end at a word's edge where the alias has a Latin letter or digit there; matches of one alias
+    don't overlap.
+    """
+
+    def __init__(self, aliases: list[Alias]):
+        from ahocorasick import Automaton
+
+        self.aliases = sorted({a for a in aliases if a.alias}, key=lambda a: (a.alias, a.entity_id))
+        latin = lambda c: c.isascii() and c.isalnum()
+        self.edges = [(latin(a.alias[0]), latin(a.alias[-1])) for a in self.aliases]
+        found: dict[str, list[int]] = {}
+        for k, a in enumerate(self.aliases):
+            found.setdefault(folded(a.alias), []).append(k)
+        self.machine = Automaton()
+        for form, places in found.items():
+            self.machine.add_word(form, (len(form), places))
+        self.machine.make_automaton()
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(entity, start, end) of every match."""
+        if not text or not self.aliases:
+            return
+        word = lambda at: 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+        free: dict[int, int] = {}
+        for last, (size, places) in self.machine.iter(folded(text)):
+            start, end = last - size + 1, last + 1
+            for k in places:
+                begins, ends = self.edges[k]
+                if start >= free.get(k, 0) and not (begins and word(start - 1)) and not (ends and word(end)):
+                    free[k] = end
+                    yield self.aliases[k].entity_id, start, end
 
 
 def normalize_name(value: str | None) -> str:
@@ -44,22 +89,25 @@ def normalized_name(x: Column) -> Column:
 def find_mentions(items: DataFrame, aliases: list[Alias]) -> DataFrame:
     """Every match of every alias in title, excerpt and body, one row per span and entity.
 
-    The alias table is small and goes with the tasks; a text is searched for an alias only if it holds its letters.
+    The registry goes to every worker once, which compiles it into one automaton; it must fit a worker's memory (about
+    1 KB an alias). Null and empty texts have no mentions, ids may be null and keep their exact values, repeated rows
+    give their mentions once, and other columns are ignored.
     """
-    patterns = [(a.entity_id, a.alias.lower(), a.pattern()) for a in aliases if a.alias]
+    registry = items.sparkSession.sparkContext.broadcast(aliases)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(registry.value)
         for batch in batches:
             rows = []
             for item, *texts in zip(batch["id"], *(batch[f] for f in FIELDS)):
+                number = None if item is None else int(item)
                 for field, text in zip(FIELDS, texts):
-                    low = (text or "").lower()
-                    for entity, plain, pattern in patterns:
-                        if plain in low:
-                            rows += [(item, field, m.start(), m.end(), m[0], entity, text[max(0, m.start() - CONTEXT) : m.end() + CONTEXT].strip()) for m in pattern.finditer(text)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MENTIONS.split(", ")])
+                    rows += [(number, field, a, b, text[a:b], entity, text[max(0, a - CONTEXT) : b + CONTEXT].strip()) for entity, a, b in matcher.find(text or "")]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in MENTIONS.split(", ")])
+            yield out.assign(content_item_id=pd.array([r[0] for r in rows], "Int64"))
 
-    return items.select("id", *FIELDS).mapInPandas(found, MENTIONS).distinct()
+    # As text, ids pass through pandas unchanged also where some are null.
+    return items.select(F.col("id").cast("string"), *FIELDS).mapInPandas(found, MENTIONS).distinct()
 
 
 def resolve(mentions: DataFrame) -> DataFrame:

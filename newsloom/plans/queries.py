@@ -336,11 +336,22 @@ def t16(spark: SparkSession, d: str) -> DataFrame:
 # Entities -----------------------------------------------------------------------------------------------------------
 
 
-@query("x1_entity_mentions")
+ALIASES_SQL = r""", alias AS (SELECT * FROM (VALUES (1, 'loser'), (2, 'scum'), (3, 'scum'), (4, 'mit'), (5, 'the')) AS v(entity_id, form)),
+f AS (SELECT id, 'title' AS field, title AS text FROM content_items UNION ALL SELECT id, 'excerpt', excerpt FROM content_items UNION ALL SELECT id, 'body', body FROM content_items),
+c AS (SELECT id, field, text, entity_id, form, string_split(lower(text), form) AS parts FROM f JOIN alias ON contains(lower(text), form)),
+o AS (SELECT * EXCLUDE (parts), len(parts) AS n, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(form))) AS start FROM c),
+m AS (SELECT id, field, CAST(start AS INT) AS start_offset, CAST(start + length(form) AS INT) AS end_offset, substr(text, CAST(start AS BIGINT) + 1, length(form)) AS surface, entity_id FROM o
+ WHERE NOT regexp_matches(substr(text, CAST(start AS BIGINT), 1), '[\p{L}\p{N}_]') AND NOT regexp_matches(substr(text, CAST(start + length(form) AS BIGINT) + 1, 1), '[\p{L}\p{N}_]'))"""
+
+
+@query("x1_entity_mentions", with_tables("content_items") + ALIASES_SQL + """
+SELECT id AS content_item_id, field, start_offset, end_offset, surface, CASE WHEN count(DISTINCT entity_id) = 1 THEN CAST(min(entity_id) AS BIGINT) END AS entity_id,
+ CASE WHEN count(DISTINCT entity_id) = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution_status, CASE WHEN count(DISTINCT entity_id) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence
+FROM m GROUP BY id, field, start_offset, end_offset, surface""")
 def x1(spark: SparkSession, d: str) -> DataFrame:
     from newsloom.operators.entities import Alias, find_mentions, resolve
 
-    found = find_mentions(tables.content_items(spark, d), [Alias(1, "loser"), Alias(2, "scum"), Alias(3, "scum"), Alias(4, "MIT")])
+    found = find_mentions(tables.content_items(spark, d), [Alias(1, "loser"), Alias(2, "scum"), Alias(3, "scum"), Alias(4, "MIT"), Alias(5, "The")])
     return resolve(found).select("content_item_id", "field", "start_offset", "end_offset", "surface", "entity_id", "resolution_status", "confidence")
 
 
