@@ -6,16 +6,18 @@ import numpy as np
 
 
 class Ftrl:
-    """Per-coordinate FTRL-proximal; weights stay exactly zero until a coordinate's gradients outweigh the L1 penalty."""
+    """Per-coordinate FTRL-proximal; weights stay exactly zero until a coordinate's gradients outweigh the L1 penalty (0 for the coordinates `free`)."""
 
-    def __init__(self, features: int, outputs: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.1, l2: float = 1e-4):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    def __init__(self, features: int, outputs: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.1, l2: float = 1e-4, free: np.ndarray | None = None):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, np.full((features, 1), l1), l2
+        if free is not None:
+            self.l1[free] = 0.0
         self.z, self.n = np.zeros((features, outputs)), np.zeros((features, outputs))
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
-        return np.where(np.abs(z) > self.l1, w, 0.0)
+        z, n, l1 = self.z[at], self.n[at], self.l1[at]
+        w = (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+        return np.where(np.abs(z) > l1, w, 0.0)
 
     def update(self, at: np.ndarray, gradient: np.ndarray, w: np.ndarray) -> None:
         """One step at distinct coordinates, with their gradients and present weights."""

@@ -1,11 +1,10 @@
 """Toxicity: a linear classifier whose scores may not hang on which group a text mentions.
 
 Each identity term in a labelled sentence is swapped for another of its kind, and the training adds the squared change
-of the sentence's score to its loss. Since a corpus may hold no such terms, one sentence of each labelled text gets a
-term besides, so that mentions without insults are always among the training. Terms of one kind are so drawn to one
-weight, and towards none, since the neutral word of a kind counts as no evidence; neutral mentions stop raising the
-score. Where no labelled
-text mentions a group, no term gains a weight, and the result is that of the plain regression.
+of the sentence's score to its loss. Since a corpus may hold no such terms, every labelled text also has a
+counterfactual copy: the same text and label with a term placed into one of its sentences, so that terms stand in texts
+of both labels and have gradients of their own, which no L1 penalty hides. Terms of one kind are drawn to one weight,
+and towards none, since the neutral word of a kind counts as no evidence; neutral mentions stop raising the score.
 """
 
 from __future__ import annotations
@@ -75,10 +74,11 @@ def mentions(text: str | None) -> list[tuple[str, list[str]]]:
 
 @dataclass
 class Model:
-    """Weights of the words that have any, and the intercept."""
+    """Weights of the words that have any, the intercept, and how many steps of the fit the counterfactual penalty made."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
+    swaps: int = 0
 
     def score(self, text: str | None) -> float:
         return _chance(self.bias + sum(self.weights[w] for w in self.weights.keys() & words(text)))
@@ -91,8 +91,8 @@ def _chance(total: float) -> float:
 def fit(texts: Iterable[tuple[Collection[str], Sequence[tuple[str, Collection[str]]]]], labels: Sequence[int], strength: float = COUNTERFACTUAL, rounds: int = ROUNDS, seed: int = 7) -> Model:
     """Logistic regression on word presence by follow-the-regularised-leader, with the counterfactual penalty.
 
-    `texts` are the distinct words of each text with its mentions; they are read once and held as numbers. In every
-    round each mention is swapped for the neutral word of its kind and for another term of it, drawn anew, and the
+    `texts` are the distinct words of each text with its mentions, the placed one last; they are read once and held as
+    numbers. A text's copy, with the placed term, is a row of its own with the text's label. In every round each mention is swapped for the neutral word of its kind and for another term of it, drawn anew, and the
     squared change of the sentence's score is penalised.
     """
     number: dict[str, int] = {}
@@ -111,17 +111,21 @@ def fit(texts: Iterable[tuple[Collection[str], Sequence[tuple[str, Collection[st
     swaps = [[(term, np.unique(np.append(placed[x], 0))) for term, x in named] for named in spoken]
     share = max(1e-9, sum(labels) / len(labels))
     cost = {1: 0.5 / share, 0: 0.5 / max(1e-9, 1 - share)}
-    model, order = Ftrl(len(names), 1, alpha=1.0, l1=5.0, l2=1e-3), np.random.default_rng(seed)
     terms = np.array([place[x] for x in _KIND])
+    model, order, count, made = Ftrl(len(names), 1, alpha=1.0, l1=5.0, l2=1e-3, free=terms), np.random.default_rng(seed), len(rows), 0
+    copied = [k for k in range(count) if spoken[k]]
+    rows += [np.union1d(rows[k], [place[spoken[k][-1][0]]]) for k in copied]
+    labels = [*labels, *(labels[k] for k in copied)]
     for _ in range(rounds):
         for k in order.permutation(len(rows)):
             at, y = rows[k], labels[k]
             w = model.weights(at)
             model.update(at, np.full((len(at), 1), (_chance(w.sum()) - y) * cost[y]), w)
-            for term, rest in swaps[k] if strength and model.z[terms].any() else ():
+            for term, rest in swaps[k] if strength and k < count else ():
                 own, other = place[term], place[_KIND[term][order.integers(len(_KIND[term]))]]
                 if not model.weights(np.array([own, other])).any():
                     continue
+                made += 1
                 base = model.weights(rest[rest != own]).sum()
                 # The neutral word of the kind is no evidence: only the term's weight gives way.
                 w = model.weights(np.array([own]))
@@ -137,7 +141,7 @@ def fit(texts: Iterable[tuple[Collection[str], Sequence[tuple[str, Collection[st
                 shared = rest[rest != own]
                 model.update(shared, np.full((len(shared), 1), change * (p * (1 - p) - q * (1 - q))), model.weights(shared))
     w = model.weights()[:, 0]
-    return Model({str(names[k]): float(w[k]) for k in np.flatnonzero(w) if k}, float(w[0]))
+    return Model({str(names[k]): float(w[k]) for k in np.flatnonzero(w) if k}, float(w[0]), made)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: float = COUNTERFACTUAL) -> Model:
