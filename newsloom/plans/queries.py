@@ -328,6 +328,12 @@ def t11(spark: SparkSession, d: str) -> DataFrame:
     return topics.admit(rows, "published_at", at(AS_OF) - F.expr("INTERVAL 7 DAYS"), at(AS_OF)).select("content_item_id", "topic_id", "admitted", "decision", "score")
 
 
+@query("t24_recent_pool", _topic_sql() + f""" SELECT m.topic_id, m.decision, count(*) AS contents FROM matches m JOIN content_items c ON c.id = m.content_item_id JOIN m AS raw ON raw.id = m.content_item_id AND raw.topic_id = m.topic_id
+WHERE coalesce(c.published_at, c.discovered_at) BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{AS_OF}' AND (raw.barred OR raw.p > 0 OR raw.gap) GROUP BY 1, 2""")
+def t24(spark: SparkSession, d: str) -> DataFrame:
+    return topics.distribute(tables.content_items(spark, d), TOPICS, at(AS_OF) - F.expr("INTERVAL 7 DAYS"), at(AS_OF))
+
+
 @query("t16_search", with_tables("content_items") + ", n AS (SELECT id, title, coalesce(published_at, discovered_at) AS effective_at, " + NORM.format("concat_ws(chr(10), title, excerpt, substr(body, 1, 4000))") + " AS blob FROM eligible) SELECT id, title, effective_at FROM n WHERE " + _HIT.format(f="blob", v="pathetic|pathetics") + " ORDER BY effective_at DESC, id DESC LIMIT 50")
 def t16(spark: SparkSession, d: str) -> DataFrame:
     return topics.search(content.eligible(tables.content_items(spark, d)), "pathetic")
@@ -463,7 +469,7 @@ def i13(spark: SparkSession, d: str) -> DataFrame:
 SELECT content_item_id, max(score) AS score, arg_min(topic_id, (-score, topic_id)) AS topic_id, array_to_string(list_sort(list(topic_id)), '|') AS topics FROM f WHERE readable GROUP BY content_item_id, effective_at ORDER BY effective_at DESC, score DESC, content_item_id DESC LIMIT 50""")
 def q1(spark: SparkSession, d: str) -> DataFrame:
     items = tables.content_items(spark, d)
-    return reader.topic_feed(topics.match(items, TOPICS), items).select("content_item_id", "score", "topic_id", F.array_join("topics", "|").alias("topics"))
+    return reader.topic_feed(topics.match(items, TOPICS, all_topics=False), items).select("content_item_id", "score", "topic_id", F.array_join("topics", "|").alias("topics"))
 
 
 @query("q2_explore", with_tables("content_items") + ", l AS (SELECT id, title, coalesce(published_at, discovered_at) AS effective_at FROM content_items ORDER BY effective_at DESC, id DESC LIMIT 300) SELECT * FROM l WHERE id IN (SELECT id FROM eligible) ORDER BY effective_at DESC, id DESC LIMIT 50")

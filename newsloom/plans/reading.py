@@ -18,7 +18,7 @@ LOCAL_DAY = "CAST(published_at + INTERVAL 8 HOUR AS DATE)"
 
 def _included(spark: SparkSession, d: str, recent: bool = True) -> tuple[DataFrame, DataFrame]:
     items = tables.content_items(spark, d)
-    return reader.included(topics.match(items, TOPICS), items, at(AS_OF) if recent else None), items
+    return reader.included(topics.match(items, TOPICS, all_topics=False), items, at(AS_OF) if recent else None), items
 
 
 @query("t17_explore_search", with_tables("content_items") + f", l AS (SELECT * FROM content_items ORDER BY {EFFECTIVE} DESC, id DESC LIMIT 600), n AS (SELECT id, title, {EFFECTIVE} AS effective_at, " + NORM.format("concat_ws(chr(10), title, excerpt, substr(body, 1, 4000))") + " AS blob FROM l WHERE id IN (SELECT id FROM eligible)) SELECT id, title, effective_at FROM n WHERE " + _HIT.format(f="blob", v="pathetic|pathetics") + " ORDER BY effective_at DESC, id DESC LIMIT 50")
@@ -29,7 +29,7 @@ def t17(spark: SparkSession, d: str) -> DataFrame:
 @query("t25_review_articles", _topic_sql() + f" SELECT m.topic_id, c.id, c.title, {EFFECTIVE} AS effective_at FROM matches m JOIN content_items c ON c.id = m.content_item_id WHERE m.decision = 'review' ORDER BY effective_at DESC, c.id DESC, m.topic_id LIMIT 50")
 def t25(spark: SparkSession, d: str) -> DataFrame:
     items = tables.content_items(spark, d)
-    return reader.review_articles(topics.match(items, TOPICS), items)
+    return reader.review_articles(topics.match(items, TOPICS, all_topics=False), items)
 
 
 @query("t13_recent_contents", with_tables("content_items") + f" SELECT id, published_at FROM content_items WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND id NOT IN (SELECT id FROM (SELECT id, min(id) OVER w AS first_id, min(source_id) OVER w AS a, max(source_id) OVER w AS b FROM content_items WHERE length(trim(regexp_replace(body, '\\s+', ' ', 'g'))) >= 200 WINDOW w AS (PARTITION BY content_hash)) WHERE a <> b AND id <> first_id)")
