@@ -3,7 +3,7 @@
 The model is a trigram model with interpolated absolute discounting. Its trie has three levels in files of the shared
 folder: words by hash with their number and count, the successors of each word, and the successors of each pair. The
 children of a node are a run of one increasing list (each is one more than its number and the last value of the run before), a second list
-points to where runs begin, and probabilities and back-off weights are 16-bit codes of their logarithms. On the third
+points to where runs begin, and probabilities and back-off weights are codes of their logarithms in steps of 1/512. On the third
 level a word stands as its place among the successors of the word before it, so a question is asked relative to its
 context. Tasks map the files and answer whole arrays of questions.
 
@@ -30,12 +30,12 @@ from newsloom.llm.shared import fresh_dir, id_bucket, materialize
 DISCOUNT = 0.75
 #: One document in so many is held out of the counts.
 HELD_OUT = 10
-#: Codes a unit of the decimal logarithm; 65535 codes reach down to -16.
-STEPS = 4096
+#: Codes a unit of the decimal logarithm.
+STEPS = 512
 #: The end of a text as a word: no word has a line break.
 END = b"\n"
 #: Tokens whose n-grams one shard holds, tokens that a task looks up at a time, and n-grams that it gathers before it emits blocks.
-SHARD_TOKENS, CHUNK, GATHER = 1 << 20, 1 << 18, 1 << 21
+SHARD_TOKENS, CHUNK, GATHER = 1 << 20, 1 << 19, 1 << 21
 #: Words that a worker remembers.
 CACHE = 500_000
 
@@ -103,11 +103,10 @@ class Level:
             self.open[k] = EliasFano(x, "begin"), EliasFano(x, "child"), x["code"], x["weight"]
         return self.open[k]
 
-    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, rows) of the shards that occur."""
-        short = shard.astype(np.uint16) if self.model.shards <= 1 << 16 else shard
-        order = np.argsort(short, kind="stable")
-        ends = np.searchsorted(short[order], np.arange(self.model.shards + 1).astype(np.int64))
+    def _by_shard(self, shard: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, rows) of the shards that occur, rows in order of their values, so that a shard's lists are read from front to end."""
+        order = np.argsort(shard << 44 | value)
+        ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for k in np.flatnonzero(np.diff(ends)).tolist():
             yield k, order[ends[k] : ends[k + 1]]
 
@@ -116,7 +115,7 @@ class Level:
         first, last, base, weight = (np.zeros(len(head), np.int64) for _ in range(4))
         known = np.flatnonzero(head >= 0)
         shard, at = head[known] % self.model.shards, head[known] // self.model.shards
-        for k, rows in self._by_shard(shard):
+        for k, rows in self._by_shard(shard, at):
             begin, children, _, weights = self._shard(k)
             rows = rows[at[rows] < begin.n - 1]
             heads = at[rows]
@@ -134,7 +133,7 @@ class Level:
         place, codes = np.full(len(head), -1, np.int64), np.zeros(len(head), np.int64)
         asked = np.flatnonzero((first < last) & (child >= 0))
         shard, value = head[asked] % self.model.shards, base[asked] + child[asked] + 1
-        for k, rows in self._by_shard(shard):
+        for k, rows in self._by_shard(shard, value):
             _, children, code_of, _ = self._shard(k)
             found = children.find(value[rows])
             rows = asked[rows]
