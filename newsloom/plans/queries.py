@@ -124,6 +124,34 @@ def n12(spark: SparkSession, d: str) -> DataFrame:
     return extract_articles(tables.read(spark, d, "pages").select("page_id", "url", page_facts(F.col("html")).alias("facts")))
 
 
+@query("n20_page_topics", """SELECT page_id, concat_ws('|', 'k' || (page_id % 3), 'A', 'B', 'Topic ' || (page_id % 5), 'tag ' || (page_id % 4), 'X' || (page_id % 2), 'Label ' || (page_id % 6)) AS topics FROM pages""")
+def n20(spark: SparkSession, d: str) -> DataFrame:
+    """Pages behind a head with a graph of structured data, an article tag, keywords and a link marked as a tag."""
+    from newsloom.sources.pages import page_facts, page_topics
+
+    left = lambda n: (F.col("page_id") % n).cast("string")
+    head = F.concat(
+        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"WebPage","keywords":"no"},{"@type":["NewsArticle"],"keywords":["k'), left(3), F.lit('",["A, B"]],"about":{"name":"Topic '), left(5),
+        F.lit('"}}]}</script><meta property="article:tag" content="tag '), left(4), F.lit('"><meta name="keywords" content="a;X'), left(2), F.lit('"><a rel="tag" href="/t">Label '), left(6), F.lit("</a>"),
+    )
+    rows = tables.read(spark, d, "pages").select("page_id", page_facts(F.concat(head, F.coalesce("html", F.lit("")))).alias("facts"))
+    return rows.select("page_id", F.array_join(page_topics(F.col("facts")), "|").alias("topics"))
+
+
+@query("s24_json_list_paths", """SELECT doc_id, concat_ws('|', 'data.items', CASE WHEN doc_id % 3 = 0 THEN 'k0' END, 'deep.a.b', 'rows') AS paths FROM documents""")
+def s24(spark: SparkSession, d: str) -> DataFrame:
+    """A nested listing for every document, which holds its text as a title."""
+    from newsloom.sources.pages import json_list_paths
+
+    rows = tables.read(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("title"))).alias("one"))
+    key = (F.col("doc_id") % 3).cast("string")
+    whole = F.concat(
+        F.lit('{"data":{"items":['), "one", F.lit(',{}],"meta":[1]},"k'), key, F.lit('":'), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), "one", F.lit("]"))).otherwise("[]"),
+        F.lit(',"deep":{"a":{"b":['), "one", F.lit('],"c":{"d":[{}]}}},"rows":[{},{}]}'),
+    )
+    return rows.select("doc_id", F.array_join(json_list_paths(whole), "|").alias("paths"))
+
+
 @query("s21_probe", "SELECT url, CASE WHEN page_id % 9 = 0 THEN 'blocked' ELSE 'html' END AS detected_format, CASE WHEN page_id % 9 = 0 THEN 'rate_limited' END AS block_reason FROM pages")
 def s21(spark: SparkSession, d: str) -> DataFrame:
     from newsloom.sources.pages import page_facts, probe

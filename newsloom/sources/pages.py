@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import ipaddress
 import re
 from html.parser import HTMLParser
@@ -17,11 +18,13 @@ from newsloom.functions import text
 FACTS = (
     "title string, h1 string, canonical string, lang string, meta map<string,string>, links array<struct<href:string,text:string,area:string>>, json_ld array<string>, "
     "times array<string>, dated array<string>, article string, main string, body string, has_password boolean, feeds array<string>"
+    ", tag_meta array<string>, tag_links array<string>"
 )
 #: Path parts that lead to no article, and files that are none.
 IGNORED = ("account", "author", "category", "contact", "login", "privacy", "search", "tag", "terms")
 FILES = r"(?i)\.(jpg|jpeg|png|gif|svg|pdf|zip)$"
 LINK_CHARS, ARTICLES, MOST_ARTICLES, BODY_CHARS = 8, 10, 50, 120
+#: Elements whose text is no body, and names of metadata that hold a date, in the order in which they count.
 NOISE = {"script", "style", "noscript", "nav", "footer", "aside", "form", "template", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "li", "blockquote", "div", "section", "article", "main", "td", "br"}
@@ -38,7 +41,7 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
-        self.facts: dict = {k.split()[0]: None for k in ("title", "h1", "canonical", "lang")} | {"meta": {}, "links": [], "json_ld": [], "times": [], "dated": [], "has_password": False, "feeds": []}
+        self.facts: dict = {k.split()[0]: None for k in ("title", "h1", "canonical", "lang")} | {"meta": {}, "links": [], "json_ld": [], "times": [], "dated": [], "has_password": False, "feeds": [], "tag_meta": [], "tag_links": []}
         self.texts: dict[str, list[str]] = {"article": [], "main": [], "body": []}
         self.link: list | None = None
         self.held: dict[str, list[str]] = {}
@@ -50,6 +53,8 @@ class _Reader(HTMLParser):
             f["lang"] = a.get("lang")
         elif tag == "meta" and (key := (a.get("name") or a.get("property") or a.get("itemprop") or "").strip().lower()):
             f["meta"].setdefault(key, a.get("content", ""))
+            if a.get("property") == "article:tag":
+                f["tag_meta"].append(a.get("content", ""))
         elif tag == "link":
             rel = a.get("rel", "").lower()
             if "canonical" in rel:
@@ -63,6 +68,8 @@ class _Reader(HTMLParser):
         elif tag == "a" and a.get("href"):
             area = next((t for t, _ in reversed(self.open) if t in ("article", "main", "nav")), "")
             self.link = [a["href"], [], area]
+        if tag == "a" and "tag" in a.get("rel", "").split():
+            self.held["tag_links"] = []
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.held["json_ld"] = []
         if tag in ("title", "h1") and f[tag] is None:
@@ -77,6 +84,8 @@ class _Reader(HTMLParser):
         if tag == "a" and self.link:
             self.facts["links"].append((self.link[0], " ".join("".join(self.link[1]).split()), self.link[2]))
             self.link = None
+        if tag == "a" and "tag_links" in self.held:
+            self.facts["tag_links"].append(" ".join("".join(self.held.pop("tag_links")).split()))
         if tag == "script" and "json_ld" in self.held:
             self.facts["json_ld"].append("".join(self.held.pop("json_ld")))
         if tag in ("title", "h1") and tag in self.held:
@@ -121,7 +130,7 @@ def page_facts(html: Column) -> Column:
 
     @F.pandas_udf(FACTS)
     def parsed(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([facts_of(x) for x in pages], columns=["title", "h1", "canonical", "lang", "meta", "links", "json_ld", "times", "dated", "article", "main", "body", "has_password", "feeds"])
+        return pd.DataFrame([facts_of(x) for x in pages], columns=["title", "h1", "canonical", "lang", "meta", "links", "json_ld", "times", "dated", "article", "main", "body", "has_password", "feeds", "tag_meta", "tag_links"])
 
     return parsed(html)
 
@@ -200,6 +209,90 @@ def extract_articles(pages: DataFrame, zone: str = "UTC", least_chars: int = BOD
     return rows.select("page_id", "url", "canonical_url", "title", "author", "description", "body", F.col("d.at").alias("published_at"), F.col("d.origin").alias("date_origin"), "lang")
 
 
+#: Types of JSON-LD objects that are articles, and the members that name topics, in their order.
+ARTICLE_TYPES = ("Article", "NewsArticle", "BlogPosting")
+TOPIC_MEMBERS = ("keywords", "articleSection", "about")
+#: Members of an object that name it, the first that says something.
+NAME_MEMBERS = ("name", "term", "keyword", "@id")
+
+
+def _named(value: object) -> list[str]:
+    """The topics that a JSON value names: itself, the names of an object, those of a list's members."""
+    if isinstance(value, list):
+        return [x for item in value for x in _named(item)]
+    if isinstance(value, dict):
+        return _named(next((value[k] for k in NAME_MEMBERS if value.get(k)), None))
+    return [] if value is None else [str(value)]
+
+
+def structured_topics(scripts: list[str]) -> list[str]:
+    """Topics of the first article among a page's JSON-LD scripts; members of lists and graphs come after those of their level."""
+    for script in scripts:
+        try:
+            whole = json.loads(script)
+        except ValueError:
+            continue
+        level = whole if isinstance(whole, list) else [whole]
+        while level:
+            deeper = []
+            for item in (x for x in level if isinstance(x, dict)):
+                kind = item.get("@type")
+                if any(k in ARTICLE_TYPES for k in (kind if isinstance(kind, list) else [kind])):
+                    return [x for member in TOPIC_MEMBERS for x in _named(item.get(member))]
+                graph = item.get("@graph")
+                deeper += graph if isinstance(graph, list) else []
+            level = deeper
+    return []
+
+
+def page_topics(facts: Column) -> Column:
+    """facts -> topics of a page: structured data, article tags, keywords of the page, links marked as tags; normalized.
+
+    Scripts that aren't JSON are passed over; a page without any topic has an empty list.
+    """
+
+    @F.pandas_udf("array<string>")
+    def structured(scripts: pd.Series) -> pd.Series:
+        return pd.Series([structured_topics([] if x is None else list(x)) for x in scripts], dtype=object)
+
+    meta = lambda key: F.array_compact(F.array(F.nullif(F.trim(F.try_element_at(facts["meta"], F.lit(key))), F.lit(""))))
+    return text.normalize_topics(F.concat(structured(facts["json_ld"]), facts["tag_meta"], meta("news_keywords"), meta("keywords"), facts["tag_links"]))
+
+
+#: How deep lists are looked for, how many members tell what a list holds, and how many paths are given.
+LIST_DEPTH, LIST_MEMBERS, LIST_PATHS = 3, 10, 10
+
+
+def list_paths(value: object, path: str = "$", depth: int = 0) -> list[str]:
+    """Paths of the lists of objects in a JSON value, in the order of the document, the first ten."""
+    if depth > LIST_DEPTH:
+        return []
+    if isinstance(value, list):
+        return [path] if value and all(isinstance(x, dict) for x in value[:LIST_MEMBERS]) else []
+    found: list[str] = []
+    for key, item in value.items() if isinstance(value, dict) else ():
+        found += list_paths(item, key if path == "$" else f"{path}.{key}", depth + 1)
+        if len(found) >= LIST_PATHS:
+            break
+    return found[:LIST_PATHS]
+
+
+def json_list_paths(document: Column) -> Column:
+    """list_paths of JSON texts, in Arrow batches; null for a text that isn't JSON, or none."""
+
+    @F.pandas_udf("array<string>")
+    def walked(documents: pd.Series) -> pd.Series:
+        out = []
+        for x in documents:
+            try:
+                out.append(None if x is None else list_paths(json.loads(x)))
+            except (ValueError, RecursionError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return walked(document)
+
+
 def probe(documents: DataFrame) -> DataFrame:
     """(url, status, content_type, body, facts) -> detected format, subtype, block reason and confidence."""
     head = F.lower(F.ltrim(F.substring("body", 1, 2000)))

@@ -28,3 +28,31 @@ def test_date_origin(spark, origin):
     assert found["title"] in ("T", "Title of it")
     assert (None if found["published_at"] is None else str(found["published_at"])) == expected
     assert found["date_origin"] == (None if origin == "none" else origin)
+
+
+TOPIC_CASES = {
+    '<script type="application/ld+json">[{"@type":"Thing"},{"@graph":[{"@type":"Article","keywords":"a, b","articleSection":["News"],"about":[{"@id":"x"},{"name":"","term":"Term"}]}]}]</script>': ["a", "b", "News", "x", "Term"],
+    '<script type="application/ld+json">not json</script><meta property="article:tag" content="One"><meta property="article:tag" content="one"><meta name="news_keywords" content="Two">': ["One", "Two"],
+    '<a rel="nofollow tag" href="/x"> Three  four </a><a rel="tags" href="/y">no</a><a href="/z">no</a>': ["Three four"],
+    '<script type="application/ld+json">{"@type":"BlogPosting","keywords":7}</script><script type="application/ld+json">{"@type":"Article","keywords":"later"}</script>': ["7"],
+    "": [],
+}
+
+
+def test_topics_of_pages(spark):
+    rows = spark.createDataFrame([(k, html) for k, html in enumerate(TOPIC_CASES)] + [(99, None)], "k int, html string")
+    found = {r.k: r.topics for r in rows.select("k", pages.page_topics(pages.page_facts(F.col("html"))).alias("topics")).collect()}
+    assert found == {k: v for k, v in enumerate(TOPIC_CASES.values())} | {99: []}
+
+
+def test_paths_of_lists():
+    rows = [{}] * 2
+    assert pages.list_paths(rows) == ["$"] and pages.list_paths([]) == pages.list_paths([1]) == pages.list_paths("x") == []
+    assert pages.list_paths({"b": {"c": {"d": rows, "e": {"f": rows}}}, "a": rows, "m": [{}, 1]}) == ["b.c.d", "a"]
+    assert pages.list_paths({f"k{n}": rows for n in range(12)}) == [f"k{n}" for n in range(10)]
+    assert pages.list_paths({"a": [{}] * 10 + [1]}) == ["a"]
+
+
+def test_json_that_is_none(spark):
+    rows = spark.createDataFrame([(1, '{"a":[{}]}'), (2, "{"), (3, None), (4, "[{}]")], "k int, j string")
+    assert {r.k: r.p for r in rows.select("k", pages.json_list_paths(F.col("j")).alias("p")).collect()} == {1: ["a"], 2: None, 3: None, 4: ["$"]}
