@@ -249,3 +249,23 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
 def e11(spark: SparkSession, d: str) -> DataFrame:
     keyed = tables.read(spark, d, "orders").select("o_custkey", F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("membership_hash"), F.lit("active").alias("status"))
     return events.apply_plan(keyed.where("o_custkey % 3 = 0 OR o_custkey % 2 <> 0"), keyed.where("o_custkey % 3 <> 0"))
+
+
+@query("i17_discovered_pages", """WITH d AS (SELECT doc_id AS id, 'https://' || source || '.example/a/' || doc_id AS url, trim(text) AS text, trim(substr(text, 1, 30)) AS head FROM documents WHERE trim(text) <> '' AND trim(substr(text, 1, 30)) <> ''),
+c AS (SELECT *, CASE WHEN id % 3 <> 0 THEN 'new' WHEN id % 5 <> 0 AND id % 6 = 0 THEN 'updated' ELSE 'reused' END AS action, id % 5 <> 0 AS whole FROM d)
+SELECT id AS topic_id, url AS canonical_url, action, CASE WHEN whole THEN 'article' ELSE 'search_result' END AS page_type, CASE WHEN whole THEN 'Page ' || id ELSE head END AS title,
+ CASE WHEN whole THEN substr(text, 1, 240) ELSE head END AS excerpt, CASE WHEN NOT whole THEN 'metadata_only' WHEN length(text) >= 400 THEN 'full' ELSE 'partial' END AS content_completeness,
+ sha256(CASE WHEN NOT whole THEN head WHEN id % 3 = 0 AND length(text) < 500 THEN repeat('o', 500) ELSE text END) AS body_sha256 FROM c""")
+def i17(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as candidates: a third is there, half of that needs enrichment; every fifth is a search result only."""
+    from newsloom.operators import discovery
+
+    key, body = F.col("doc_id"), F.trim("text")
+    rows = tables.read(spark, d, "documents").where((body != "") & (F.trim(F.substring("text", 1, 30)) != "")).withColumn("url", F.concat(F.lit("https://"), "source", F.lit(".example/a/"), key.cast("string")))
+    candidates = rows.select(
+        key.alias("topic_id"), "url", F.substring("text", 1, 30).alias("title"), F.lit("h").alias("host"), F.lit("").alias("description"), F.concat(F.lit("Page "), key.cast("string")).alias("page_title"),
+        F.lit(None).cast("string").alias("page_description"), F.when(key % 5 != 0, F.col("text")).alias("markdown"),
+    )
+    there = rows.where("doc_id % 3 = 0").select(F.col("url").alias("canonical_url"), F.repeat(F.lit("o"), F.lit(500)).alias("body"), (key % 6 == 0).alias("needs_enrichment"))
+    found = discovery.outcomes(candidates, there)
+    return found.select("topic_id", "canonical_url", "action", "page_type", "title", "excerpt", "content_completeness", F.sha2("body", 256).alias("body_sha256"))
