@@ -12,7 +12,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 16
@@ -39,11 +39,18 @@ class Store:
         paths = sorted(p for b, p in known.items() if buckets is None or int(b) in buckets)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def upsert(self, batch_id: int, changes: dict[str, tuple[DataFrame, list[str]]]) -> bool:
+    def bucket(self, keys: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame, keys: list[str]) -> list[int]:
+        """The buckets of rows that are dealt by these keys."""
+        return [r["b"] for r in rows.select(self.bucket(keys).alias("b")).distinct().collect()]
+
+    def upsert(self, batch_id: int, changes: dict[str, tuple[DataFrame, list[str]]], by: int | None = None) -> bool:
         """Replaces or adds the rows of each table (rows, keys) by their keys; False if the batch, or a later one, is in already.
 
-        Null keys equal each other; of rows with one key that with the least hash counts. Only the numbers of the
-        touched buckets come to the driver.
+        Rows are dealt by the first `by` keys (always as many for a table), or all. Null keys equal each other; of rows
+        with one key that with the least hash counts. Only the numbers of the touched buckets come to the driver.
         """
         manifest = self.manifest()
         if batch_id <= manifest["last_batch"]:
@@ -51,13 +58,13 @@ class Store:
         version = manifest["version"] + 1
         for table, (rows, keys) in changes.items():
             one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*rows.columns)))
-            new = rows.withColumn("_n", one).where("_n = 1").drop("_n").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
-            touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]
+            new = rows.withColumn("_n", one).where("_n = 1").drop("_n").withColumn("_bucket", self.bucket(keys[:by]))
+            touched = self.touched(rows, keys[:by])
             if not touched:
                 continue
             old = self.read(table, rows.schema, manifest, touched)
             same = reduce(lambda a, b: a & b, (old[k].eqNullSafe(rows[k]) for k in keys))
-            kept = old.join(rows, same, "left_anti").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+            kept = old.join(rows, same, "left_anti").withColumn("_bucket", self.bucket(keys[:by]))
             folder = f"{self.root}/{table}/{version:012d}-{uuid.uuid4().hex}"
             kept.unionByName(new).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
             manifest["tables"].setdefault(table, {}).update({str(b): f"{folder}/_bucket={b}" for b in touched})

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators import ingest
 from newsloom.operators.ingest import WINDOW
+from newsloom.sources.store import Store
 
 PLAN = "source_id bigint, entry_id string, fingerprint string, is_new boolean"
 STATE = "entries array<struct<id:string,fingerprint:string>>"
@@ -44,19 +45,25 @@ def run_statistics(runs: DataFrame, width: str = "1 day", late: str = "1 hour")
     return rows.groupBy(F.window("started_at", width).alias("w"), "status").agg(F.count("*").alias("runs")).select(F.col("w.start").alias("window_start"), "status", "runs")
 
 
-def ingest_stream(articles: DataFrame, raw_path: str, checkpoint: str):
-    """Appends the new versions of every batch to a raw log in Parquet; a batch that runs again adds nothing."""
+RAW = "source_id bigint, identity_key string, payload_sha256 string, canonical_url string, title string, body string, action string, batch_id bigint"
+
+
+def ingest_stream(articles: DataFrame, store: Store, checkpoint: str):
+    """Adds the new versions of every batch to the table `raw` of a store.
+
+    A batch reads and rewrites only the buckets of its own identities. A batch that runs again, also after a restart, is
+    in the store already and adds nothing. Batch numbers belong to one checkpoint: a stream that starts over without it
+    gives numbers that are taken, so it needs a new store to add other files.
+    """
+    keys = ["source_id", "identity_key", "payload_sha256"]
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            raw = spark.read.parquet(raw_path)
-        except Exception as error:  # the log doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            raw = spark.createDataFrame([], "source_id bigint, identity_key string, payload_sha256 string")
-        found = ingest.ingest(batch, raw).where("action <> 'skipped'")
-        found.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(raw_path)
+        batch = batch.persist()
+        none = store.spark.createDataFrame([], RAW)
+        raw = store.read("raw", RAW, buckets=store.touched(ingest.ingest(batch, none), keys[:2]))
+        found = ingest.ingest(batch, raw).where("action <> 'skipped'").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        store.upsert(batch_id, {"raw": (found.select(*[c.split()[0] for c in RAW.split(", ")]), keys)}, by=2)
+        batch.unpersist()
 
     return articles.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
