@@ -77,6 +77,32 @@ def topic_report_dates(contents: DataFrame) -> DataFrame:
     return contents.groupBy("topic_id", local_day().alias("report_date")).agg(F.count("*").alias("item_count"))
 
 
+def topic_daily_stories(contents: DataFrame, day: Column | None = None) -> DataFrame:
+    """The stories of every topic's report, one an included item, of one local day or of all: newest first within a report.
+
+    topic_id, report_date, issue_date (the day after), place, content_item_id, title, summary, source_id, published_at,
+    body_chars, language. A day without stories has no report.
+    """
+    rows = contents.withColumn("report_date", local_day()).where(F.col("report_date").isNotNull() if day is None else F.col("report_date") == day)
+    place = F.row_number().over(Window.partitionBy("topic_id", "report_date").orderBy(F.desc("published_at"), F.desc("id")))
+    return rows.select(
+        "topic_id", "report_date", F.date_add("report_date", 1).alias("issue_date"), place.alias("place"), F.col("id").alias("content_item_id"), "title",
+        summary(F.coalesce(F.nullif(F.col("excerpt"), F.lit("")), F.col("body"))).alias("summary"), "source_id", "published_at", F.length(F.coalesce("body", F.lit(""))).alias("body_chars"), "language",
+    )
+
+
+def topic_editorials(stories: DataFrame, cards: DataFrame) -> DataFrame:
+    """topic_id, report_date, place, story_key, title, summary, tags: what the reader's cards say of a report's stories.
+
+    The summary is a card's paragraphs in one, else its excerpt, else empty; a story without a card has none of it.
+    """
+    own = cards.select("content_item_id", F.col("title").alias("card_title"), "paragraphs", F.col("excerpt").alias("card_excerpt"), "tags")
+    said = F.coalesce(F.nullif(F.array_join("paragraphs", " "), F.lit("")), F.col("card_excerpt"), F.lit(""))
+    return stories.select("topic_id", "report_date", "place", "content_item_id").join(own, "content_item_id", "left").select(
+        "topic_id", "report_date", "place", F.concat(F.lit("content:"), F.col("content_item_id").cast("string")).alias("story_key"), F.col("card_title").alias("title"), said.alias("summary"), "tags"
+    )
+
+
 def list_items(items: DataFrame, results: DataFrame | None = None, *, source_id: int | None = None, language: str | None = None, relevant: bool | None = None, domain: DataFrame | None = None, mentions: DataFrame | None = None, before_id: int | None = None, limit: int = 50) -> DataFrame:
     """Content with its current processing result, filtered, newest first; domain and mentions are semi-joins."""
     rows = items

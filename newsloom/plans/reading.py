@@ -62,6 +62,21 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
     return reader.topic_report_dates(_included(spark, d, recent=False)[0])
 
 
+@query("q29_topic_daily_stories", _topic_sql() + f""" SELECT m.topic_id, {LOCAL_DAY} AS report_date, CAST({LOCAL_DAY} + INTERVAL 1 DAY AS DATE) AS issue_date, row_number() OVER (PARTITION BY m.topic_id, {LOCAL_DAY} ORDER BY c.published_at DESC, c.id DESC) AS place,
+ c.id AS content_item_id, c.source_id, c.published_at, length(c.body) AS body_chars, c.language FROM matches m JOIN eligible c ON c.id = m.content_item_id WHERE m.decision = 'include'""")
+def q29(spark: SparkSession, d: str) -> DataFrame:
+    return reader.topic_daily_stories(_included(spark, d, recent=False)[0]).drop("title", "summary")
+
+
+@query("q33_topic_editorials")
+def q33(spark: SparkSession, d: str) -> DataFrame:
+    contents, items = _included(spark, d, recent=False)
+    stories = reader.topic_daily_stories(contents)
+    wanted = items.join(stories.select(F.col("content_item_id").alias("id")).distinct(), "id", "left_semi")
+    tags = wanted.select(F.col("id").alias("content_item_id"), cards.editorial_tags(F.col("topics")).alias("tags"))
+    return reader.topic_editorials(stories, cards.cards(wanted).join(tags, "content_item_id"))
+
+
 @query("q23_topic_rss", with_tables("content_items") + r""", u AS (SELECT id, title, 'https://reader.example/' || id || '?a=1&b=2' AS url, published_at FROM eligible ORDER BY published_at DESC, id DESC LIMIT 50),
 x AS (SELECT *, replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, replace(url, '&', '&amp;') AS l FROM u)
 SELECT '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>Latest</title><link>https://reader.example/</link>' || string_agg('<item><title>' || t || '</title><link>' || l || '</link><guid>' || l || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate></item>', '' ORDER BY published_at DESC, id DESC) || '</channel></rss>' AS rss FROM x""")
