@@ -21,9 +21,15 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+#: Queries without SQL that find nothing in the smallest tables: their pages link to no articles, their items leave no pair open.
+EMPTY = {"s1_article_links", "e6_review_pairs"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SMALL).count() >= 0
+    """These have tests of their results elsewhere; here they give rows from the tables, the same number twice."""
+    first, again = (catalog.QUERIES[name](spark, SMALL).count() for _ in range(2))
+    assert first == again and (first > 0 or name in EMPTY)
 
 
 def test_entry(spark):
