@@ -138,6 +138,17 @@ def n20(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.array_join(page_topics(F.col("facts")), "|").alias("topics"))
 
 
+@query("s15_exclusion_reasons", """SELECT doc_id, ['explicit_pinned_flag', 'explicit_advertising_flag', 'explicit_advertising_type', 'explicit_pinned_label', 'explicit_advertising_label', NULL, NULL][CAST(doc_id % 7 AS INT) + 1] AS reason FROM documents""")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a provider's items, a seventh for each reason, the rest with harmless flags and labels."""
+    from newsloom.sources.feeds import exclusion_reason
+
+    told = ('"isTop":1,"isAd":true', '"sponsored":" Yes ","tags":["top"]', '"itemType":"","contentType":"Promotion"', '"tagList":[{"name":"","label":"news，置顶"}]', '"categories":"world; Ad","isTop":0', '"isPinned":"no","labels":["topic"]', '"contentKeywords":[]')
+    member = F.element_at(F.array(*map(F.lit, told)), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = tables.read(spark, d, "documents").select("doc_id", F.concat(F.lit("{"), member, F.lit(',"title":'), F.substring(F.to_json(F.array(F.coalesce("text", F.lit("")))), F.lit(2), F.length(F.to_json(F.array(F.coalesce("text", F.lit(""))))) - 2), F.lit("}")).alias("item"))
+    return rows.select("doc_id", exclusion_reason(F.col("item")).alias("reason"))
+
+
 @query("s24_json_list_paths", """SELECT doc_id, concat_ws('|', 'data.items', CASE WHEN doc_id % 3 = 0 THEN 'k0' END, 'deep.a.b', 'rows') AS paths FROM documents""")
 def s24(spark: SparkSession, d: str) -> DataFrame:
     """A nested listing for every document, which holds its text as a title."""

@@ -116,6 +116,47 @@ def provider_page(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.get_json_object("payload", "$.data.total").cast("int").alias("total"), F.posexplode_outer(items).alias("position", "item")).select("page_id", "total", "position", "item.*")
 
 
+#: Members of a provider's item that say outright that it is pinned or advertising, and the labels that do.
+YES = ("true", "yes", "y", "1")
+PINNED_FLAGS, AD_FLAGS = ("isTop", "isPinned", "pinned", "topFlag"), ("isAd", "isAdvertisement", "advertisement", "sponsored")
+TYPE_MEMBERS, AD_TYPES = ("itemType", "contentType"), ("ad", "advertisement", "promotion", "sponsored")
+LABEL_MEMBERS = ("tags", "tagList", "labels", "categories", "contentKeywords")
+LABEL_NAMES = ("name", "label", "title", "value", "tagName")
+PINNED_LABELS = ("置顶", "pinned", "top")
+AD_LABELS = ("广告", "推广", "商业推广", "赞助", "ad", "advertisement", "promotion", "sponsored")
+
+
+def item_labels(item: Column) -> Column:
+    """The labels of a provider's item (JSON text) in lower case: texts, lists of texts or named objects, split at separators."""
+    found = []
+    for member in LABEL_MEMBERS:
+        value = F.get_json_object(item, f"$.{member}")
+        each = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>")).otherwise(F.array(value))
+        name = lambda x: F.coalesce(*[F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in LABEL_NAMES])
+        found.append(F.coalesce(F.transform(each, lambda x: F.when(F.startswith(x, F.lit("{")), name(x)).otherwise(x)), F.array().cast("array<string>")))
+    parts = F.flatten(F.transform(F.array_compact(F.concat(*found)), lambda x: F.split(x, "[,，;；|]+")))
+    return F.filter(F.transform(parts, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+def exclusion_reason(item: Column, pinned: bool = True, advertising: bool = True) -> Column:
+    """Why a provider's item (JSON text) is left out, or null: flags come before labels, pinned before advertising.
+
+    Only what the item says outright counts. A null item, or text that isn't JSON, has no reason.
+    """
+    said = lambda member: F.lower(F.trim(F.get_json_object(item, f"$.{member}")))
+    flagged = lambda members: F.coalesce(F.array_contains(F.array(*[F.coalesce(said(m).isin(*YES), F.lit(False)) for m in members]), True), F.lit(False))
+    kind = F.coalesce(*[F.nullif(said(m), F.lit("")) for m in TYPE_MEMBERS])
+    labelled = lambda names: F.coalesce(F.arrays_overlap(item_labels(item), F.array(*map(F.lit, names))), F.lit(False))
+    rules = [
+        (pinned, flagged(PINNED_FLAGS), "explicit_pinned_flag"), (advertising, flagged(AD_FLAGS), "explicit_advertising_flag"), (advertising, F.coalesce(kind.isin(*AD_TYPES), F.lit(False)), "explicit_advertising_type"),
+        (pinned, labelled(PINNED_LABELS), "explicit_pinned_label"), (advertising, labelled(AD_LABELS), "explicit_advertising_label"),
+    ]
+    out = F.when(F.lit(False), "")
+    for active, holds, reason in rules:
+        out = out.when(holds, reason) if active else out
+    return out
+
+
 def pick_day(items: DataFrame, day: Column, zone: str = "Asia/Shanghai") -> DataFrame:
     """Provider items of a local day with why any is left out: pinned before advertising."""
     local = F.to_date(F.try_to_timestamp("publishTime", F.lit("yyyy-MM-dd HH:mm:ss")))
