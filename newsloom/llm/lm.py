@@ -245,13 +245,11 @@ def _vocabulary(docs: DataFrame, model: Model) -> Model:
     model = replace(model, tokens=total, words=count, shards=max(1, -(-total // SHARD_TOKENS)))
     ranked = words.repartitionByRange(max(1, -(-count // SHARD_TOKENS)), F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
     ranked = materialize(ranked.withColumn("m", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("m", 33)
-    sizes = sorted((r["part"], r["n"]) for r in ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a shard
-    before, ahead = 0, [F.lit(0).cast("bigint")]
-    for k, n in sizes:
-        ahead.append(F.when(part == k, F.lit(before)).otherwise(F.lit(0)))
-        before += n
-    ranked = ranked.select("word", "n", (sum(ahead[1:], ahead[0]) + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+    ranked = ranked.withColumn("part", F.shiftrightunsigned("m", 33))
+    sizes = sorted((r["part"], r["n"]) for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
+    first = [(part, before) for (part, _), before in zip(sizes, np.cumsum([0, *(n for _, n in sizes)]).tolist())]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(first, "part bigint, before bigint"))
+    ranked = ranked.join(starts, "part").select("word", "n", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
 
     @F.pandas_udf("bigint")
     def shard_of(words: pd.Series) -> pd.Series:
