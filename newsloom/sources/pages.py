@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.functions.slices import sliced
 
 FACTS = (
     "title string, h1 string, canonical string, lang string, meta map<string,string>, links array<struct<href:string,text:string,area:string>>, json_ld array<string>, "
@@ -128,9 +129,10 @@ def facts_of(html: str | None) -> dict:
 def page_facts(html: Column) -> Column:
     """The facts of every page, in Arrow batches."""
 
-    @F.pandas_udf(FACTS)
-    def parsed(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([facts_of(x) for x in pages], columns=["title", "h1", "canonical", "lang", "meta", "links", "json_ld", "times", "dated", "article", "main", "body", "has_password", "feeds", "tag_meta", "tag_links"])
+    @sliced(f"struct<{FACTS}>")
+    def parsed(pages: list) -> list[dict]:
+        found = [facts_of(x) for x in pages]
+        return [x | {"meta": list(x["meta"].items())} for x in found]
 
     return parsed(html)
 
@@ -251,9 +253,9 @@ def page_topics(facts: Column) -> Column:
     Scripts that aren't JSON are passed over; a page without any topic has an empty list.
     """
 
-    @F.pandas_udf("array<string>")
-    def structured(scripts: pd.Series) -> pd.Series:
-        return pd.Series([structured_topics([] if x is None else list(x)) for x in scripts], dtype=object)
+    @sliced("array<string>")
+    def structured(scripts: list) -> list[list[str]]:
+        return [structured_topics(x or []) for x in scripts]
 
     meta = lambda key: F.array_compact(F.array(F.nullif(F.trim(F.try_element_at(facts["meta"], F.lit(key))), F.lit(""))))
     return text.normalize_topics(F.concat(structured(facts["json_ld"]), facts["tag_meta"], meta("news_keywords"), meta("keywords"), facts["tag_links"]))
@@ -280,15 +282,15 @@ def list_paths(value: object, path: str = "$", depth: int = 0) -> list[str]:
 def json_list_paths(document: Column) -> Column:
     """list_paths of JSON texts, in Arrow batches; null for a text that isn't JSON, or none."""
 
-    @F.pandas_udf("array<string>")
-    def walked(documents: pd.Series) -> pd.Series:
+    @sliced("array<string>")
+    def walked(documents: list) -> list[list[str] | None]:
         out = []
         for x in documents:
             try:
                 out.append(None if x is None else list_paths(json.loads(x)))
             except (ValueError, RecursionError):
                 out.append(None)
-        return pd.Series(out, dtype=object)
+        return out
 
     return walked(document)
 
