@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Every so many values one stands in the directory of a sampled list.
+SAMPLED = 16
 
 
 def _select_table() -> np.ndarray:
@@ -40,7 +42,8 @@ class EliasFano:
     """A list that was built by `arrays` and is read from them by `EliasFano(arrays, name)`."""
 
     @staticmethod
-    def arrays(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    def arrays(values: np.ndarray, name: str, sampled: bool = False) -> dict[str, np.ndarray]:
+        """sampled: a directory of values shortens searches where many values share their high part."""
         values = np.asarray(values, np.int64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
@@ -56,11 +59,12 @@ class EliasFano:
             for place, part in ((word, rest << shift), (word + 1, np.where(shift > 0, rest >> (np.uint64(64) - np.maximum(shift, 1)), 0))):
                 begins = np.flatnonzero(np.diff(place, prepend=-1))
                 packed[place[begins]] |= np.bitwise_or.reduceat(part.astype(np.uint64), begins) * (place[begins] < len(packed))
-        return {f"{name}_high": high, f"{name}_ones": upto, f"{name}_zeros": 64 * np.arange(len(high)) - upto, f"{name}_low": packed, f"{name}_is": np.array([n, low, top], np.int64)}
+        return {f"{name}_high": high, f"{name}_ones": upto, f"{name}_zeros": 64 * np.arange(len(high)) - upto, f"{name}_low": packed, f"{name}_is": np.array([n, low, top], np.int64), **({f"{name}_sample": values[::SAMPLED]} if sampled else {})}
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.high, self.ones, self.zeros, self.packed = (arrays[f"{name}_{x}"] for x in ("high", "ones", "zeros", "low"))
         self.n, self.low, self.top = arrays[f"{name}_is"].tolist()
+        self.sample = arrays.get(f"{name}_sample")
 
     def _place_of_one(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, k, "right") - 1
@@ -114,6 +118,9 @@ class EliasFano:
         left = begin - high
         end = left + run
         right = end.copy()
+        if self.sample is not None:
+            block = np.searchsorted(self.sample, values[able]) * SAMPLED
+            left, right = np.maximum(left, block - SAMPLED + 1), np.minimum(right, block)
         open_ = np.flatnonzero(left < right)
         while len(open_):
             middle = (left[open_] + right[open_]) >> 1

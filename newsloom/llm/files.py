@@ -92,10 +92,10 @@ def unpack(blob: bytes, count: int) -> list[np.ndarray]:
 def combined(key: np.ndarray, counts: np.ndarray | None, also: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Keys in order, equal ones as one with their counts (1 each if None) summed; `also` depends on the key."""
     order = np.argsort(key)
-    key, also = key[order], [x[order] for x in also]
+    key = key[order]
     new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
     if counts is None:
         counts = np.diff(new, append=len(key))
     elif len(key):
         counts = np.add.reduceat(counts[order], new)
-    return key[new], counts, [x[new] for x in also]
+    return key[new], counts, [x[order[new]] for x in also]

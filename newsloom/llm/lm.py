@@ -7,18 +7,21 @@ points to where runs begin, and probabilities and back-off weights are codes of
 level a word stands as its place among the successors of the word before it, so a question is asked relative to its
 context. Tasks map the files and answer whole arrays of questions.
 
-Counting passes over the text emit packed blocks of n-grams by shard, combined before the shuffle; a shard of a level
-is built by one task of bounded size. What is gathered grows with the corpus: no n-gram is left out.
+Texts are read twice: their words are counted, then written as numbers (from the most frequent word on, so that a word's
+count follows from its number), which all later passes read. Counting passes emit packed blocks of n-grams by shard,
+combined before the shuffle; a shard of a level is built by one task of bounded size. What is gathered grows with the
+corpus: no n-gram is left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.eliasfano import EliasFano
 from newsloom.llm.files import combined, mapped, mounted, pack, save_arrays, unpack
 from newsloom.llm.shared import fresh_dir, id_bucket, materialize
+from newsloom.session import written
 
 DISCOUNT = 0.75
 #: One document in so many is held out of the counts.
@@ -34,10 +38,10 @@ HELD_OUT = 10
 STEPS = 512
 #: The end of a text as a word: no word has a line break.
 END = b"\n"
-#: Tokens whose n-grams one shard holds, tokens that a task looks up at a time, and n-grams that it gathers before it emits blocks.
-SHARD_TOKENS, CHUNK, GATHER = 1 << 20, 1 << 19, 1 << 21
-#: Words that a worker remembers.
-CACHE = 500_000
+#: Tokens whose n-grams one shard holds, bytes of text and tokens that a task works on at a time, and n-grams that it gathers before it emits blocks.
+SHARD_TOKENS, CHUNK, TOKENS, GATHER = 1 << 20, 1 << 21, 1 << 19, 1 << 20
+#: Words that a worker remembers, and words with counts that it gathers before it adds them up.
+CACHE, COUNTED = 300_000, 1_000_000
 
 
 def code(p: np.ndarray) -> np.ndarray:
@@ -46,18 +50,16 @@ def code(p: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(-np.log10(p) * STEPS), 0, 65535).astype(np.int64)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 @dataclass(frozen=True)
 class Model:
-    """Where the trie's files are, the counts N and V, shards by level, and the number of each pair shard's first node."""
+    """Where the trie's files are, the counts N and V, shards by level, the distinct counts of words (falling) with the first number of each, and the number of each pair shard's first node."""
 
     folder: str
     tokens: int = 0
     words: int = 0
     shards: int = 1
+    counts: tuple[int, ...] = ()
+    first_word: tuple[int, ...] = ()
     first_node: tuple[int, ...] = ()
 
     def file(self, level: int, shard: int) -> str:
@@ -69,6 +71,16 @@ class Model:
             return np.full(len(count), 1.0 / (self.words + 1))
         return np.maximum(count - DISCOUNT, 0) / self.tokens + DISCOUNT * self.words / self.tokens / (self.words + 1)
 
+    def unigram_codes(self, ids: np.ndarray) -> np.ndarray:
+        """Codes of the words with these numbers, -1 an unknown word."""
+        by_count = code(self.unigram(np.array([*self.counts, 0], np.int64)))
+        return by_count[np.where(ids >= 0, np.searchsorted(np.array(self.first_word, np.int64), ids, "right") - 1, -1)]
+
+    @property
+    def number(self) -> np.dtype:
+        """How the number of a word is written."""
+        return np.dtype("<i4" if self.words < 1 << 31 else "<i8")
+
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
 
@@ -104,59 +116,79 @@ class Level:
         return self.open[k]
 
     def _by_shard(self, shard: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, rows) of the shards that occur, rows in order of their values, so that a shard's lists are read from front to end."""
-        order = np.argsort(shard << 44 | value)
-        ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
+        """(shard, rows) of the shards that occur, rows nearly in order of their values (as far as one number holds them beside the row), so that a shard's lists are read from front to end."""
+        if not len(shard):
+            return
+        place, most = len(shard).bit_length(), self.model.shards.bit_length()
+        room = 63 - place - most
+        key = (shard << room | value >> max(0, int(value.max()).bit_length() - room)) << place | np.arange(len(shard))
+        key.sort()
+        ends = np.searchsorted(key, np.arange(self.model.shards + 1) << (room + place)) if self.model.shards > 1 else np.array([0, len(key)])
+        order = key & ((1 << place) - 1)
         for k in np.flatnonzero(np.diff(ends)).tolist():
             yield k, order[ends[k] : ends[k + 1]]
 
-    def runs(self, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For heads (-1: none): where the run begins and ends in its shard, the value before it, and the weight's code (0 if there is no run)."""
-        first, last, base, weight = (np.zeros(len(head), np.int64) for _ in range(4))
+    def find(self, head: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For heads and children (-1: none): the child's place in its shard and among its head's children (-1: not there), its code, and the head's weight (0 if it has no children).
+
+        Questions of a shard go in order of heads and children: a head is read once, a run of one child is compared as
+        it is read, other children are searched for, once each.
+        """
+        place, among, codes, weight = np.full(len(head), -1, np.int64), np.full(len(head), -1, np.int64), np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
         known = np.flatnonzero(head >= 0)
-        shard, at = head[known] % self.model.shards, head[known] // self.model.shards
-        for k, rows in self._by_shard(shard, at):
-            begin, children, _, weights = self._shard(k)
-            rows = rows[at[rows] < begin.n - 1]
-            heads = at[rows]
-            a, b = begin.spans(heads)
+        head, child = head[known], child[known]
+        shard, at = head % self.model.shards, head // self.model.shards
+        wide = (int(child.max()) + 1).bit_length() if len(child) else 1
+        for k, order in self._by_shard(shard, at << wide | (child + 1)):
+            begin, children, code_of, weights = self._shard(k)
+            heads, rows = at[order], known[order]
+            new = np.diff(heads, prepend=-1) != 0
+            own, which = heads[new], np.cumsum(new) - 1
+            a, b = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            inside = np.flatnonzero(own < begin.n - 1)
+            a[inside], b[inside] = begin.spans(own[inside])
             full = np.flatnonzero(a < b)
-            rows, a, b = known[rows[full]], a[full], b[full]
-            first[rows], last[rows], weight[rows] = a, b, weights[heads[full]]
-            later = np.flatnonzero(a > 0)
-            base[rows[later]] = children.get(a[later] - 1)
-        return first, last, base, weight
-
-    def find(self, head: np.ndarray, child: np.ndarray, runs: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """For heads with their runs and children (-1: none): the child's place in its shard or -1, and its code."""
-        first, last, base, _ = runs
-        place, codes = np.full(len(head), -1, np.int64), np.zeros(len(head), np.int64)
-        asked = np.flatnonzero((first < last) & (child >= 0))
-        shard, value = head[asked] % self.model.shards, base[asked] + child[asked] + 1
-        for k, rows in self._by_shard(shard, value):
-            _, children, code_of, _ = self._shard(k)
-            found = children.find(value[rows])
-            rows = asked[rows]
-            inside = np.flatnonzero((found >= first[rows]) & (found < last[rows]))
-            place[rows[inside]], codes[rows[inside]] = found[inside], code_of[found[inside]]
-        return place, codes
-
-
-class Reader:
-    """A worker's view of the trie: what it knows of a word is held by slot."""
+            if not len(full):
+                continue
+            back, base, value = (np.zeros(len(own), np.int64) for _ in range(3))
+            back[full] = weights[own[full]]
+            # The value before a run and its first one; nothing stands before the first run of a shard.
+            before, first = children.spans(np.maximum(a[full] - 1, 0)) if children.n > 1 else (children.get(a[full]),) * 2
+            base[full], value[full] = np.where(a[full] > 0, before, 0), np.where(a[full] > 0, first, before)
+            weight[rows] = back[which]
+            asked = child[order]
+            target, found, ends, value = base[which] + asked + 1, a[which], b[which], value[which]
+            able = (asked >= 0) & (found < ends)
+            same = able & (value == target)
+            more = np.flatnonzero(able & (value < target) & (ends - found > 1))
+            if len(more):
+                target = target[more]
+                new = np.diff(target, prepend=-1) != 0
+                met = children.find(target[new])[np.cumsum(new) - 1]
+                hit = (met >= found[more]) & (met < ends[more])
+                more, met = more[hit], met[hit]
+                opens = found[more]
+                found[more], same[more] = met, True
+                among[rows[more]] = met - opens
+            rows, found = rows[same], found[same]
+            place[rows], codes[rows] = found, code_of[found]
+        among[(place >= 0) & (among < 0)] = 0
+        return place, among, codes, weight
+
+
+class Words:
+    """A worker's view of the words: what it knows of one is held by slot."""
 
     def __init__(self, model: Model):
-        self.model, self.pairs, self.triples = model, Level(model, 2), Level(model, 3)
-        self.first_node = np.array(model.first_node or [0], np.int64)
+        self.model = model
         self._forget()
 
     def _forget(self) -> None:
         self.slots = Slots()
-        self.known: list[np.ndarray] = []
-        self._learn([])
+        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Number (-1: unknown), count, unigram code, base logarithm, and run of successors of new words; the first slot is the begin mark."""
+        """Number (-1: unknown) and count of new words."""
         keys = _digests(new)
         ids, counts = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
         shard = (keys[:, 0] % np.uint64(self.model.shards)).astype(np.int64)
@@ -168,83 +200,108 @@ class Reader:
                 inside = np.flatnonzero(at < len(x["high"]))
                 same = inside[(x["high"][at[inside]] == keys[rows[inside], 0]) & (x["low"][at[inside]] == keys[rows[inside], 1])]
                 ids[rows[same]], counts[rows[same]] = x["id"][at[same]], x["count"][at[same]]
-        if not self.known:
-            self.slots[b""] = 0
-            ids, counts = np.array([self.model.words]), np.zeros(1, np.int64)
-        runs = self.pairs.runs(ids) if self.model.first_node else (ids,) * 4
-        more = [ids, counts, code(self.model.unigram(counts)), self.model.base(counts), *runs]
-        self.known = [np.concatenate(x) for x in zip(self.known, more)] if self.known else more
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Slots of words."""
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of words."""
         if len(self.slots) > CACHE:
             self._forget()
-        at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         if self.slots.new:
             self._learn(self.slots.new)
             self.slots.new = []
-        return at
+        return self.ids[slots], self.counts[slots]
+
+
+class Trie:
+    """A worker's view of the levels of pairs and triples."""
 
-    @staticmethod
-    def contexts(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The slot before each token, the begin mark's before the first of a text."""
-        before = np.concatenate([[0], at[:-1]])
-        before[starts] = 0
+    def __init__(self, model: Model):
+        self.model, self.pairs, self.triples = model, Level(model, 2), Level(model, 3)
+        self.first_node = np.array(model.first_node or [0], np.int64)
+
+    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number before each token, the begin mark's before the first of a text."""
+        before = np.concatenate([[-1], ids[:-1]])
+        before[starts] = self.model.words
         return before
 
-    def pair(self, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pair(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token: the pair's code and the weight of the word before; the node of the pair before (-1: none), and the token's place among the successors (-1: not there)."""
-        before, ids = self.contexts(at, starts), self.known[0]
-        first, last, base, weight = (x[before] for x in self.known[4:])
-        head = ids[before]
-        place, codes = self.pairs.find(head, ids[at], (first, last, base, weight))
+        head = self.contexts(ids, starts)
+        place, among, codes, weight = self.pairs.find(head, ids)
         node = np.where(place >= 0, self.first_node[np.maximum(head, 0) % self.model.shards] + place, -1)
         node = np.concatenate([[-1], node[:-1]])
         node[starts] = -1
-        return codes, weight, node, np.where(place >= 0, place - first, -1)
+        return codes, weight, node, among
 
-    def log_probabilities(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Decimal logarithm of each token's probability after the two tokens before it."""
-        codes, weight, node, among = self.pair(at, starts)
-        low = np.where(among >= 0, codes, weight + self.known[2][at])
-        runs = self.triples.runs(node)
-        deep, deep_code = self.triples.find(node, among, runs)
-        return np.where(deep >= 0, deep_code, runs[3] + low) / -STEPS
-
-
-def chunks(texts: pd.Series) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(first row, tokens with ends, where each text begins) of as many texts as make up a chunk."""
-    tokens, starts, first = [], [], 0
-    for k, text in enumerate(texts):
-        starts.append(len(tokens))
-        tokens += _words(text)
-        tokens.append(END)
-        if len(tokens) >= CHUNK:
-            yield first, tokens, np.array(starts)
-            tokens, starts, first = [], [], k + 1
-    if starts:
-        yield first, tokens, np.array(starts)
+        codes, weight, node, among = self.pair(ids, starts)
+        low = np.where(among >= 0, codes, weight + self.model.unigram_codes(ids))
+        place, _, deep, back = self.triples.find(node, among)
+        return np.where(place >= 0, deep, back + low) / -STEPS
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """(first row, distinct words and the end, each token's place among them, where each text begins) of as many texts as make up a chunk."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, first = np.cumsum(size), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - size[first] + CHUNK, "right")))
+        part = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(first, last - first), "")))
+        words, lengths = part.flatten(), pc.list_value_length(part).to_numpy(zero_copy_only=False)
+        kept = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text leaves empty strings
+        row = np.repeat(np.arange(last - first), lengths)[kept.to_numpy(zero_copy_only=False)]
+        coded = words.filter(kept).dictionary_encode()
+        starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=last - first) + 1)])
+        at = np.full(starts[-1], len(coded.dictionary), np.int64)
+        at[np.arange(len(row)) + row] = coded.indices.to_numpy(zero_copy_only=False)
+        yield first, [*coded.dictionary.cast(pa.binary()).to_pylist(), END], at, starts[:-1]
+        first = last
+
+
+def numbers(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words, where each text begins) of as many texts as make up a chunk."""
+    size, first = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize, 0
+    upto = np.cumsum(size)
+    flat = b"".join(x.as_buffer() for x in column)
+    while first < len(column):
+        begin = int(upto[first] - size[first])
+        last = max(first + 1, int(np.searchsorted(upto, begin + TOKENS, "right")))
+        ids = np.frombuffer(flat, kind, int(upto[last - 1]) - begin, begin * kind.itemsize).astype(np.int64)
+        yield ids, upto[first:last] - size[first:last] - begin
+        first = last
 
 
 def _vocabulary(docs: DataFrame, model: Model) -> Model:
     """Level 1: counts words in the tasks, numbers them from the most frequent on, and writes them by hash."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
+
         for batch in batches:
-            for _, tokens, _ in chunks(batch["text"]):
-                held.update(tokens)
-                if len(held) > CACHE:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                    held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-
-    words = docs.select("text").mapInPandas(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialize(words)
+            for _, words, at, _ in chunks(batch.column(0)):
+                held.append(pa.table({"word": pa.array(words, pa.binary()), "n": np.bincount(at, minlength=len(words))}))
+                size += len(words)
+                if size > COUNTED:
+                    held = [summed()]
+                    size = len(held[0])
+                    if size > COUNTED // 2:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed().to_batches()
+
+    words = docs.select("text").mapInArrow(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = written(words, "words")
     count, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     model = replace(model, tokens=total, words=count, shards=max(1, -(-total // SHARD_TOKENS)))
     ranked = words.repartitionByRange(max(1, -(-count // SHARD_TOKENS)), F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
-    ranked = materialize(ranked.withColumn("m", F.monotonically_increasing_id()))
+    ranked = written(ranked.withColumn("m", F.monotonically_increasing_id()), "ranked")
     ranked = ranked.withColumn("part", F.shiftrightunsigned("m", 33))
     sizes = sorted((r["part"], r["n"]) for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
     first = [(part, before) for (part, _), before in zip(sizes, np.cumsum([0, *(n for _, n in sizes)]).tolist())]
@@ -255,14 +312,16 @@ def _vocabulary(docs: DataFrame, model: Model) -> Model:
     def shard_of(words: pd.Series) -> pd.Series:
         return pd.Series((_digests(list(map(bytes, words)))[:, 0] % np.uint64(model.shards)).astype(np.int64))
 
-    def written(group: pd.DataFrame) -> pd.DataFrame:
+    def built(group: pd.DataFrame) -> pd.DataFrame:
         keys = _digests(list(map(bytes, group["word"])))
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         arrays = {"high": keys[order, 0], "low": keys[order, 1], "id": group["id"].to_numpy(np.int64)[order], "count": group["n"].to_numpy(np.int64)[order]}
         save_arrays(model.file(1, int(group["shard"].iloc[0])), arrays)
         return pd.DataFrame({"shard": group["shard"].iloc[:1], "n": [len(group)]})
 
-    _written(ranked.withColumn("shard", shard_of("word")), written, lambda k: {"high": np.zeros(0, np.uint64), "low": np.zeros(0, np.uint64), "id": np.zeros(0, np.int64), "count": np.zeros(0, np.int64)}, model, 1)
+    held = sorted(((r["n"], r["words"]) for r in ranked.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)  # N tokens have no more than sqrt(2 N) different counts
+    model = replace(model, counts=tuple(n for n, _ in held), first_word=tuple(np.cumsum([0, *(x for _, x in held[:-1])]).tolist()) if held else ())
+    _written(ranked.withColumn("shard", shard_of("word")), built, lambda k: {"high": np.zeros(0, np.uint64), "low": np.zeros(0, np.uint64), "id": np.zeros(0, np.int64), "count": np.zeros(0, np.int64)}, model, 1)
     return model
 
 
@@ -276,10 +335,28 @@ def _written(rows: DataFrame, build: Callable[[pd.DataFrame], pd.DataFrame], emp
     return [sizes.get(k, 0) for k in range(model.shards)]
 
 
-def _blocks(docs: DataFrame, model: Model, level: int) -> DataFrame:
-    """n-grams as packed blocks by shard of their head: head, child, count, and the child's code one level down."""
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs but text, with n_tokens, n_known, base_score and ids: the numbers of a text's tokens (-1: unknown), one after another."""
+    names = [c.split()[0] for c in CODED.split(", ")]
+
+    @F.arrow_udf(CODED)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Words(model)
+        for texts in batches:
+            for _, words, at, starts in chunks(texts):
+                ids, counts = known.look_up(words)
+                sums = [np.add.reduceat(x[at], starts) for x in ((counts > 0).astype(np.int64), model.base(counts))]
+                flat, ends = ids[at].astype(model.number).tobytes(), np.append(starts, len(at)) * model.number.itemsize
+                blobs = pa.array([flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
+                yield pa.StructArray.from_arrays([pa.array(np.diff(starts, append=len(at))), *map(pa.array, sums), blobs], names)
+
+    return docs.withColumn("_s", found("text")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "_s.*")
 
-    def emitted(held: list[list[np.ndarray]]) -> pd.DataFrame:
+
+def _blocks(texts: DataFrame, model: Model, level: int) -> DataFrame:
+    """n-grams as packed blocks by shard of their head: head, child, count, and on the third level the child's code one level down."""
+
+    def emitted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         head, child, low = (np.concatenate(x) for x in zip(*held))
         # One number for shard, head and child: heads of a shard follow one another.
         each = int(head.max()) // model.shards + 1 if len(head) else 1
@@ -292,18 +369,16 @@ def _blocks(docs: DataFrame, model: Model, level: int) -> DataFrame:
         ends = np.searchsorted(shard, np.arange(model.shards + 1))
         found = np.flatnonzero(np.diff(ends)).tolist()
         blobs = [pack(head[a:b], child[a:b], n[a:b], low[a:b]) for a, b in ((ends[k], ends[k + 1]) for k in found)]
-        return pd.DataFrame({"shard": found, "grams": blobs})
+        return pa.record_batch({"shard": pa.array(found, pa.int64()), "grams": pa.array(blobs, pa.binary())})
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, held, n = Reader(model), [], 0
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, held, n = Trie(model), [], 0
         for batch in batches:
-            for _, tokens, starts in chunks(batch["text"]):
-                at = reader.look_up(tokens)
+            for ids, starts in numbers(batch.column(0), model.number):
                 if level == 2:
-                    ids = reader.known[0]
-                    rows = [ids[reader.contexts(at, starts)], ids[at], reader.known[2][at]]
+                    rows = [trie.contexts(ids, starts), ids, np.zeros(len(ids), np.int64)]
                 else:
-                    codes, _, node, among = reader.pair(at, starts)
+                    codes, _, node, among = trie.pair(ids, starts)
                     inner = np.flatnonzero(node >= 0)
                     rows = [node[inner], among[inner], codes[inner]]
                 held.append(rows)
@@ -314,10 +389,10 @@ def _blocks(docs: DataFrame, model: Model, level: int) -> DataFrame:
         if n:
             yield emitted(held)
 
-    return docs.select("text").mapInPandas(counted, "shard bigint, grams binary")
+    return texts.select("ids").mapInArrow(counted, "shard bigint, grams binary")
 
 
-def level_arrays(head: np.ndarray, child: np.ndarray, n: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
+def level_arrays(head: np.ndarray, child: np.ndarray, n: np.ndarray, low: np.ndarray, sampled: bool) -> dict[str, np.ndarray]:
     """One shard of a level from its n-grams in order of head and child: head numbers are dense, some may have no children."""
     size = int(head[-1]) + 1 if len(head) else 0
     kids = np.bincount(head, minlength=size)
@@ -327,51 +402,51 @@ def level_arrays(head: np.ndarray, child: np.ndarray, n: np.ndarray, low: np.nda
     base = np.cumsum(last) - last
     spare = np.divide(DISCOUNT * kids, total, out=np.ones(size), where=total > 0)
     p = np.maximum(n - DISCOUNT, 0) / total[head] + spare[head] * 10.0 ** (low / -STEPS)
-    return {**EliasFano.arrays(begin, "begin"), **EliasFano.arrays(base[head] + child + 1, "child"), "code": code(p).astype(np.uint16), "weight": code(spare).astype(np.uint16)}
+    return {**EliasFano.arrays(begin, "begin"), **EliasFano.arrays(base[head] + child + 1, "child", sampled), "code": code(p).astype(np.uint16), "weight": code(spare).astype(np.uint16)}
 
 
-def _level(docs: DataFrame, model: Model, level: int) -> list[int]:
+def _level(texts: DataFrame, model: Model, level: int) -> list[int]:
     def built(group: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(bytes(x), 4) for x in group["grams"]]
         head, child, n, low = (np.concatenate(x) for x in zip(*parts))
         wide = int(child.max()).bit_length()
         key, n, (low,) = combined(head << wide | child, n, (low,))
         head, child = key >> wide, key & ((1 << wide) - 1)
-        save_arrays(model.file(level, int(group["shard"].iloc[0])), level_arrays(head, child, n, low))
+        low = model.unigram_codes(child) if level == 2 else low
+        save_arrays(model.file(level, int(group["shard"].iloc[0])), level_arrays(head, child, n, low, level == 2))
         return pd.DataFrame({"shard": group["shard"].iloc[:1], "n": [len(head)]})
 
     none = np.zeros(0, np.int64)
-    return _written(_blocks(docs, model, level), built, lambda k: level_arrays(none, none, none, none), model, level)
+    return _written(_blocks(texts, model, level), built, lambda k: level_arrays(none, none, none, none, level == 2), model, level)
+
 
+def start(docs: DataFrame) -> Model:
+    """The words of all given documents, counted and written to the shared folder."""
+    return _vocabulary(docs, Model(mounted(fresh_dir(docs.sparkSession, "lm"))))
 
-def train(docs: DataFrame) -> Model:
-    """Counts all given documents and writes the trie to the shared folder."""
-    model = _vocabulary(docs, Model(mounted(fresh_dir(docs.sparkSession, "lm"))))
-    sizes = _level(docs, model, 2)
+
+def grown(texts: DataFrame, model: Model) -> Model:
+    """The model with the pairs and triples of coded texts, all of whose words it knows."""
+    sizes = _level(texts, model, 2)
     model = replace(model, first_node=tuple(np.cumsum([0, *sizes[:-1]]).tolist()))
-    _level(docs, model, 3)
+    _level(texts, model, 3)
     return model
 
 
-SCORES = "n_tokens bigint, n_known bigint, base_score double, score double"
+CODED = "n_tokens bigint, n_known bigint, base_score double, ids binary"
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs with n_tokens, n_known, base_score and score."""
+def scores(texts: DataFrame, model: Model) -> DataFrame:
+    """The columns of coded texts but ids, with score."""
 
-    @F.pandas_udf(SCORES)
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = Reader(model)
-        for texts in batches:
-            out = np.zeros((len(texts), 4))
-            for first, tokens, starts in chunks(texts):
-                at = reader.look_up(tokens)
-                sums = (np.ones(len(at)), reader.known[1][at] > 0, reader.known[3][at], reader.log_probabilities(at, starts))
-                out[first : first + len(starts)] = np.stack([np.add.reduceat(x.astype(np.float64), starts) for x in sums], axis=1)
-            found = pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
-            yield found.astype({"n_tokens": "int64", "n_known": "int64"})
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie = Trie(model)
+        for batch in batches:
+            for ids, starts in numbers(batch, model.number):
+                yield pa.array(np.add.reduceat(trie.log_probabilities(ids, starts), starts))
 
-    return docs.withColumn("_s", scored("text")).select(*[F.col(f"`{c}`") for c in docs.columns], "_s.*")
+    return texts.withColumn("_score", scored("ids")).select(*[F.col(f"`{c}`") for c in texts.columns if c != "ids"], F.col("_score").alias("score"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -384,5 +459,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     held = id_bucket("doc_id", HELD_OUT) == 0
     rows = docs.select("doc_id", "text", held.alias("held_out"))
-    model = train(rows.where("NOT held_out"))
-    return scores(rows, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    model = start(rows.where("NOT held_out"))
+    texts = written(coded(rows, model), "coded", "zstd")
+    model = grown(texts.where("NOT held_out"), model)
+    return scores(texts, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

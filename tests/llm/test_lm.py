@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -31,6 +32,35 @@ def test_elias_fano_gets_and_finds(values):
         assert at == (values.tolist().index(x) if x in values else -1)
 
 
+@given(st.lists(st.integers(0, 1 << 40) | st.integers(0, 300), min_size=1, max_size=200))
+def test_a_sampled_list_finds_the_same(values):
+    values = np.array(sorted(values), np.int64)
+    plain, sampled = (EliasFano(EliasFano.arrays(values, "x", s), "x") for s in (False, True))
+    asked = np.array([*values.tolist(), *(values + 1).tolist(), *range(0, 300, 7), -1, 1 << 41], np.int64)
+    assert sampled.find(asked).tolist() == plain.find(asked).tolist()
+
+
+@pytest.mark.parametrize("size", [1, 60, 1 << 21])
+def test_chunks_give_the_tokens_of_every_text(monkeypatch, size):
+    monkeypatch.setattr(lm, "CHUNK", size)
+    texts = [None, "", "  \t", " A b\x0ba ", "".join(map(chr, range(256))), "É\u2028x\xa0y Z", *(f"w{k} w{k % 3}" for k in range(50))]
+    found = []
+    for first, words, at, starts in lm.chunks(pa.array(["cut off", *texts], pa.string()).slice(1)):
+        assert first == len(found) and len(set(words)) == len(words)
+        found += [[words[k] for k in part] for part in np.split(at, starts[1:])]
+    assert found == [[w.encode() for w in tokens(t)] for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 5, 1 << 19])
+def test_numbers_come_in_bounded_chunks(monkeypatch, size):
+    monkeypatch.setattr(lm, "TOKENS", size)
+    texts = [[1], [2, -1, 3], [4, 5], [6] * 7, [0]]
+    column = pa.array([np.array(t, "<i4").tobytes() for t in [[9], *texts]], pa.binary()).slice(1)
+    parts = [(ids, starts) for ids, starts in lm.numbers(column, np.dtype("<i4"))]
+    assert [part.tolist() for ids, starts in parts for part in np.split(ids, starts[1:])] == texts
+    assert all(len(ids) <= size or len(starts) == 1 for ids, starts in parts)
+
+
 @given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 1 << 40)), max_size=60))
 def test_packed_arrays_come_back(rows):
     rows.sort()
