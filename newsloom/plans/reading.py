@@ -11,6 +11,7 @@ from newsloom.plans import tables
 from newsloom.plans.queries import _HIT, _topic_sql, AS_OF, DAY, NORM, SCORES_SQL, TOPICS, at, scores
 from newsloom.plans.registry import query
 from newsloom.plans.tables import with_tables
+from newsloom.session import materialize
 
 EFFECTIVE = "coalesce(published_at, discovered_at)"
 LOCAL_DAY = "CAST(published_at + INTERVAL 8 HOUR AS DATE)"
@@ -71,7 +72,8 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
 @query("q33_topic_editorials")
 def q33(spark: SparkSession, d: str) -> DataFrame:
     contents, items = _included(spark, d, recent=False)
-    stories = reader.topic_daily_stories(contents)
+    # Kept: texts are matched once for the stories and for the cards they need.
+    stories = materialize(reader.topic_daily_stories(contents).select("topic_id", "report_date", "place", "content_item_id"))
     wanted = items.join(stories.select(F.col("content_item_id").alias("id")).distinct(), "id", "left_semi")
     tags = wanted.select(F.col("id").alias("content_item_id"), cards.editorial_tags(F.col("topics")).alias("tags"))
     return reader.topic_editorials(stories, cards.cards(wanted).join(tags, "content_item_id"))

@@ -6,6 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from newsloom.operators import reader
 
 CONTENT = "topic_id bigint, id bigint, title string, excerpt string, body string, source_id bigint, published_at timestamp, language string"
@@ -13,6 +14,7 @@ ROWS = [
     (1, 10, "Late", "", "A body. " * 50, 3, datetime(2024, 1, 1, 17), "en"), (1, 11, "Early", "said", None, 3, datetime(2024, 1, 1, 1), "en"), (1, 12, "Same", "said", "b", 4, datetime(2024, 1, 1, 1), "en"),
     (2, 10, "Late", "", "A body. " * 50, 3, datetime(2024, 1, 1, 17), "en"), (1, 13, "Undated", "", "b", 3, None, "en"),
 ]
+from tests.conftest import SMALL
 
 
 def test_stories_of_a_day(spark):
@@ -29,3 +31,9 @@ def test_editorials_from_cards(spark):
     cards = spark.createDataFrame([(10, "Card", ["One.", "Two."], "x", ["tag"]), (11, "Bare", [], "excerpt", []), (12, "None", [], None, [])], "content_item_id bigint, title string, paragraphs array<string>, excerpt string, tags array<string>")
     found = sorted((r.topic_id, r.story_key, r.title, r.summary, r.tags) for r in reader.topic_editorials(stories, cards).collect())
     assert found == [(1, "content:10", "Card", "One. Two.", ["tag"]), (1, "content:11", "Bare", "excerpt", []), (1, "content:12", "None", "", []), (2, "content:10", "Card", "One. Two.", ["tag"])]
+
+
+def test_topic_editorials_match_their_texts_once(spark):
+    """Stories are kept, so that only the cards' texts are still to be read."""
+    plan = queries()["q33_topic_editorials"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
