@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import written
+
 KEY = ["edition_id", "story_ref"]
 COLUMNS = ["edition_id", "section_place", "section_key", "story_ref", "story_place", "in_intro"]
 
@@ -21,11 +23,11 @@ def complete(placements: DataFrame, stories: DataFrame, catalog: DataFrame, fall
     shares a tag by `catalog` (section_key, tag_key), else to the section `fallback`, else to the last. An edition left
     without sections keeps its placements as they are. Stories of a section that goes stay out, as they were named.
     """
-    once = placements.groupBy("edition_id", "section_place", "section_key", "story_ref").agg(F.min("story_place").alias("story_place"), F.max("in_intro").alias("in_intro"))
-    once = once.join(stories.select(*KEY).distinct(), KEY)
+    # Known ones first: what is dealt out by edition and story needs no other exchange for the groups below.
+    once = placements.join(stories.select(*KEY), KEY, "left_semi").groupBy("edition_id", "section_place", "section_key", "story_ref").agg(F.min("story_place").alias("story_place"), F.max("in_intro").alias("in_intro"))
     first = once.groupBy(*KEY).agg(F.min(F.struct("section_place", "story_place", "section_key", "in_intro")).alias("s"))
-    first = first.select(*KEY, "s.section_place", "s.section_key", "s.story_place", "s.in_intro")
-    sections = first.groupBy("edition_id", "section_place", "section_key").agg(F.max("in_intro").alias("open")).where("open").drop("open")
+    first = written(first.select(*KEY, "s.section_place", "s.section_key", "s.story_place", "s.in_intro"), "editions-first")
+    sections = written(first.groupBy("edition_id", "section_place", "section_key").agg(F.max("in_intro").alias("open")).where("open").drop("open"), "editions-sections")
     ends = sections.groupBy("edition_id").agg(F.max(F.struct("section_place", "section_key")).alias("last"), F.min(F.when(F.col("section_key") == F.lit(fallback), F.struct("section_place", "section_key"))).alias("general"))
     omitted = stories.join(first.select(*KEY), KEY, "left_anti")
     tagged = omitted.select(*KEY, F.explode("tags").alias("tag_key")).join(catalog.select("section_key", "tag_key").distinct(), "tag_key")

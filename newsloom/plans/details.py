@@ -10,6 +10,7 @@ from newsloom.plans import tables
 from newsloom.plans.queries import _topic_sql, TOPICS
 from newsloom.plans.registry import query
 from newsloom.plans.tables import with_tables
+from newsloom.session import written
 
 
 def _stale(every: int):
@@ -135,7 +136,7 @@ a AS (SELECT o.e, n, coalesce(min(sp) FILTER (WHERE sp = 0 AND tag IN ('A', 'X')
 SELECT e AS edition_id, sp AS section_place, 's' || sp AS section_key, ref AS story_ref, place AS story_place, intro AS in_intro, 'editor' AS origin FROM f WHERE EXISTS (SELECT 1 FROM k WHERE k.e = f.e AND k.sp = f.sp)
 UNION ALL SELECT e, sp, 's' || sp, n, n, FALSE, 'appended' FROM a UNION ALL SELECT e, sp, 's' || sp, ref, place, intro, 'unchanged' FROM pl WHERE e NOT IN (SELECT e FROM k)""")
 def q40(spark: SparkSession, d: str) -> DataFrame:
-    lines, ref = _lines(spark, d), F.col("story_ref")
+    lines, ref = written(_lines(spark, d), "lines"), F.col("story_ref")
     yes = F.lit(True)
     placed = _placed(lines.where("story_ref % 3 <> 0"), F.col("s") % 3, ref, ref, F.col("q") > 10)
     placed = placed.unionByName(_placed(lines.where("story_ref = 1"), F.lit(0), F.lit(101), F.lit(50), yes)).unionByName(_placed(lines.where("story_ref = 2"), F.lit(2), ref, F.lit(60), yes))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from __spark_entry__ import queries
 from newsloom.operators import editions
+from tests.conftest import SMALL
 
 PLACED = "edition_id int, section_place int, section_key string, story_place int, story_ref string, in_intro boolean"
 STORIES = "edition_id int, story_place int, story_ref string, tags array<string>"
@@ -38,3 +40,17 @@ def test_empty_tables(spark):
     placed, stories, catalog = (spark.createDataFrame([], s) for s in (PLACED, STORIES, CATALOG))
     assert editions.complete(placed, stories, catalog, "a").count() == 0
     assert editions.reuse(placed, stories).count() == 0
+
+
+def test_completion_sums_up_the_lines_once(spark):
+    """Lines are kept: no part of the result goes back to the line items."""
+    plan = queries()["q40_completed_editions"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_repeated_stories_count_once(spark):
+    placements = spark.createDataFrame([(1, 0, "a", 5, 2, True), (1, 0, "a", 5, 1, False), (1, 0, "b", 5, 1, True), (1, 1, "c", 9, 1, True)], "edition_id long, section_place int, section_key string, story_ref long, story_place int, in_intro boolean")
+    stories = spark.createDataFrame([(1, 1, 5, ["x"]), (1, 1, 5, ["x"])], "edition_id long, story_place int, story_ref long, tags array<string>")
+    catalog = spark.createDataFrame([("a", "x")], "section_key string, tag_key string")
+    found = [tuple(r) for r in editions.complete(placements, stories, catalog).collect()]
+    assert found == [(1, 0, "a", 5, 1, True, "editor")]
