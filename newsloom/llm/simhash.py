@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.shared import guarded_broadcast, materialize
+from newsloom.llm.shared import guarded_broadcast, is_few, materialize, maybe_in
 from newsloom.operators.graph import linked
 
 SHINGLE_WORDS = 3
@@ -270,8 +270,12 @@ def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([_shingles(x, words) for x in texts])
 
-    wanted = nodes.join(wanted.select("node").distinct(), "node").select("node", F.col("who.row").alias("row"))
-    rows = docs.select(row_hash(docs).alias("row"), "text").join(guarded_broadcast(materialize(wanted)), "row")
+    wanted = materialize(nodes.join(wanted.select("node").distinct(), "node").select("node", F.col("who.row").alias("row")))
+    rows = docs.select(row_hash(docs).alias("row"), "text")
+    if is_few(wanted):
+        rows = rows.join(F.broadcast(wanted), "row")
+    else:
+        rows = maybe_in(rows, wanted, "row").where("_maybe").drop("_maybe").join(wanted, "row")
     return materialize(rows.select("node", shingled("text").alias("grams")).groupBy("node").agg(F.first("grams").alias("grams")))
 
 
@@ -384,9 +388,15 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     nodes = numbered(stage_nodes(docs))
     named = linked(similar_links(docs, nodes.where(F.col("n") > 0))).withColumnRenamed("id", "node")
     kept = nodes.join(named, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("who").alias("who"))
-    kept = materialize(kept.select(F.col("who.row").alias("_row")).distinct())
-    rows = docs.withColumn("_row", row_hash(docs)).join(guarded_broadcast(kept), "_row", "left_semi")
+    kept = kept.select(F.col("who.row").alias("_row"), F.lit(True).alias("_kept")).distinct()
+    rows = docs.withColumn("_row", row_hash(docs))
     # Equal rows have equal hashes: they are few or many, but one short key, combined before the shuffle.
-    repeated = rows.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
-    repeated = guarded_broadcast(materialize(repeated))
-    return rows.join(repeated, "_row", "left_anti").drop("_row").unionByName(rows.join(repeated, "_row", "left_semi").drop("_row").distinct())
+    counted = rows.groupBy("_row").agg(F.count("*").alias("_n")).join(kept, "_row", "left")
+    odd = materialize(counted.where("_kept IS NULL OR _n > 1").select("_row", F.col("_kept").isNotNull().alias("_again")))
+    few = is_few(odd)
+    rest = rows if few else maybe_in(rows, odd, "_row")
+    # Where odd rows are many, texts are shuffled only if a bitmap doesn't clear them.
+    clear = rest.where("1 = 0" if few else "NOT _maybe").drop("_maybe")
+    rest, odd = (rows, F.broadcast(odd)) if few else (rest.where("_maybe").drop("_maybe"), odd)
+    single = rest.join(odd, "_row", "left_anti").unionByName(clear)
+    return single.drop("_row").unionByName(rest.join(odd.where("_again"), "_row", "left_semi").drop("_row").distinct())

@@ -7,7 +7,10 @@ import random
 import numpy as np
 import pytest
 
+from newsloom import session
 from newsloom.llm import simhash
+from newsloom.llm.shared import maybe_in
+from newsloom.operators.graph import linked
 
 WORDS = [f"w{k}" for k in range(3000)]
 
@@ -68,3 +71,42 @@ def test_shared_counts():
     one, two = ([np.unique(r.integers(-40, 40, r.integers(0, 30))) for _ in range(n)] for n in (7, 9))
     expected = [[len(np.intersect1d(a, b)) for b in two] for a in one]
     assert simhash.shared_counts(one, two, 8).tolist() == expected == simhash.shared_counts(one, two).tolist()
+
+
+@pytest.mark.parametrize("rows", [session.BROADCAST_ROWS, 0])
+def test_texts_are_shuffled_only_if_a_bitmap_asks_for_it(spark, monkeypatch, rows):
+    """Tables too large to be broadcast give the same result, and most texts don't pass a shuffle for them."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+    r = random.Random(6)
+    texts = [" ".join(r.choices(WORDS, k=120)) for _ in range(200)]
+    docs = [(k, text, "a") for k, text in enumerate(texts)] + [(300, texts[7], "a"), (301, texts[8].upper(), "b"), (9, texts[9], "a"), (9, texts[9], "a"), (302, None, "a"), (303, "", "a")]
+    found = simhash.keep_one_per_group(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+    assert sorted(tuple(x) for x in found.collect()) == sorted(docs[:200] + [(302, None, "a")], key=lambda x: x[0])
+    if not rows:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "bit_get" in plan
+
+
+def test_maybe_in_loses_no_key(spark):
+    keys = spark.range(3000).selectExpr("cast(id AS string) AS k")
+    marked = maybe_in(keys, keys.where("k % 10 = 0"), "k").selectExpr("k % 10 = 0 AS wanted", "_maybe").collect()
+    assert all(x._maybe for x in marked if x.wanted)
+    assert len(marked) == 3000 and sum(x._maybe for x in marked) < 320
+
+
+def test_few_links_take_few_tasks(spark):
+    """Rounds of a few links don't run as many tasks as a shuffle has partitions."""
+    status = spark.sparkContext.statusTracker()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        found = linked(spark.range(64).selectExpr("id AS u", "id + 1 AS v")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stages = {s for job in status.getJobIdsForGroup("few links") for s in status.getJobInfo(job).stageIds}
+    assert {x.component for x in found} == {0} and len(found) == 64
+    assert sum(status.getStageInfo(s).numCompletedTasks for s in stages if status.getStageInfo(s)) < 1000
