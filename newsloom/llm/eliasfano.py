@@ -1,6 +1,6 @@
-"""Elias-Fano lists: non-decreasing whole numbers in about two bits each and the low bits of their mean gap.
+"""Elias-Fano lists: non-decreasing whole numbers in about two bits each and the low bits of their mean gap, in whole bytes.
 
-The high parts stand in unary in a bit vector, the low parts packed beside it. All operations take arrays of
+The high parts stand in unary in a bit vector, the low parts in an array beside it. All operations take arrays of
 questions; directories of ones and zeros lead to a word of 64 bits, and a table to the bit in it.
 """
 
@@ -11,6 +11,8 @@ import numpy as np
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Every so many values one stands in the directory of a sampled list.
 SAMPLED = 16
+#: Widths of low parts and how they are written: whole bytes are read by one index. A list takes the width that makes it smallest.
+LOW = {0: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32}
 
 
 def _select_table() -> np.ndarray:
@@ -28,14 +30,18 @@ _PLACES = _select_table()
 
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th set bit of each word."""
-    at = np.zeros(len(words), np.uint64)
-    for width in (32, 16):
-        below = np.bitwise_count((words >> at) & np.uint64((1 << width) - 1)).astype(np.int64)
-        over = k >= below
-        k = k - below * over
-        at = at + over.astype(np.uint64) * np.uint64(width)
-    part = ((words >> at) & np.uint64(0xFFFF)).astype(np.int64)
-    return at.astype(np.int64) + _PLACES[part * 16 + k]
+    k = k.astype(np.uint8)
+    below = np.bitwise_count(words.astype(np.uint32))
+    upper = k >= below
+    k -= below * upper
+    words = words >> (upper.astype(np.uint64) << np.uint64(5))
+    below = np.bitwise_count(words.astype(np.uint16))
+    second = k >= below
+    k -= below * second
+    words >>= second.astype(np.uint64) << np.uint64(4)
+    place = _PLACES[words.astype(np.uint16).astype(np.int64) << 4 | k]
+    place += upper * np.uint8(32) + second * np.uint8(16)
+    return place.astype(np.int64)
 
 
 class EliasFano:
@@ -46,20 +52,15 @@ class EliasFano:
         """sampled: a directory of values shortens searches where many values share their high part."""
         values = np.asarray(values, np.int64)
         n, top = len(values), int(values[-1]) if len(values) else 0
-        low = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
+        low = min(LOW, key=lambda w: w * n + 2 * (top >> w))
         ones = (values >> low) + np.arange(n)
         bits = np.zeros(-(-((top >> low) + n + 1) // 64) * 64, bool)
         bits[ones] = True
         high = np.packbits(bits, bitorder="little").view("<u8")
         upto = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])[:-1]
-        packed = np.zeros(-(-n * low // 64) + 1, np.uint64)
-        if low and n:
-            rest, at = (values & ((1 << low) - 1)).astype(np.uint64), np.arange(n, dtype=np.int64) * low
-            word, shift = at >> 6, (at & 63).astype(np.uint64)
-            for place, part in ((word, rest << shift), (word + 1, np.where(shift > 0, rest >> (np.uint64(64) - np.maximum(shift, 1)), 0))):
-                begins = np.flatnonzero(np.diff(place, prepend=-1))
-                packed[place[begins]] |= np.bitwise_or.reduceat(part.astype(np.uint64), begins) * (place[begins] < len(packed))
-        return {f"{name}_high": high, f"{name}_ones": upto, f"{name}_zeros": 64 * np.arange(len(high)) - upto, f"{name}_low": packed, f"{name}_is": np.array([n, low, top], np.int64), **({f"{name}_sample": values[::SAMPLED]} if sampled else {})}
+        packed = (values & ((1 << low) - 1)).astype(LOW[low])
+        place = np.int32 if 64 * len(high) < 1 << 31 else np.int64
+        return {f"{name}_high": high, f"{name}_ones": upto.astype(place), f"{name}_zeros": (64 * np.arange(len(high)) - upto).astype(place), f"{name}_low": packed, f"{name}_is": np.array([n, low, top], np.int64), **({f"{name}_sample": values[::SAMPLED]} if sampled else {})}
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.high, self.ones, self.zeros, self.packed = (arrays[f"{name}_{x}"] for x in ("high", "ones", "zeros", "low"))
@@ -67,23 +68,15 @@ class EliasFano:
         self.sample = arrays.get(f"{name}_sample")
 
     def _place_of_one(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, k, "right") - 1
+        word = np.searchsorted(self.ones, k.astype(self.ones.dtype), "right") - 1
         return word * 64 + _select_in_word(self.high[word], k - self.ones[word])
 
     def _place_of_zero(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.zeros, k, "right") - 1
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
         return word * 64 + _select_in_word(self.high[word] ^ _FULL, k - self.zeros[word])
 
     def _low_bits(self, at: np.ndarray) -> np.ndarray:
-        if not self.low:
-            return np.zeros(len(at), np.int64)
-        bit = at * self.low
-        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        value = self.packed[word] >> shift
-        over = shift.astype(np.int64) + self.low > 64
-        if over.any():
-            value[over] |= self.packed[word[over] + 1] << (np.uint64(64) - shift[over])
-        return (value & np.uint64((1 << self.low) - 1)).astype(np.int64)
+        return self.packed[at].astype(np.int64) if self.low else np.zeros(len(at), np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at these places."""
@@ -106,28 +99,41 @@ class EliasFano:
         able = np.flatnonzero((values >= 0) & (values <= self.top)) if self.n else np.zeros(0, np.int64)
         if not len(able):
             return out
-        high, rest = values[able] >> self.low, values[able] & ((1 << self.low) - 1)
-        begin = np.where(high > 0, self._place_of_zero(np.maximum(high - 1, 0)) + 1, 0)
+        if len(able) < len(values):
+            values = values[able]
+        high = values >> self.low
+        begin = self._place_of_zero(np.maximum(high - 1, 0)) + 1
+        begin[high == 0] = 0
         # Ones from `begin` on up to the next zero: within one word as a rule.
-        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
-        free = ~self.high[word] >> shift
-        run = np.bitwise_count((free & (~free + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        over = np.flatnonzero((free == 0) | (run + shift.astype(np.int64) >= 64))
+        word, shift = begin >> 6, (begin & 63).astype(np.uint8)
+        free = ~self.high[word] >> shift.astype(np.uint64)
+        run = np.bitwise_count(~free & (free - np.uint64(1)))
+        over = np.flatnonzero(run + shift >= 64)
+        run = run.astype(np.int64)
         if len(over):
             run[over] = self._place_of_zero(high[over]) - begin[over]
         left = begin - high
         end = left + run
-        right = end.copy()
+        if not self.low:
+            out[able] = np.where(run > 0, left, -1)
+            return out
+        rest = (values & ((1 << self.low) - 1)).astype(self.packed.dtype)
+        right = end
         if self.sample is not None:
-            block = np.searchsorted(self.sample, values[able]) * SAMPLED
+            block = np.searchsorted(self.sample, values) * SAMPLED
             left, right = np.maximum(left, block - SAMPLED + 1), np.minimum(right, block)
         open_ = np.flatnonzero(left < right)
-        while len(open_):
-            middle = (left[open_] + right[open_]) >> 1
-            less = self._low_bits(middle) < rest[open_]
-            left[open_[less]], right[open_[~less]] = middle[less] + 1, middle[~less]
-            open_ = open_[left[open_] < right[open_]]
+        if len(open_):
+            a, b, asked = left[open_], right[open_], rest[open_]
+            while len(open_):
+                middle = (a + b) >> 1
+                less = self.packed[middle] < asked
+                a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+                still = a < b
+                left[open_] = a
+                if not still.all():
+                    open_, a, b, asked = open_[still], a[still], b[still], asked[still]
         hit = np.flatnonzero(left < end)
-        hit = hit[self._low_bits(left[hit]) == rest[hit]]
+        hit = hit[self.packed[left[hit]] == rest[hit]]
         out[able[hit]] = left[hit]
         return out

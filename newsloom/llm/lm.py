@@ -1,7 +1,7 @@
 """Language-model scores from an n-gram trie in Elias-Fano lists.
 
 The model is a trigram model with interpolated absolute discounting. Its trie has three levels in files of the shared
-folder: words by hash with their number and count, the successors of each word, and the successors of each pair. The
+folder: words by hash with their number, the successors of each word, and the successors of each pair. The
 children of a node are a run of one increasing list (each is one more than its number and the last value of the run before), a second list
 points to where runs begin, and probabilities and back-off weights are codes of their logarithms in steps of 1/512. On the third
 level a word stands as its place among the successors of the word before it, so a question is asked relative to its
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -73,8 +74,14 @@ class Model:
 
     def unigram_codes(self, ids: np.ndarray) -> np.ndarray:
         """Codes of the words with these numbers, -1 an unknown word."""
-        by_count = code(self.unigram(np.array([*self.counts, 0], np.int64)))
-        return by_count[np.where(ids >= 0, np.searchsorted(np.array(self.first_word, np.int64), ids, "right") - 1, -1)]
+        return code(self.unigram(np.array([*self.counts, 0], np.int64)))[self._place_of_count(ids)]
+
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of the words with these numbers, 0 of an unknown word."""
+        return np.array([*self.counts, 0], np.int64)[self._place_of_count(ids)]
+
+    def _place_of_count(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids >= 0, np.searchsorted(np.array(self.first_word, np.int64), ids, "right") - 1, -1)
 
     @property
     def number(self) -> np.dtype:
@@ -90,16 +97,32 @@ def _digests(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
-class Slots(dict):
-    """Numbers of words in order of their first sight; `new` gathers those that haven't been looked up."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
+def ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of numbers from 0 on in order, and each number's place among them."""
+    place = len(x).bit_length()
+    if int(x.max(initial=0)).bit_length() + place > 63:
+        values, inverse = np.unique(x, return_inverse=True)
+        return values, inverse
+    key = x << place | np.arange(len(x))
+    key.sort()  # sorts numbers faster than argsort
+    values, inverse = key >> place, np.empty(len(x), np.int64)
+    new = np.diff(values, prepend=-1) != 0
+    inverse[key & ((1 << place) - 1)] = np.cumsum(new) - 1
+    return values[new], inverse
+
+
+def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's place among the distinct pairs of numbers from 0 on, and these in order."""
+    heads = tails = None
+    wide, place = int(second.max(initial=0)).bit_length(), len(first).bit_length()
+    if int(first.max(initial=0)).bit_length() + wide + place > 63:
+        heads, first = ranks(first)
+        if place + wide + place > 63:
+            tails, second = ranks(second)
+            wide = place
+    pairs, inverse = ranks(first << wide | second)
+    first, second = pairs >> wide, pairs & ((1 << wide) - 1)
+    return inverse, first if heads is None else heads[first], second if tails is None else tails[second]
 
 
 class Level:
@@ -115,65 +138,58 @@ class Level:
             self.open[k] = EliasFano(x, "begin"), EliasFano(x, "child"), x["code"], x["weight"]
         return self.open[k]
 
-    def _by_shard(self, shard: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, rows) of the shards that occur, rows nearly in order of their values (as far as one number holds them beside the row), so that a shard's lists are read from front to end."""
-        if not len(shard):
-            return
-        place, most = len(shard).bit_length(), self.model.shards.bit_length()
-        room = 63 - place - most
-        key = (shard << room | value >> max(0, int(value.max()).bit_length() - room)) << place | np.arange(len(shard))
-        key.sort()
-        ends = np.searchsorted(key, np.arange(self.model.shards + 1) << (room + place)) if self.model.shards > 1 else np.array([0, len(key)])
-        order = key & ((1 << place) - 1)
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            yield k, order[ends[k] : ends[k + 1]]
+    def find(self, head: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For heads and children (-1: none): each one's place among the distinct questions, and of these, in some order,
+        head and child, the child's place in its shard and among its head's children (-1: not there), and its code, or
+        if it isn't there the head's weight (0 if it has no children).
 
-    def find(self, head: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For heads and children (-1: none): the child's place in its shard and among its head's children (-1: not there), its code, and the head's weight (0 if it has no children).
-
-        Questions of a shard go in order of heads and children: a head is read once, a run of one child is compared as
-        it is read, other children are searched for, once each.
+        Distinct questions go in order of shards, heads and children, so that a shard's lists are read from front to
+        end: a head is read once, a run's first child is compared as it is read, other children are searched for.
         """
-        place, among, codes, weight = np.full(len(head), -1, np.int64), np.full(len(head), -1, np.int64), np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
-        known = np.flatnonzero(head >= 0)
-        head, child = head[known], child[known]
-        shard, at = head % self.model.shards, head // self.model.shards
-        wide = (int(child.max()) + 1).bit_length() if len(child) else 1
-        for k, order in self._by_shard(shard, at << wide | (child + 1)):
+        shards = self.model.shards
+        each = int(head.max(initial=0)) // shards + 1
+        order = np.where(head >= 0, head % shards * each + head // shards + 1, 0)
+        inverse, order, child = distinct(order, child + 1)
+        child -= 1
+        place, among, codes = np.full(len(order), -1, np.int64), np.full(len(order), -1, np.int64), np.zeros(len(order), np.int64)
+        first = np.flatnonzero(np.diff(order, prepend=-1))
+        heads = order[first]
+        ends = np.searchsorted(heads, np.arange(shards + 1) * each + 1)
+        first = np.append(first, len(order))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
             begin, children, code_of, weights = self._shard(k)
-            heads, rows = at[order], known[order]
-            new = np.diff(heads, prepend=-1) != 0
-            own, which = heads[new], np.cumsum(new) - 1
-            a, b = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-            inside = np.flatnonzero(own < begin.n - 1)
-            a[inside], b[inside] = begin.spans(own[inside])
-            full = np.flatnonzero(a < b)
-            if not len(full):
+            own = heads[ends[k] : ends[k + 1]] - (k * each + 1)
+            own = own[: np.searchsorted(own, begin.n - 1)]  # beyond are words that only end texts
+            if not len(own) or not children.n:
                 continue
-            back, base, value = (np.zeros(len(own), np.int64) for _ in range(3))
-            back[full] = weights[own[full]]
+            upto = first[ends[k] : ends[k] + len(own) + 1]
+            asked = slice(int(upto[0]), int(upto[-1]))
+            a, b = begin.spans(own)
             # The value before a run and its first one; nothing stands before the first run of a shard.
-            before, first = children.spans(np.maximum(a[full] - 1, 0)) if children.n > 1 else (children.get(a[full]),) * 2
-            base[full], value[full] = np.where(a[full] > 0, before, 0), np.where(a[full] > 0, first, before)
-            weight[rows] = back[which]
-            asked = child[order]
-            target, found, ends, value = base[which] + asked + 1, a[which], b[which], value[which]
-            able = (asked >= 0) & (found < ends)
-            same = able & (value == target)
-            more = np.flatnonzero(able & (value < target) & (ends - found > 1))
+            before, value = children.spans(np.clip(a - 1, 0, children.n - 2)) if children.n > 1 else (children.get(np.zeros(len(a), np.int64)),) * 2
+            front = np.searchsorted(a, 0, "right")
+            value[:front] = before[:front]
+            before[:front] = 0
+            value[a == b] = np.iinfo(np.int64).max
+            back, last = weights[own], np.where(b - a > 1, b, 0)
+            if len(own) < asked.stop - asked.start:
+                each_of = np.repeat(np.arange(len(own)), np.diff(upto))
+                a, last, before, value, back = (x[each_of] for x in (a, last, before, value, back))
+            target = before + child[asked] + 1
+            found = np.where(target == value, a, -1)
+            more = np.flatnonzero((target > value) & (last > 0))
             if len(more):
-                target = target[more]
-                new = np.diff(target, prepend=-1) != 0
-                met = children.find(target[new])[np.cumsum(new) - 1]
-                hit = (met >= found[more]) & (met < ends[more])
-                more, met = more[hit], met[hit]
-                opens = found[more]
-                found[more], same[more] = met, True
-                among[rows[more]] = met - opens
-            rows, found = rows[same], found[same]
-            place[rows], codes[rows] = found, code_of[found]
-        among[(place >= 0) & (among < 0)] = 0
-        return place, among, codes, weight
+                met = children.find(target[more])
+                found[more] = np.where(met < last[more], met, -1)
+            held = np.flatnonzero(found >= 0)
+            at = found[held]
+            place[asked] = found
+            codes[asked] = back
+            held += asked.start
+            codes[held] = code_of[at]
+            among[held] = at - a[held - asked.start]
+        order -= 1
+        return inverse, np.where(order >= 0, order % each * shards + order // each, -1), child, place, among, codes
 
 
 class Words:
@@ -184,13 +200,12 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots = Slots()
-        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.slots: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Number (-1: unknown) and count of new words."""
-        keys = _digests(new)
-        ids, counts = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
+        """Numbers of new words, -1 the unknown ones."""
+        keys, ids = _digests(new), np.full(len(new), -1, np.int64)
         shard = (keys[:, 0] % np.uint64(self.model.shards)).astype(np.int64)
         for k in np.unique(shard).tolist():
             x = mapped(self.model.file(1, k))
@@ -199,18 +214,21 @@ class Words:
                 at = np.searchsorted(x["high"], keys[rows, 0]) + tie
                 inside = np.flatnonzero(at < len(x["high"]))
                 same = inside[(x["high"][at[inside]] == keys[rows[inside], 0]) & (x["low"][at[inside]] == keys[rows[inside], 1])]
-                ids[rows[same]], counts[rows[same]] = x["id"][at[same]], x["count"][at[same]]
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+                ids[rows[same]] = x["id"][at[same]]
+        self.slots.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        self.ids = np.concatenate([self.ids, ids])
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of words."""
+        """Numbers and counts of distinct words."""
         if len(self.slots) > CACHE:
             self._forget()
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        if self.slots.new:
-            self._learn(self.slots.new)
-            self.slots.new = []
-        return self.ids[slots], self.counts[slots]
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = np.arange(len(self.ids), len(self.ids) + len(new))
+            self._learn([words[k] for k in new.tolist()])
+        ids = self.ids[slots]
+        return ids, self.model.counts_of(ids)
 
 
 class Trie:
@@ -226,25 +244,26 @@ class Trie:
         before[starts] = self.model.words
         return before
 
-    def pair(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: the pair's code and the weight of the word before; the node of the pair before (-1: none), and the token's place among the successors (-1: not there)."""
-        head = self.contexts(ids, starts)
-        place, among, codes, weight = self.pairs.find(head, ids)
-        node = np.where(place >= 0, self.first_node[np.maximum(head, 0) % self.model.shards] + place, -1)
-        node = np.concatenate([[-1], node[:-1]])
+    def pair(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: its code after the word before; the node of the pair before (-1: none), and the token's place among the successors (-1: not there)."""
+        inverse, head, child, place, among, codes = self.pairs.find(self.contexts(ids, starts), ids)
+        there = place >= 0
+        codes += np.where(there, 0, self.model.unigram_codes(child))
+        place = np.where(there, self.first_node[head % self.model.shards] + place, -1)
+        node = np.empty(len(ids), np.int64)
+        node[1:] = place[inverse[:-1]]
         node[starts] = -1
-        return codes, weight, node, among
+        return codes[inverse], node, among[inverse]
 
     def log_probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Decimal logarithm of each token's probability after the two tokens before it."""
-        codes, weight, node, among = self.pair(ids, starts)
-        low = np.where(among >= 0, codes, weight + self.model.unigram_codes(ids))
-        place, _, deep, back = self.triples.find(node, among)
-        return np.where(place >= 0, deep, back + low) / -STEPS
+        low, node, among = self.pair(ids, starts)
+        inverse, _, _, place, _, codes = self.triples.find(node, among)
+        return np.where((place >= 0)[inverse], codes[inverse], codes[inverse] + low) / -STEPS
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """(first row, distinct words and the end, each token's place among them, where each text begins) of as many texts as make up a chunk."""
+def split(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """(first row, distinct words and the end as bytes, each token's place among them, where each text begins) of as many texts as make up a chunk."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     upto, first = np.cumsum(size), 0
     while first < len(texts):
@@ -257,10 +276,18 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.n
         starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=last - first) + 1)])
         at = np.full(starts[-1], len(coded.dictionary), np.int64)
         at[np.arange(len(row)) + row] = coded.indices.to_numpy(zero_copy_only=False)
-        yield first, [*coded.dictionary.cast(pa.binary()).to_pylist(), END], at, starts[:-1]
+        yield first, pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), at, starts[:-1]
         first = last
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """What `split` gives, words as a list."""
+    for first, words, at, starts in split(texts):
+        _, ends, flat = words.buffers()  # slices of the whole are made faster than Arrow's scalars
+        ends, flat = np.frombuffer(ends, np.int32, len(words) + 1).tolist(), flat.to_pybytes()
+        yield first, [flat[a:b] for a, b in zip(ends, ends[1:])], at, starts
+
+
 def numbers(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers of the words, where each text begins) of as many texts as make up a chunk."""
     size, first = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize, 0
@@ -280,21 +307,21 @@ def _vocabulary(docs: DataFrame, model: Model) -> Model:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def summed() -> pa.Table:
+        def added() -> pa.Table:
             return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
         for batch in batches:
-            for _, words, at, _ in chunks(batch.column(0)):
-                held.append(pa.table({"word": pa.array(words, pa.binary()), "n": np.bincount(at, minlength=len(words))}))
+            for _, words, at, _ in split(batch.column(0)):
+                held.append(pa.table({"word": words, "n": np.bincount(at, minlength=len(words))}))
                 size += len(words)
                 if size > COUNTED:
-                    held = [summed()]
+                    held = [added()]
                     size = len(held[0])
                     if size > COUNTED // 2:
                         yield from held[0].to_batches()
                         held, size = [], 0
         if held:
-            yield from summed().to_batches()
+            yield from added().to_batches()
 
     words = docs.select("text").mapInArrow(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
@@ -315,13 +342,13 @@ def _vocabulary(docs: DataFrame, model: Model) -> Model:
     def built(group: pd.DataFrame) -> pd.DataFrame:
         keys = _digests(list(map(bytes, group["word"])))
         order = np.lexsort((keys[:, 1], keys[:, 0]))
-        arrays = {"high": keys[order, 0], "low": keys[order, 1], "id": group["id"].to_numpy(np.int64)[order], "count": group["n"].to_numpy(np.int64)[order]}
+        arrays = {"high": keys[order, 0], "low": keys[order, 1], "id": group["id"].to_numpy(model.number)[order]}
         save_arrays(model.file(1, int(group["shard"].iloc[0])), arrays)
         return pd.DataFrame({"shard": group["shard"].iloc[:1], "n": [len(group)]})
 
     held = sorted(((r["n"], r["words"]) for r in ranked.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)  # N tokens have no more than sqrt(2 N) different counts
     model = replace(model, counts=tuple(n for n, _ in held), first_word=tuple(np.cumsum([0, *(x for _, x in held[:-1])]).tolist()) if held else ())
-    _written(ranked.withColumn("shard", shard_of("word")), built, lambda k: {"high": np.zeros(0, np.uint64), "low": np.zeros(0, np.uint64), "id": np.zeros(0, np.int64), "count": np.zeros(0, np.int64)}, model, 1)
+    _written(ranked.withColumn("shard", shard_of("word")), built, lambda k: {"high": np.zeros(0, np.uint64), "low": np.zeros(0, np.uint64), "id": np.zeros(0, model.number)}, model, 1)
     return model
 
 
@@ -353,19 +380,31 @@ def coded(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("_s", found("text")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "_s.*")
 
 
+def summed(head: np.ndarray, child: np.ndarray, low: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+    """Shard, head in it, child, count and code of the distinct n-grams, in order; the code depends on head and child."""
+    each = int(head.max(initial=0)) // shards + 1
+    head = head % shards * each + head // shards
+    wide, more = (int(x.max(initial=0)).bit_length() for x in (child, low))
+    if (each * shards).bit_length() + wide + more <= 63:
+        key = (head << wide | child) << more | low
+        key.sort()
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        n, key = np.diff(new, append=len(key)), key[new]
+        low, key = key & ((1 << more) - 1), key >> more
+        head, child = key >> wide, key & ((1 << wide) - 1)
+    else:
+        inverse, head, child = distinct(head, child)
+        n, codes = np.bincount(inverse, minlength=len(head)), low
+        low = np.zeros(len(head), np.int64)
+        low[inverse] = codes
+    return head // each, head % each, child, n, low
+
+
 def _blocks(texts: DataFrame, model: Model, level: int) -> DataFrame:
     """n-grams as packed blocks by shard of their head: head, child, count, and on the third level the child's code one level down."""
 
     def emitted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        head, child, low = (np.concatenate(x) for x in zip(*held))
-        # One number for shard, head and child: heads of a shard follow one another.
-        each = int(head.max()) // model.shards + 1 if len(head) else 1
-        wide = int(child.max()).bit_length() if len(child) else 1
-        if (each * model.shards).bit_length() + wide > 62:
-            raise ValueError("too many n-grams for one number each")
-        key, n, (low,) = combined((head % model.shards * each + head // model.shards) << wide | child, None, (low,))
-        child, at = key & ((1 << wide) - 1), key >> wide
-        shard, head = at // each, at % each
+        shard, head, child, n, low = summed(*(np.concatenate(x) for x in zip(*held)), model.shards)
         ends = np.searchsorted(shard, np.arange(model.shards + 1))
         found = np.flatnonzero(np.diff(ends)).tolist()
         blobs = [pack(head[a:b], child[a:b], n[a:b], low[a:b]) for a, b in ((ends[k], ends[k + 1]) for k in found)]
@@ -378,7 +417,7 @@ def _blocks(texts: DataFrame, model: Model, level: int) -> DataFrame:
                 if level == 2:
                     rows = [trie.contexts(ids, starts), ids, np.zeros(len(ids), np.int64)]
                 else:
-                    codes, _, node, among = trie.pair(ids, starts)
+                    codes, node, among = trie.pair(ids, starts)
                     inner = np.flatnonzero(node >= 0)
                     rows = [node[inner], among[inner], codes[inner]]
                 held.append(rows)

@@ -40,6 +40,53 @@ def test_a_sampled_list_finds_the_same(values):
     assert sampled.find(asked).tolist() == plain.find(asked).tolist()
 
 
+@pytest.mark.parametrize("gap", [1, 3, 40, 3000, 100_000, 1 << 33])
+def test_low_parts_are_whole_bytes(gap):
+    values = np.arange(500) * gap
+    made = EliasFano.arrays(values, "x")
+    low = made["x_is"][1]
+    assert low in (0, 8, 16, 32) and len(made["x_low"]) == len(values) and made["x_low"].dtype.itemsize == max(1, low // 8)
+    assert EliasFano(made, "x").find(np.concatenate([values, values + gap // 2 + 1])).tolist() == [*range(500), *(range(1, 500) if gap == 1 else [-1] * 499), -1]
+
+
+@pytest.mark.parametrize("top", [3, 1 << 22, 1 << 40, 1 << 60])
+def test_distinct_pairs_and_sums_at_any_width(top):
+    spread = np.random.default_rng(top)
+    first, second = (spread.integers(0, 6, 200) * (top // 6 + 1) + spread.integers(0, 2, 200) for _ in range(2))
+    rows = [*zip(first.tolist(), second.tolist())]
+    inverse, a, b = lm.distinct(first, second)
+    pairs = [*zip(a.tolist(), b.tolist())]
+    assert pairs == sorted(set(rows)) and [pairs[k] for k in inverse.tolist()] == rows
+    shard, head, child, n, low = (x.tolist() for x in lm.summed(first, second, first % 7 + second % 5, 3))
+    assert {(h * 3 + s, c): (k, x) for s, h, c, k, x in zip(shard, head, child, n, low)} == {(h, c): (k, h % 7 + c % 5) for (h, c), k in Counter(rows).items()}
+    assert [*zip(shard, head, child)] == sorted(zip(shard, head, child)) and len(shard) == len(pairs)
+
+
+def test_a_level_answers_each_question(tmp_path):
+    spread = np.random.default_rng(1)
+    asked = [(h, c) for h in range(-1, 40) for c in range(-1, 60)]
+    for shards in (1, 3):
+        model = lm.Model(str(tmp_path / str(shards)), 1, 1, shards)
+        grams = sorted({(h, c) for h, c in spread.integers(0, [30, 50], (400, 2)).tolist() if h % 5})
+        kids = defaultdict(list)
+        for h, c in grams:
+            kids[h].append(c)
+        weights = {}
+        for k in range(shards):
+            held = np.array([(h // shards, c) for h, c in grams if h % shards == k], np.int64).reshape(-1, 2)
+            made = lm.level_arrays(held[:, 0], held[:, 1], np.ones(len(held), np.int64), held[:, 1], shards == 1)
+            files.save_arrays(model.file(2, k), made)
+            weights |= {at * shards + k: w for at, w in enumerate(made["weight"].tolist())}
+        head, child = (np.array([q[k] for q in asked * 2], np.int64) for k in (0, 1))
+        inverse, *found = lm.Level(model, 2).find(head, child)
+        assert len(found[0]) == len(asked)  # once, however often it is asked
+        for (h, c), k in zip(asked * 2, inverse.tolist()):
+            got_head, got_child, place, among, code = (int(x[k]) for x in found)
+            assert (got_head, got_child) == (h, c) and (place >= 0) == (c in kids[h])
+            assert among == (kids[h].index(c) if c in kids[h] else -1)
+            assert c in kids[h] or code == weights.get(h, 0)
+
+
 @pytest.mark.parametrize("size", [1, 60, 1 << 21])
 def test_chunks_give_the_tokens_of_every_text(monkeypatch, size):
     monkeypatch.setattr(lm, "CHUNK", size)
