@@ -40,7 +40,7 @@ STEPS = 512
 #: The end of a text as a word: no word has a line break.
 END = b"\n"
 #: Tokens whose n-grams one shard holds, bytes of text and tokens that a task works on at a time, and n-grams that it gathers before it emits blocks.
-SHARD_TOKENS, CHUNK, TOKENS, GATHER = 1 << 20, 1 << 21, 1 << 19, 1 << 20
+SHARD_TOKENS, CHUNK, TOKENS, GATHER = 1 << 20, 1 << 22, 1 << 19, 1 << 20
 #: Words that a worker remembers, and words with counts that it gathers before it adds them up.
 CACHE, COUNTED = 300_000, 1_000_000
 
@@ -292,11 +292,12 @@ def numbers(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.n
     """(numbers of the words, where each text begins) of as many texts as make up a chunk."""
     size, first = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize, 0
     upto = np.cumsum(size)
-    flat = b"".join(x.as_buffer() for x in column)
+    _, ends, flat = column.buffers()  # read in place
+    opens = int(np.frombuffer(ends, np.int32, 1, column.offset * 4)[0]) if len(column) else 0
     while first < len(column):
         begin = int(upto[first] - size[first])
         last = max(first + 1, int(np.searchsorted(upto, begin + TOKENS, "right")))
-        ids = np.frombuffer(flat, kind, int(upto[last - 1]) - begin, begin * kind.itemsize).astype(np.int64)
+        ids = np.frombuffer(flat, kind, int(upto[last - 1]) - begin, opens + begin * kind.itemsize).astype(np.int64)
         yield ids, upto[first:last] - size[first:last] - begin
         first = last
 
