@@ -3,20 +3,17 @@
 A first pass adds all phrases of 2 to 4 words to a count-min sketch, one row of counters that is wider than there are
 phrases; tasks send packed blocks of counters by range, which are summed into a bitmap of the counters that reach the
 least count. An upper bound can't lose a phrase. A second pass collects the phrases that the bitmap admits, and their
-words; they are compiled into Aho-Corasick automata, bounded in size, by language. A third pass scans the documents of
-a language with its automata and counts overlapping matches: words stand between delimiters in pattern and text, so a
-match covers whole words, and pieces are parted by another sign, so none crosses. Exact counts then go through the
-thresholds. Between the passes go packed blocks, not a row for every phrase and task.
+words; they are compiled into Aho-Corasick automata over words, bounded in size, by language and first word. A third pass
+reads the documents: each word is a possible beginning for the one automaton that has patterns with it, so the work of
+a text doesn't grow with the number of automata. A stop stands between pieces, so no match crosses. Exact counts then go
+through the thresholds. Between the passes go packed blocks, not a row for every phrase and task.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from functools import lru_cache
-from operator import itemgetter
+from collections.abc import Callable, Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -24,35 +21,47 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.files import combined, mapped, mounted, pack, replaced, save_arrays, unpack
+from newsloom.llm.files import mapped, mounted, pack, save_arrays, unpack
 from newsloom.llm.shared import fresh_dir, materialize
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A score is SCALE times the share; a phrase goes if a longer one around it has COVER percent of its occurrences.
 SCALE, COVER = 2_000_000, 80
-#: Counters of one range of the sketch, phrases that a task gathers, patterns of an automaton, characters that are scanned at a time.
-RANGE, GATHER, PATTERNS, CHUNK = 1 << 24, 1 << 21, 400_000, 1 << 24
+#: Counters of one range of the sketch, phrases that a task gathers, patterns of an automaton.
+RANGE, GATHER, PATTERNS = 1 << 24, 1 << 21, 400_000
+#: What stands between pieces.
+STOP = b"\xff"
 #: Distinct words that a task remembers.
 CACHE = 500_000
 #: Parts of a language that are ranked apart.
 SALT = 64
 
-_SIGNS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
+_SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\xff" * 10 + b" abcdefghijklmnopqrstuvwxyz")
 
 
-def pieces(text: str | None) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, in lower case (A-Z)."""
-    for piece in (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in lower case (A-Z); STOP, which UTF-8 can't hold, stands between its pieces and at its end."""
+    whole = (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS)
+    return (whole.replace(STOP, b" \xff ") + b" \xff").split()
+
+
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) or 1
+
+
+class Known(dict):
+    """Hashes of words, each made once; 0 is that of STOP."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = 0 if word == STOP else _hash(word)
+        return found
 
 
 class Windows:
-    """Hashes of all phrases of gathered pieces: a phrase's hash mixes those of its words in order, and its language's."""
+    """Gathered texts as the hashes of their words, one after another."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Known()
         self.clear()
 
     def clear(self) -> None:
@@ -60,41 +69,50 @@ class Windows:
         self.ends: list[int] = []
         self.langs: list[int] = []
 
-    def add(self, words: list[bytes], lang: int) -> None:
-        self.words += words
+    def add(self, text: str | None, lang: int) -> None:
+        self.words += words_of(text)
         self.ends.append(len(self.words))
         self.langs.append(lang)
 
-    def hashes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: (length, first words, hashes) of the phrases within pieces."""
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and language's mark of each word."""
         if len(self.known) > CACHE:
             self.known.clear()
-        new = set(self.words) - self.known.keys()
-        self.known.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
         word = np.fromiter(map(self.known.__getitem__, self.words), np.uint64, len(self.words))
-        sizes = np.diff(self.ends, prepend=0)
-        left = np.repeat(np.array(self.ends, np.int64), sizes) - np.arange(len(word))
-        held = word + np.repeat(np.array(self.langs, np.uint64), sizes)
+        return word, np.repeat(np.array(self.langs, np.uint64), np.diff(self.ends, prepend=0))
+
+    def phrases(self, hot: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: (length, first words, hashes) of the phrases within pieces, or of those that `hot` admits.
+
+        A phrase's hash mixes those of its words in order, and its language's mark. A phrase lies where one that is a
+        word shorter begins at its first word and one at its second; if either isn't admitted, it is too rare as well.
+        """
+        word, mark = self.numbers()
+        first = np.flatnonzero((word[:-1] != 0) & (word[1:] != 0))
+        held = word[first] + mark[first]
         for n in range(2, LONGEST + 1):
-            held = (held[: len(word) - n + 1] ^ (held[: len(word) - n + 1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[n - 1 :]
-            first = np.flatnonzero(left[: len(held)] >= n)
-            mixed = held[first]
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            yield n, first, mixed ^ (mixed >> np.uint64(32))
+            held = (held ^ (held >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[first + (n - 1)]
+            mixed = (held ^ (held >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            if hot is not None:
+                kept = np.flatnonzero(hot(mixed))
+                first, held, mixed = first[kept], held[kept], mixed[kept]
+            yield n, first, mixed
+            more = np.flatnonzero(np.diff(first) == 1)
+            first, held = first[more], held[more]
 
 
 def _mark(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[Windows]:
-    """Pieces of the batches in portions of about GATHER phrases."""
+def _gathered(batches: Iterator[pd.DataFrame], mark: Callable[[str], int] = _mark) -> Iterator[Windows]:
+    """Texts of the batches in portions of about GATHER phrases."""
     windows = Windows()
     for batch in batches:
+        marks = {lang: mark(lang) for lang in batch["lang"].unique()}
         for lang, text in zip(batch["lang"], batch["text"]):
-            mark = _mark(lang)
-            for words in pieces(text):
-                windows.add(words, mark)
+            windows.add(text, marks[lang])
             if (LONGEST - 1) * len(windows.words) >= GATHER:
                 yield windows
                 windows.clear()
@@ -117,11 +135,15 @@ def sketch_width(chars: int, size: int = RANGE) -> int:
 
 
 def sketch(docs: DataFrame, width: int, folder: str, least: int = LEAST, size: int = RANGE) -> int:
-    """Writes the bitmap of the counters that reach `least`, a file for every range of `size`; returns how many do."""
+    """Writes the bitmap of the counters that reach `least`, each range of `size` at its place in one file; returns how many do."""
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/hot", "wb") as f:
+        f.truncate(width // 8)
 
     def blocks(windows: Windows) -> pd.DataFrame:
-        at = np.concatenate([h % np.uint64(width) for _, _, h in windows.hashes()]).astype(np.int64)
-        at, n, _ = combined(at, None)
+        at = np.sort(np.concatenate([h % np.uint64(width) for _, _, h in windows.phrases()]).astype(np.int64))
+        new = np.flatnonzero(np.diff(at, prepend=-1))
+        at, n = at[new], np.diff(new, append=len(at))
         part = at // size
         ends = np.searchsorted(part, np.arange(width // size + 1))
         found = np.flatnonzero(np.diff(ends)).tolist()
@@ -133,156 +155,206 @@ def sketch(docs: DataFrame, width: int, folder: str, least: int = LEAST, size: i
             yield blocks(windows)
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for blob in group["counters"]:
             at, n = unpack(bytes(blob), 2)
             # Beyond `least` a counter needs no exact value.
             total[at] = np.minimum(total[at] + n, least)
-        save_arrays(f"{folder}/part-{int(group['part'].iloc[0])}", {"hot": np.packbits(total >= least, bitorder="little")})
+        with open(f"{folder}/hot", "r+b") as f:
+            f.seek(int(group["part"].iloc[0]) * size // 8)
+            f.write(np.packbits(total >= least, bitorder="little").tobytes())
         return pd.DataFrame({"part": group["part"].iloc[:1], "n": [int((total >= least).sum())]})
 
     made = materialize(docs.mapInPandas(counted, "part bigint, counters binary").groupBy("part").applyInPandas(summed, "part bigint, n bigint"))
-    hot = {r["part"]: r["n"] for r in made.collect()}  # a row a range
-    for k in range(width // size):
-        if k not in hot:
-            save_arrays(f"{folder}/part-{k}", {"hot": np.zeros(size // 8, np.uint8)})
-    return sum(hot.values())
-
-
-def _hot(folder: str, at: np.ndarray, size: int) -> np.ndarray:
-    out, part, inside = np.zeros(len(at), bool), at // size, at % size
-    for k in np.unique(part).tolist():
-        rows = np.flatnonzero(part == k)
-        out[rows] = mapped(f"{folder}/part-{k}")["hot"][inside[rows] >> 3] >> (inside[rows] & 7).astype(np.uint8) & 1
+    return sum(r["n"] for r in made.collect())  # a row a range
+
+
+def _hot(folder: str, width: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which hashes have a counter that reached the least count."""
+    bits = np.memmap(f"{folder}/hot", np.uint8, "r")
+
+    def admitted(hashes: np.ndarray) -> np.ndarray:
+        at = (hashes % np.uint64(width)).astype(np.int64)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    return admitted
+
+
+def _place(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where the step from a state by a word is looked up, evenly spread."""
+    mixed = (word ^ (word >> np.uint64(31))) + state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def automaton(lines: Iterable[bytes]) -> dict[str, np.ndarray]:
+    """The automaton of some phrases, in arrays: its states are the phrases and their beginnings, numbered by depth; 0 is the root.
+
+    For each depth, the states lie in the order of the step's place that leads to them, with the state that it comes from,
+    its word and, for each stretch of places, where that stretch begins; `lines` are the states' words.
+    """
+    levels: list[set[bytes]] = [set() for _ in range(LONGEST)]
+    for line in lines:
+        levels[line.count(b" ")].add(line)
+    for shorter, longer in zip(levels[-2::-1], levels[:0:-1]):
+        shorter.update(x.rpartition(b" ")[0] for x in longer)
+    out, listed, number = {}, [], {b"": 0}
+    for depth, level in enumerate(levels, 1):
+        rows = [(*x.rpartition(b" ")[::2], x) for x in level]
+        state = np.fromiter((number[before] for before, _, _ in rows), np.int32, len(rows))
+        word = np.fromiter((_hash(last) for _, last, _ in rows), np.uint64, len(rows))
+        place = _place(state, word)
+        order = np.argsort(place)
+        bits = max(1, len(rows).bit_length())
+        starts = np.searchsorted(place[order], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        out |= {f"starts{depth}": np.append(starts, len(rows)).astype(np.int32), f"state{depth}": state[order], f"word{depth}": word[order]}
+        number = {rows[k][2]: at for at, k in enumerate(order.tolist(), len(listed) + 1)}
+        listed += number
+    return out | {"lines": np.frombuffer(b"\n".join(listed), np.uint8)}
+
+
+def _stepped(machine: dict[str, np.ndarray], depth: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The states at `depth` that words lead to from states, counted from 0 at each depth; -1 where there is no step."""
+    starts, states, words = (machine[f"{x}{depth}"] for x in ("starts", "state", "word"))
+    out = np.full(len(word), -1, np.int32)
+    stretch = (_place(state, word) >> np.uint64(65 - (len(starts) - 1).bit_length())).astype(np.int64)
+    at, end, rows = starts[stretch], starts[stretch + 1], np.arange(len(word))
+    while len(rows := rows[more := at < end]):
+        at, end, state, word = at[more], end[more], state[more], word[more]
+        hit = (words[at] == word) & (states[at] == state)
+        out[rows[hit]] = at[hit]
+        rows, at, end, state, word = (x[~hit] for x in (rows, at + 1, end, state, word))
     return out
 
 
-def compile_automata(docs: DataFrame, width: int, folder: str, shards: dict[str, int], size: int = RANGE) -> None:
-    """Collects the phrases whose counter reaches the least count, and their words; writes an automaton and a list for every language and shard."""
+def matches(machine: dict[str, np.ndarray], words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The states of all matches that begin at the words `first`.
+
+    An automaton that reads word by word is in the state of the longest match so far, and its failure links lead to those
+    that began later. There are LONGEST at most, so all of them go on together, depth by depth, and no link is stored.
+    """
+    found, below = [], 0
+    state = np.zeros(len(first), np.int32)
+    for depth in range(1, LONGEST + 1):
+        to = _stepped(machine, depth, state, words[first + (depth - 1)])
+        kept = np.flatnonzero(to >= 0)
+        first, state = first[kept], to[kept] + np.int32(below + 1)
+        found.append(state)
+        below += len(machine[f"state{depth}"])
+    return np.concatenate(found)
+
+
+def compile_automata(docs: DataFrame, width: int, folder: str, shards: dict[str, int]) -> set[tuple[str, int]]:
+    """Collects the phrases that the bitmap admits, and their words; writes an automaton for every language and shard, and returns which there are.
+
+    The first word decides the shard, so that a match is looked for in one automaton however many there are.
+    """
 
     def blocks(held: dict[tuple[str, int], list[bytes]]) -> pd.DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         return pd.DataFrame([(lang, shard, squeeze(b"\n".join(sorted(x)))) for (lang, shard), x in held.items()], columns=["lang", "shard", "phrases"])
 
     def collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot = _hot(folder, width)
         seen: set[int] = set()
         held: dict[tuple[str, int], list[bytes]] = {}
         count = 0
-        for batch in batches:
-            names = {_mark(lang): lang for lang in batch["lang"].unique()}
-            for windows in _gathered(iter([batch])):
-                ends = np.array(windows.ends)
-                words: set[tuple[str, bytes]] = set()
-                for n, first, hashes in windows.hashes():
-                    rows = np.flatnonzero(_hot(folder, (hashes % np.uint64(width)).astype(np.int64), size))
-                    hashes, new = np.unique(hashes[rows], return_index=True)
-                    fresh = [(h, k) for h, k in zip(hashes.tolist(), new.tolist()) if h not in seen]
-                    seen.update(h for h, _ in fresh)
-                    starts = first[rows[[k for _, k in fresh]]]
-                    for at, piece in zip(starts.tolist(), np.searchsorted(ends, starts, "right").tolist()):
-                        lang, phrase = names[windows.langs[piece]], windows.words[at : at + n]
-                        line = b" ".join(phrase)
-                        held.setdefault((lang, xxhash.xxh3_64_intdigest(line) % shards[lang]), []).append(line)
-                        count += 1
-                        if n == 2:
-                            words.update((lang, w) for w in phrase)
-                for lang, word in words:
-                    held.setdefault((lang, xxhash.xxh3_64_intdigest(word) % shards[lang]), []).append(word)
-                if count >= CACHE:
-                    yield blocks(held)
-                    held, count = {}, 0
-                if len(seen) > 4 * CACHE:
-                    seen.clear()
+        names: dict[int, str] = {}
+
+        def mark(lang: str) -> int:
+            names[found := _mark(lang)] = lang
+            return found
+
+        for windows in _gathered(batches, mark):
+            ends = np.array(windows.ends)
+            words: set[tuple[str, bytes]] = set()
+            for n, first, hashes in windows.phrases(hot):
+                hashes, new = np.unique(hashes, return_index=True)
+                fresh = [(h, k) for h, k in zip(hashes.tolist(), new.tolist()) if h not in seen]
+                seen.update(h for h, _ in fresh)
+                starts = first[[k for _, k in fresh]]
+                for at, text in zip(starts.tolist(), np.searchsorted(ends, starts, "right").tolist()):
+                    lang, phrase = names[windows.langs[text]], windows.words[at : at + n]
+                    held.setdefault((lang, windows.known[phrase[0]] % shards[lang]), []).append(b" ".join(phrase))
+                    count += 1
+                    if n == 2:
+                        words.update((lang, w) for w in phrase)
+            for lang, word in words:
+                held.setdefault((lang, windows.known[word] % shards[lang]), []).append(word)
+            if count >= CACHE:
+                yield blocks(held)
+                held, count = {}, 0
+            if len(seen) > 4 * CACHE:
+                seen.clear()
         yield blocks(held)
 
     def compiled(group: pd.DataFrame) -> pd.DataFrame:
-        lines = sorted({x for blob in group["phrases"] for x in zstandard.ZstdDecompressor().decompress(bytes(blob)).split(b"\n")})
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, line in enumerate(lines):
-            machine.add_word(f" {line.decode('utf-8', 'replace')} ", k)
-        machine.make_automaton()
-        path = _automaton_file(folder, group["lang"].iloc[0], int(group["shard"].iloc[0]))
-
-        def listed(to: str) -> None:
-            with open(to, "wb") as f:
-                f.write(b"\n".join(lines))
-
-        replaced(f"{path}.list", listed)
-        replaced(path, machine.save)
+        lines = {x for blob in group["phrases"] for x in zstandard.ZstdDecompressor().decompress(bytes(blob)).split(b"\n")}
+        save_arrays(_automaton_file(folder, group["lang"].iloc[0], int(group["shard"].iloc[0])), automaton(lines))
         return group[["lang", "shard"]].iloc[:1]
 
     found = docs.mapInPandas(collected, "lang string, shard int, phrases binary").groupBy("lang", "shard").applyInPandas(compiled, "lang string, shard int")
-    known = {(r["lang"], r["shard"]) for r in materialize(found).collect()}  # a row an automaton
-    for lang, n in shards.items():
-        for shard in range(n):
-            if (lang, shard) not in known:
-                replaced(f"{_automaton_file(folder, lang, shard)}.list", lambda to: open(to, "wb").close())
+    return {(r["lang"], r["shard"]) for r in materialize(found).collect()}  # a row an automaton
 
 
 def _automaton_file(folder: str, lang: str, shard: int) -> str:
     return f"{folder}/{xxhash.xxh3_128_hexdigest(lang.encode('utf-8', 'surrogatepass'))}-{shard}"
 
 
-@lru_cache(maxsize=4)
-def _automaton(path: str) -> ahocorasick.Automaton:
-    return ahocorasick.load(path, int)
-
-
-def _list(path: str) -> list[str]:
-    with open(f"{path}.list", "rb") as f:
-        whole = f.read()
-    return whole.decode("utf-8", "replace").split("\n") if whole else []
-
-
-def count_matches(docs: DataFrame, folder: str, shards: dict[str, int], least: int = LEAST) -> DataFrame:
+def count_matches(docs: DataFrame, folder: str, shards: dict[str, int], known: set[tuple[str, int]], least: int = LEAST) -> DataFrame:
     """lang, phrase, a, n: overlapping matches of every pattern that occurs `least` times in the documents of its language; n is null.
 
     A row without a phrase has the language's number of words n. Tasks add up their matches, by automaton.
     """
+    codes = [(lang, shard) for lang, n in shards.items() for shard in range(n)]
+    langs = list(shards)
+    base = np.cumsum([0, *shards.values()])[:-1]
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple[str, int], np.ndarray] = {}
-        words: dict[str, int] = {}
-        held: dict[str, list[bytes]] = {}
-        size = 0
-
-        def scan() -> None:
-            for lang, lines in held.items():
-                line = b"\n".join(lines).decode("utf-8", "replace")
-                for shard in range(shards[lang]):
-                    path = _automaton_file(folder, lang, shard)
-                    if not os.path.getsize(f"{path}.list"):
-                        continue
-                    machine = _automaton(path)
-                    found = np.fromiter(map(itemgetter(1), machine.iter(line)), np.int64)
-                    totals[lang, shard] = totals.get((lang, shard), 0) + np.bincount(found, minlength=len(machine))
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                lines = held.setdefault(lang, [])
-                for found in pieces(text):
-                    words[lang] = words.get(lang, 0) + len(found)
-                    lines.append(b" %b " % b" ".join(found))
-                size += len(text)
-                if size >= CHUNK:
-                    scan()
-                    held, size = {}, 0
-        scan()
-        rows = [(lang, shard, pack(places := np.flatnonzero(x), x[places]), 0) for (lang, shard), x in totals.items()]
-        rows += [(lang, -1, None, n) for lang, n in words.items()]
-        yield pd.DataFrame(rows, columns=["lang", "shard", "counts", "n"])
+        n_words = np.zeros(len(langs), np.int64)
+        n_shards = np.array([*shards.values()], np.uint64)
+        held: dict[int, list[np.ndarray]] = {}
+        count = 0
+
+        def rows() -> pd.DataFrame:
+            blobs = []
+            for code, found in held.items():
+                total = np.bincount(np.concatenate(found))
+                places = np.flatnonzero(total)
+                blobs.append((*codes[code], pack(places, total[places]), 0))
+            return pd.DataFrame(blobs, columns=["lang", "shard", "counts", "n"])
+
+        for windows in _gathered(batches, langs.index):
+            word, lang = windows.numbers()
+            word = np.append(word, np.zeros(LONGEST, np.uint64))
+            first = np.flatnonzero(word)
+            lang = lang[first].astype(np.int64)
+            n_words += np.bincount(lang, minlength=len(langs))
+            code = base[lang] + (word[first] % n_shards[lang]).astype(np.int64)
+            order = np.argsort(code.astype(np.uint16) if len(codes) < 1 << 16 else code, kind="stable")
+            here, ends = np.unique(code[order], return_index=True)
+            for k, at in zip(here.tolist(), np.split(first[order], ends[1:])):
+                if codes[k] in known:
+                    found = matches(mapped(_automaton_file(folder, *codes[k])), word, at)
+                    held.setdefault(k, []).append(found)
+                    count += len(found)
+            if count >= 4 * GATHER:
+                yield rows()
+                held, count = {}, 0
+        yield rows()
+        yield pd.DataFrame([(lang, -1, None, n) for lang, n in zip(langs, n_words.tolist()) if n], columns=["lang", "shard", "counts", "n"])
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
         lang, shard = group["lang"].iloc[0], int(group["shard"].iloc[0])
         if shard < 0:
             return pd.DataFrame({"lang": [lang], "phrase": [None], "a": pd.array([None], "Int64"), "n": pd.array([int(group["n"].sum())], "Int64")})
-        phrases = np.array(_list(_automaton_file(folder, lang, shard)), object)
-        total = np.zeros(len(phrases), np.int64)
+        phrases = np.array(mapped(_automaton_file(folder, lang, shard))["lines"].tobytes().decode("utf-8", "replace").split("\n"), object)
+        total = np.zeros(len(phrases) + 1, np.int64)
         for blob in group["counts"]:
             places, counts = unpack(bytes(blob), 2)
             total[places] += counts
         kept = np.flatnonzero(total >= least)
-        return pd.DataFrame({"lang": lang, "phrase": phrases[kept], "a": pd.array(total[kept], "Int64"), "n": pd.array([None] * len(kept), "Int64")})
+        return pd.DataFrame({"lang": lang, "phrase": phrases[kept - 1], "a": pd.array(total[kept], "Int64"), "n": pd.array([None] * len(kept), "Int64")})
 
     found = docs.mapInPandas(counted, "lang string, shard int, counts binary, n bigint")
     return found.groupBy("lang", "shard").applyInPandas(summed, "lang string, phrase string, a bigint, n bigint")
@@ -299,8 +371,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = RANGE, patter
     width = sketch_width(total, size)
     hot = sketch(docs, width, folder, least, size)
     shards = {lang: max(1, -(-hot * n // (max(total, 1) * patterns))) for lang, n in chars.items()}
-    compile_automata(docs, width, folder, shards, size)
-    return materialize(count_matches(docs, folder, shards, least))
+    known = compile_automata(docs, width, folder, shards)
+    return materialize(count_matches(docs, folder, shards, known, least))
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from newsloom.llm import collocations
@@ -66,3 +68,29 @@ def test_numbers_beyond_64_bits(spark):
     rows = {r.phrase: r.score for r in collocations.scored(phrases, words).collect()}
     assert rows == {"a b": score(big, "a", "b"), "b c": score(big + 2, "b", "c"), "a b c": min(score(big - 5, "a", "b c"), score(big - 5, "a b", "c"))}
     assert {r.phrase for r in collocations.uncovered(phrases).collect()} == {"a b c"}
+
+
+def test_a_word_begins_matches_in_one_automaton_however_many_there_are():
+    """1,000 phrases in 1 and in 50 automata: equal counts, and no word is read as a beginning by two of them."""
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)]
+    phrases = {tuple(r.choices(vocabulary, k=r.randint(1, 4))) for _ in range(1000)}
+    text = " ".join(r.choices([*vocabulary, "other", ".", "other ,"], k=5000))
+    windows = collocations.Windows()
+    windows.add(text, 0)
+    words = np.append(windows.numbers()[0], np.zeros(collocations.LONGEST, np.uint64))
+    listed = windows.words
+    plain = Counter(tuple(listed[k : k + n]) for n in range(1, 5) for k in range(len(listed) - n + 1))
+    for shards in (1, 50):
+        held = defaultdict(list)
+        for p in phrases:
+            held[windows.known[p[0].encode()] % shards].append(" ".join(p).encode())
+        found, read = Counter(), 0
+        for shard, lines in held.items():
+            first = np.flatnonzero((words != 0) & (words % np.uint64(shards) == shard))
+            machine = collocations.automaton(lines)
+            names = machine["lines"].tobytes().split(b"\n")
+            found.update(names[k - 1] for k in collocations.matches(machine, words, first).tolist())
+            read += len(first)
+        assert read <= np.count_nonzero(words)
+        assert {p: found[" ".join(p).encode()] for p in phrases} == {p: plain[tuple(w.encode() for w in p)] for p in phrases}
